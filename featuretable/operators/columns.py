@@ -48,3 +48,16 @@ def key_first(df: DataFrame, key: str) -> DataFrame:
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Rename single columns, old name to new name."""
     return df.withColumnsRenamed(dict(names))
+
+
+def one_row_per_column(single: DataFrame, cells: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """Lay a one-row result out as one row per described column.
+
+    ``cells`` gives, for each described column, the source column of every measure.
+    """
+    rows = []
+    for name, measures in cells.items():
+        literal = name.replace("\\", "\\\\").replace("'", "\\'")
+        listed = ", ".join(f"'{measure}', {source}" for measure, source in measures.items())
+        rows.append(f"named_struct('column_name', '{literal}', {listed})")
+    return single.selectExpr(f"inline(array({', '.join(rows)}))")

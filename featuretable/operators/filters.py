@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 
-from featuretable.functions.predicates import any_contains, column, fields, is_present
+from featuretable.functions.predicates import all_present, any_contains, column
 
 
 def where_any_contains(df: DataFrame, name: str, terms: Iterable[str]) -> DataFrame:
@@ -27,4 +25,4 @@ def drop_incomplete(df: DataFrame, names: Iterable[str] | None = None) -> DataFr
     One conjunct per column: over left joins Catalyst can then turn those whose right side must
     be present into inner joins and push the tests down to the scans.
     """
-    return df.filter(reduce(and_, [is_present(field) for field in fields(df, names)]))
+    return df.filter(all_present(df, names))

@@ -3,19 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featuretable.functions.predicates import (
-    can_be_nan,
-    column,
-    fields,
-    is_missing,
-    is_present,
-)
+from featuretable.functions.predicates import can_be_nan, column, fields, missing_sql
+from featuretable.operators.columns import one_row_per_column
 
 
 def fill_constant(df: DataFrame, value: float | int | str | bool, names: Iterable[str]) -> DataFrame:
@@ -54,30 +46,21 @@ def loss_report(df: DataFrame) -> DataFrame:
     One pass over the table gives one row; it is turned into one row per column afterwards.
     """
     columns = fields(df)
-    gaps = [F.when(is_missing(field), 1).otherwise(0) for field in columns]
-    total_gaps = reduce(lambda a, b: a + b, gaps)
-    complete = reduce(and_, [is_present(field) for field in columns])
-    counted = df.select(
-        *[gap.alias(f"_g{i}") for i, gap in enumerate(gaps)],
-        total_gaps.alias("_gaps"),
-        complete.alias("_complete"),
-    ).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if("_complete").alias("_kept"),
-        *[F.count_if(F.col(f"_g{i}") == 1).alias(f"_m{i}") for i in range(len(columns))],
-        *[
-            F.count_if((F.col(f"_g{i}") == 1) & (F.col("_gaps") == 1)).alias(f"_a{i}")
-            for i in range(len(columns))
-        ],
+    gaps = [f"CAST({missing_sql(field)} AS INT) AS _g{i}" for i, field in enumerate(columns)]
+    counted = df.selectExpr(*gaps).selectExpr(
+        "*", " + ".join(f"_g{i}" for i in range(len(columns))) + " AS _gaps"
     )
-    entries = [
-        F.struct(
-            F.lit(field.name).alias("column_name"),
-            F.col(f"_m{i}").alias("missing"),
-            F.col(f"_a{i}").alias("lost_to_it_alone"),
-            F.col("_rows").alias("rows_before"),
-            F.col("_kept").alias("rows_after"),
-        )
+    totals = ["count(1) AS _rows", "count_if(_gaps = 0) AS _kept"]
+    for i in range(len(columns)):
+        totals.append(f"count_if(_g{i} = 1) AS _m{i}")
+        totals.append(f"count_if(_g{i} = 1 AND _gaps = 1) AS _a{i}")
+    laid_out = {
+        field.name: {
+            "missing": f"_m{i}",
+            "lost_to_it_alone": f"_a{i}",
+            "rows_before": "_rows",
+            "rows_after": "_kept",
+        }
         for i, field in enumerate(columns)
-    ]
-    return counted.select(F.inline(F.array(*entries)))
+    }
+    return one_row_per_column(counted.selectExpr(*totals), laid_out)

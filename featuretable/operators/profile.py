@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column, fields, is_missing
+from featuretable.operators.columns import one_row_per_column
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -146,11 +147,7 @@ def _one_row_per_column(
             for i, name in enumerate(names)
         ]
     )
-    entries = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            *[F.col(f"_{i}_{measure}").alias(measure) for measure in measures],
-        )
-        for i, name in enumerate(names)
-    ]
-    return flat.select(F.inline(F.array(*entries)))
+    cells = {
+        name: {measure: f"_{i}_{measure}" for measure in measures} for i, name in enumerate(names)
+    }
+    return one_row_per_column(flat, cells)

@@ -19,6 +19,7 @@ from featuretable.operators.filters import drop_incomplete, where_any_contains,
 from featuretable.operators.impute import fill_constant, fill_with_max
 from featuretable.operators.rollup import rollup_activity, rollup_with_members
 from featuretable.operators.sets import dedup_by_key
+from featuretable.sources.scratch import materialize
 
 KEY = "business_id"
 COUNT_GAPS = ("count_checkins", "count_tip")
@@ -147,10 +148,13 @@ def raw_basetable(
     sources: Sources,
     days: ReferenceDays = ReferenceDays(),
     terms: Iterable[str] | None = V.CATEGORY_TERMS,
+    store_rollups: bool = False,
 ) -> DataFrame:
     """Business features left-joined with all rollups and the label.
 
-    The two tables a complete row cannot do without are joined first.
+    The two tables a complete row cannot do without are joined first. Filling needs the maxima of
+    the check-in and tip rollups before it can start; with ``store_rollups`` these two (one row per
+    business) are written out first, so that their facts are scanned once instead of twice.
     """
     features = business_features(clean_business(sources.business, terms))
     users = reviewers(sources.user, days.user, sources.user_since)
@@ -158,6 +162,8 @@ def raw_basetable(
     review = rollup_review(sources.review, users, days.review)
     checkin = rollup_checkin(sources.checkin, days.checkin)
     tip = rollup_tip(sources.tip, days.tip)
+    if store_rollups:
+        checkin, tip = materialize(checkin, "checkin-rollup"), materialize(tip, "tip-rollup")
     joined = left_assemble(features, KEY, [label, review, checkin, tip])
     order = features.columns
     for table in (checkin, review, tip, label):
@@ -174,6 +180,13 @@ def basetable(
     sources: Sources,
     days: ReferenceDays = ReferenceDays(),
     terms: Iterable[str] | None = V.CATEGORY_TERMS,
+    store_rollups: bool = False,
 ) -> DataFrame:
-    """The complete rows of the filled base table, as one lazy plan from scan to result."""
-    return drop_incomplete(fill_gaps(raw_basetable(sources, days, terms)))
+    """The complete rows of the filled base table, as one lazy plan from scan to result.
+
+    Filled columns have no gaps left and need no test. ``store_rollups`` is for large check-in and
+    tip tables, see :func:`raw_basetable`.
+    """
+    filled = fill_gaps(raw_basetable(sources, days, terms, store_rollups))
+    open_columns = [c for c in filled.columns if c not in (*COUNT_GAPS, *RECENCY_GAPS)]
+    return drop_incomplete(filled, open_columns)

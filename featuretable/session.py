@@ -16,6 +16,8 @@ SCALE_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Broadcast only what Spark has measured to be below this size; all else is a sort-merge join.
     "spark.sql.autoBroadcastJoinThreshold": "32m",
+    # Where every partition of one side is this small, hash it and skip both sorts.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 

@@ -8,7 +8,7 @@ Text attributes do not exist in the test tables and are derived from the part co
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from featuretable import fixed_values as V
 from featuretable.plans.basetable import ReferenceDays, Sources
@@ -131,8 +131,25 @@ ROLES = {
 }
 
 
+# Declared like every other input, so that building a plan needs no inference job.
+SCHEMAS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", fmt="parquet")
+    schema = StructType.fromDDL(SCHEMAS[name])
+    return read_table(spark, f"{sf_dir}/{name}.parquet", schema, fmt="parquet")
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,7 +157,7 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = table(spark, sf_dir, source)
     if condition is not None:
         rows = rows.filter(condition)
-    return rows.select(*[F.expr(expression).alias(column) for column, expression in columns])
+    return rows.selectExpr(*[f"{expression} AS `{column}`" for column, expression in columns])
 
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
