@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 def feature_names(df: DataFrame, features: str = "features") -> dict[int, str]:
     """Slot to name, from the metadata of the vector column."""
     groups = df.schema[features].metadata["ml_attr"]["attrs"]
-    return {slot["idx"]: slot["name"] for group in groups.values() for slot in group}
+    slots = [(slot["idx"], slot["name"]) for group in groups.values() for slot in group]
+    return dict(sorted(slots))
 
 
 def feature_importance(
@@ -19,7 +20,7 @@ def feature_importance(
     """Importance of each vector slot, largest first: one row per feature, not per data row."""
     names = feature_names(df, features)
     scores = model.featureImportances
-    rows = [(slot, names[slot], float(scores[slot])) for slot in sorted(names)]
+    rows = [(slot, names[slot], float(scores[slot])) for slot in names]
     table = df.sparkSession.createDataFrame(rows, "slot int, feature string, importance double")
     ranked = table.withColumn("importance_rounded", F.round("importance", digits)).orderBy(
         F.desc("importance"), "slot"

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featuretable.functions.predicates import can_be_nan, column, fields, missing_sql
+from featuretable.functions.predicates import all_present, can_be_nan, column, fields, is_missing
 from featuretable.operators.columns import one_row_per_column
 
 
@@ -41,26 +41,19 @@ def fill_with_max(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def loss_report(df: DataFrame) -> DataFrame:
-    """What dropping incomplete rows costs: per column its gaps, and rows lost to it alone.
+    """What dropping incomplete rows costs: the gaps of each column, and the rows before and after.
 
     One pass over the table gives one row; it is turned into one row per column afterwards.
     """
     columns = fields(df)
-    gaps = [f"CAST({missing_sql(field)} AS INT) AS _g{i}" for i, field in enumerate(columns)]
-    counted = df.selectExpr(*gaps).selectExpr(
-        "*", " + ".join(f"_g{i}" for i in range(len(columns))) + " AS _gaps"
+    totals = ["count(1) AS _rows", "count_if(_complete) AS _kept"]
+    totals += [f"count_if(_g{i}) AS _m{i}" for i in range(len(columns))]
+    gaps = df.select(
+        all_present(df).alias("_complete"),
+        *[is_missing(field).alias(f"_g{i}") for i, field in enumerate(columns)],
     )
-    totals = ["count(1) AS _rows", "count_if(_gaps = 0) AS _kept"]
-    for i in range(len(columns)):
-        totals.append(f"count_if(_g{i} = 1) AS _m{i}")
-        totals.append(f"count_if(_g{i} = 1 AND _gaps = 1) AS _a{i}")
-    laid_out = {
-        field.name: {
-            "missing": f"_m{i}",
-            "lost_to_it_alone": f"_a{i}",
-            "rows_before": "_rows",
-            "rows_after": "_kept",
-        }
+    cells = {
+        field.name: {"missing": f"_m{i}", "rows_before": "_rows", "rows_after": "_kept"}
         for i, field in enumerate(columns)
     }
-    return one_row_per_column(counted.selectExpr(*totals), laid_out)
+    return one_row_per_column(gaps.selectExpr(*totals), cells)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,27 +13,32 @@ from featuretable.sources.tables import read_table, write_table
 SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own_local_folder() -> str:
+    return tempfile.mkdtemp(prefix="featuretable-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate table under ``spark.checkpoint.dir``.
+    """A fresh path for one intermediate table under the session's ``spark.checkpoint.dir``.
 
-    Where the setting is missing, a local session (tests) gets its own folder; a cluster
+    Where the setting is missing, a local session (tests) gets a folder of its own; a cluster
     session is refused, because a folder on one machine would be lost with that machine.
     """
     root = spark.conf.get(SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="featuretable-")
-        spark.conf.set(SETTING, root)
+        root = _own_local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Write a table once and read it back: later jobs start from files, not from the lineage.
 
-    Unlike cached blocks the files survive the loss of executors.
+    Unlike cached blocks the files survive the loss of executors. The rows are rebalanced on the
+    way, so that jobs which read the table many times find evenly filled files of a useful size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    write_table(df, path, fmt)
+    write_table(df.hint("rebalance"), path, fmt)
     return read_table(spark, path, df.schema, fmt)

@@ -1,0 +1,112 @@
+"""The physical plans hold what the operators promise."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from featuretable.operators.assemble import left_join
+from featuretable.operators.filters import where_any_contains, where_equals
+from featuretable.operators.sets import dedup_by_key, set_difference
+from featuretable.plans import basetable as B
+from featuretable.plans.exploration import most_reviewed
+from workload import queries as Q
+from workload.roles import role, table
+
+LAZY = [
+    "basetable", "basetable_raw", "rollup_review", "rollup_checkin", "fact_join_dim", "null_audit",
+    "distinct_profile", "incomplete_report", "share_by_bucket", "set_difference", "dedup_by_key",
+    "hash_split", "precision_recall", "business_features", "parse_dates", "tenure_columns",
+]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df) -> list[str]:
+    return re.findall(r"Exchange (\w+)", plan(df))
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_python_no_cross_join_no_global_window(spark, sf_dir, name):
+    text = plan(Q.queries()[name](spark, sf_dir))
+    for forbidden in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin", "Window"):
+        assert forbidden not in text
+
+
+def test_filters_reach_the_scan(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    text = plan(where_any_contains(parts, "p_name", ["ring", "bolt"]).select("p_partkey"))
+    assert "Or(StringContains(p_name,ring),StringContains(p_name,bolt))" in text
+    assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in text
+    assert "EqualTo(p_brand,Brand#1)" in plan(where_equals(parts, "p_brand", "Brand#1"))
+
+
+def test_rollup_reads_five_columns_and_reduces_before_each_shuffle(spark, sf_dir, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(Q.rollup_review(spark, sf_dir))
+    assert "struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_discount:double," in text
+    assert "l_tax" not in text
+    assert exchanges(Q.rollup_review(spark, sf_dir)).count("hashpartitioning") == 4
+    assert text.count("partial_sum(") > 0
+    assert "SortAggregate" not in text
+
+
+def test_set_difference_shuffles_once(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    found = set_difference(orders, orders.filter("o_orderstatus = 'F'"))
+    assert exchanges(found) == ["hashpartitioning"]
+    assert "Join" not in plan(found)
+
+
+def test_dedup_sends_one_candidate_per_task(spark, sf_dir):
+    found = dedup_by_key(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
+    assert exchanges(found) == ["hashpartitioning"]
+    assert "partial_min" in plan(found)
+
+
+def test_top_list_is_not_a_full_sort(spark, sf_dir):
+    text = plan(most_reviewed(role(spark, sf_dir, "review")))
+    assert "TakeOrderedAndProject" in text
+    assert "rangepartitioning" not in text
+
+
+def test_basetable_joins_on_one_partitioning(spark, sf_dir, setting):
+    """Large inputs: rollups arrive partitioned, required tables become inner joins."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(Q.basetable(spark, sf_dir))
+    by_key = r"SortMergeJoin \[business_id#\d+L\], \[business_id#\d+L\], "
+    assert len(re.findall(by_key + "Inner", text)) == 2
+    # No shuffle by the business key sits on top of a join.
+    for line, after in zip(text.splitlines(), text.splitlines()[1:], strict=False):
+        if "Exchange hashpartitioning(business_id" in line:
+            assert "SortMergeJoin" not in after
+
+
+def test_hot_partition_of_a_join_is_split(spark, setting):
+    """A third of all facts share one key, and the dimension is too large to broadcast."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "0")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "100k")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    facts = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("k"),
+        F.col("id").alias("v"),
+    )
+    dim = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("name"))
+    joined = left_join(facts, dim, "k")
+    kept = joined.agg(F.count("*").alias("n"), F.sum("name").alias("s"))
+    expected = facts.agg(F.count("*"), F.sum(F.col("k") * 2))
+    assert rows(kept) == rows(expected)
+    assert "skew=true" in plan(kept) or "skewed" in plan(kept)
+
+
+def test_reports_prune_the_business_table(spark, sf_dir):
+    text = plan(B.clean_business(role(spark, sf_dir, "business")).groupBy("city").count())
+    assert "ReadSchema: struct<p_name:string,p_brand:string,p_size:int>" in text

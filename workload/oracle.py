@@ -153,7 +153,6 @@ def _incomplete_report() -> str:
     gaps = " + ".join(f"({name} IS NULL)::INT" for name in _RAW_COLUMNS)
     rows = " UNION ALL ".join(
         f"SELECT '{name}' AS column_name, {_null_count(name)} AS missing, "
-        f"count(*) FILTER (WHERE {name} IS NULL AND gaps = 1) AS lost_to_it_alone, "
         "count(*) AS rows_before, count(*) FILTER (WHERE gaps = 0) AS rows_after FROM counted"
         for name in _RAW_COLUMNS
     )
