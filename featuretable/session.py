@@ -18,6 +18,14 @@ SCALE_SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     # Where every partition of one side is this small, hash it and skip both sorts.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Large facts are thinned at the scan by a Bloom filter of the keys an inner join will keep.
+    # The filter has a fixed size (10 MB), however many keys go into it.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "10000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "10000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "83886080",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "83886080",
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 

@@ -87,6 +87,18 @@ def test_basetable_joins_on_one_partitioning(spark, sf_dir, setting):
             assert "SortMergeJoin" not in after
 
 
+def test_large_facts_are_thinned_before_they_are_grouped(spark, sf_dir, setting):
+    """With facts above the size threshold, keys that the label join drops never leave the scan."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1k")
+    found = Q.basetable(spark, sf_dir)
+    assert re.search(r"might_contain\(.*xxhash64\(l_partkey#", plan(found))
+    names = found.columns
+    expected = rows(found)
+    setting("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")
+    assert rows(Q.basetable(spark, sf_dir).select(names)) == expected
+
+
 def test_hot_partition_of_a_join_is_split(spark, setting):
     """A third of all facts share one key, and the dimension is too large to broadcast."""
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -20,10 +20,10 @@ from workload.roles import DAYS, EVENT_DAY, FACT_DAY, role, sources, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Grids and folds of the registered model queries; the full grids are the library defaults.
+# Grids and folds of the registered model queries; full grids and ten folds are the library defaults.
 FOLDS = 3
 GRIDS = {
-    "logistic_regression": {"regParam": [0.1, 0.01], "maxIter": [50, 100]},
+    "logistic_regression": V.LOGISTIC_GRID,
     "decision_tree": {"maxDepth": [2, 5], "maxBins": [10, 40]},
     "random_forest": {"numTrees": [20], "impurity": ["gini", "entropy"], "maxDepth": [4]},
 }
