@@ -20,8 +20,8 @@ def check_categories(df: DataFrame, names: Sequence[str], limit: int = MAX_CATEG
     Indexers keep every category on the driver and send the list to all tasks. One estimating pass
     sizes all columns; nothing is cut off silently.
     """
-    sizes = {r.column_name: r.distinct_count for r in distinct_profile(df, names, rsd=0.05).collect()}
-    large = {name: size for name, size in sizes.items() if size > limit}
+    sizes = distinct_profile(df, names, rsd=0.05).collect()
+    large = {row.column_name: row.distinct_count for row in sizes if row.distinct_count > limit}
     if large:
         raise ValueError(f"more than {limit} categories: {large}; group them before encoding")
 

@@ -10,7 +10,9 @@ from featuretable.functions.predicates import all_present, can_be_nan, column, f
 from featuretable.operators.columns import one_row_per_column
 
 
-def fill_constant(df: DataFrame, value: float | int | str | bool, names: Iterable[str]) -> DataFrame:
+def fill_constant(
+    df: DataFrame, value: float | int | str | bool, names: Iterable[str]
+) -> DataFrame:
     """Replace null and NaN by a constant in columns of the constant's type."""
     return df.na.fill(value, subset=list(names))
 

@@ -53,7 +53,9 @@ def timestamp_of(df: DataFrame, name: str) -> Column:
     return parse_timestamp(value) if isinstance(df.schema[name].dataType, T.StringType) else value
 
 
-def clean_business(business: DataFrame, terms: Iterable[str] | None = V.CATEGORY_TERMS) -> DataFrame:
+def clean_business(
+    business: DataFrame, terms: Iterable[str] | None = V.CATEGORY_TERMS
+) -> DataFrame:
     """Attribute names without dots; with ``terms`` only the businesses of those categories."""
     renamed = replace_in_names(business, {".": "_"})
     return renamed if terms is None else where_any_contains(renamed, "categories", terms)
@@ -71,7 +73,10 @@ def business_features(clean: DataFrame) -> DataFrame:
         *V.BASE_COLUMNS,
         *[equals_flag(F.col(name)).alias(name) for name in V.SIMPLE_FLAGS],
         number_or_default(F.col(V.PRICE), V.PRICE_DEFAULT, V.PRICE_MISSING_TEXT).alias(V.PRICE),
-        *[contains_flag(F.col(source), *terms).alias(name) for name, source, terms in V.SPECIAL_FLAGS],
+        *[
+            contains_flag(F.col(source), *terms).alias(name)
+            for name, source, terms in V.SPECIAL_FLAGS
+        ],
     )
 
 

@@ -18,10 +18,10 @@ from jobs import common  # noqa: E402
 
 def reports(sources: Sources, table: DataFrame, reference_day: str) -> dict[str, DataFrame]:
     """Every report as a lazy table; ``table`` is the stored base table."""
-    clean = clean_business(sources.business)
+    everything, clean = clean_business(sources.business, None), clean_business(sources.business)
     tenure = tenure_table(sources.user, "user_id", reference_day, sources.user_since)
     return {
-        "business_per_category": X.businesses_per(clean_business(sources.business, None), "categories"),
+        "business_per_category": X.businesses_per(everything, "categories"),
         "business_per_star": X.businesses_per(clean, "stars", order="key_desc"),
         "business_per_state": X.businesses_per(clean, "state"),
         "business_per_city": X.businesses_per(clean, "city"),

@@ -28,11 +28,12 @@ def months(a: str, b: str) -> str:
 
 
 def recency(day: str, last: str) -> str:
-    return f"round({months(f'TIMESTAMP {chr(39)}{day}{chr(39)}', f'date_trunc({chr(39)}day{chr(39)}, {last})')}, 0)"
+    return tenure(day, f"date_trunc('day', {last})")
 
 
 def tenure(day: str, since: str) -> str:
-    return f"round({months(f'TIMESTAMP {chr(39)}{day}{chr(39)}', since)}, 0)"
+    reference = f"TIMESTAMP '{day}'"
+    return f"round({months(reference, since)}, 0)"
 
 
 _RENAMED = ", ".join(f'"{name}" AS "{name.replace(".", "_")}"' for name, _ in BUSINESS)
