@@ -77,6 +77,11 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each symbol, as a number, and the offset of each text in them."""
     found, ends = symbols(data, offsets)
+    return grams_of(found, ends, order), ends
+
+
+def grams_of(found: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each symbol of texts given as symbols."""
     texts = len(ends) - 1
     lead = order - 1
     place = np.arange(len(found)) + lead * np.repeat(np.arange(1, texts + 1), np.diff(ends))
@@ -85,7 +90,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     code = padded.copy()
     for back in range(1, order):
         code[back:] |= padded[:-back] << np.uint32(BITS * back)
-    return code[place], ends
+    return code[place]
 
 
 def text_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -23,9 +23,9 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
+from featuretable.llm.joins import narrow
 from featuretable.sources.scratch import materialize
 
 TRACKED = 16_384
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     many = gone.filter((F.col("n_") > 1) | F.col("doc_id").isNull())
     if many.isEmpty():
         gone = gone.filter(~F.col("kept_")).select(F.col("doc_id").alias("gone_id_"))
-        return docs.join(gone, column(doc_id) == F.col("gone_id_"), "left_anti")
+        return docs.join(narrow(gone), column(doc_id) == F.col("gone_id_"), "left_anti")
     single = gone.filter((F.col("n_") == 1) & ~F.col("kept_") & F.col("doc_id").isNotNull())
     single = single.select(F.col("doc_id").alias("gone_id_"))
     many = many.select(F.col("doc_id").alias("gone_id_"))

@@ -11,14 +11,19 @@ from featuretable.llm import (
     exact_dedup,
     language_id,
     licenses,
+    line_dedup,
     packing,
+    quality_classifier,
     quality_rules,
+    sentencepiece,
     simhash,
     toxicity,
 )
+from featuretable.llm.joins import narrow
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,10 +48,21 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """Trusted are the documents that ``labels`` marks as of good quality."""
+    good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id"))
+    docs = table(spark, d, "documents").join(narrow(good.distinct()), F.col("doc_id") == F.col("good_id"), "left")
+    return quality_classifier.classify(docs, F.col("good_id").isNotNull())
+
+
 def op3(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.decide(table(spark, d, "documents")).drop("row")
+
+
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(table(spark, d, "documents")).drop("spans")
 
@@ -74,6 +90,19 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every text and whether decoding them gives the text back."""
+    model = vocabulary(PIECES)
+    ids = sentencepiece.encode(table(spark, d, "documents"), model, carry=("doc_id", "text"))
+    back = sentencepiece.decode(ids, model, carry=("doc_id", "text", "ids"), name="decoded")
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"),
+    )
+
+
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), vocabulary(TOKENIZER))
 
@@ -91,11 +120,14 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 # The learned models of the other operators, and packing, are tested by brute force and held-out rows.
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1,
+    "op2_quality_classifier": op2,
     "op3_simhash": op3,
+    "op4_line_dedup": op4,
     "op5_license_scan": op5,
     "op6_exact_dedup": op6,
     "op7_toxicity": op7,
     "op8_language_id": op8,
+    "op9_sentencepiece": op9,
     "op10_packing": op10,
 }
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL}

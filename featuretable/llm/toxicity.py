@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
 from featuretable.llm import charlm
+from featuretable.llm.joins import narrow
 from featuretable.llm.texts import map_texts, slices, text_bytes
 
 ORDERS = (3, 4, 5)
@@ -209,7 +210,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
     marks = labels.select(column(doc_id).alias("doc_id"), column(label).cast("int").alias("y"))
     marks = marks.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     source = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")).filter(learn)
-    return source.join(marks, "doc_id")
+    return source.join(narrow(marks), "doc_id")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
