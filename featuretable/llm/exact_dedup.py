@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column
-from featuretable.llm.joins import narrow
+from featuretable.llm.joins import without, wrapped
 from featuretable.sources.scratch import materialize
 
 TRACKED = 16_384
@@ -39,11 +39,15 @@ def normalised(text: Column) -> Column:
     )
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, digest, row`` of every document, stored."""
     rows = docs.select(
         column(doc_id).alias("doc_id"),
-        F.unhex(F.sha2(normalised(column(text)), 256)).alias("digest"),
+        digest(column(text)).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
     )
     return materialize(rows, "digests")
@@ -91,20 +95,16 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     apart by id; where there are any, one of each is taken after the join.
     """
     decided = materialize(decide(docs, text, doc_id), "decided")
-    gone = decided.groupBy("doc_id").agg(
-        F.max("kept").alias("kept_"), F.count(F.lit(1)).alias("n_")
-    )
-    many = gone.filter((F.col("n_") > 1) | F.col("doc_id").isNull())
-    if many.isEmpty():
-        gone = gone.filter(~F.col("kept_")).select(F.col("doc_id").alias("gone_id_"))
-        return docs.join(narrow(gone), column(doc_id) == F.col("gone_id_"), "left_anti")
-    single = gone.filter((F.col("n_") == 1) & ~F.col("kept_") & F.col("doc_id").isNotNull())
-    single = single.select(F.col("doc_id").alias("gone_id_"))
-    many = many.select(F.col("doc_id").alias("gone_id_"))
-    plain = docs.join(single.union(many), column(doc_id).eqNullSafe(F.col("gone_id_")), "left_anti")
-    repeated = docs.join(many, column(doc_id).eqNullSafe(F.col("gone_id_")), "left_semi")
-    digest = F.unhex(F.sha2(normalised(column(text)), 256))
+    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = ids.withColumnRenamed("doc_id", "id")
+    unclear = ids.filter((F.col("n") > 1) | F.col("id").isNull()).select("id")
+    if unclear.isEmpty():
+        return without(docs, doc_id, ids.filter(~F.col("stays")).select("id"))
+    gone = ids.filter(~F.col("stays") & (F.col("n") == 1) & F.col("id").isNotNull()).select("id")
+    rows = wrapped(docs, doc_id).withColumn("digest", digest(F.col("row").getField(text)))
+    known = F.col("id").eqNullSafe(F.col("id_"))
+    clear = rows.join(gone.union(unclear).select(F.col("id").alias("id_")), known, "left_anti")
     stays = decided.filter("kept").select(F.col("doc_id").alias("id_"), F.col("digest").alias("digest_"))
-    match = column(doc_id).eqNullSafe(F.col("id_")) & (F.col("own_digest_") == F.col("digest_"))
-    repeated = repeated.withColumn("own_digest_", digest).join(stays, match, "left_semi")
-    return plain.union(repeated.dropDuplicates([doc_id, "own_digest_"]).drop("own_digest_"))
+    rest = rows.join(unclear.select(F.col("id").alias("id_")), known, "left_semi")
+    rest = rest.join(stays, known & (F.col("digest") == F.col("digest_")), "left_semi")
+    return clear.union(rest.dropDuplicates(["id", "digest"])).select("row.*")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
+from featuretable.llm.joins import wrapped
 from featuretable.llm.texts import LOWER, SPACE, SpanHash, map_texts, mixed, spans, text_bytes
 from featuretable.sources.scratch import materialize
 
@@ -125,7 +126,8 @@ def _fours(keys: np.ndarray) -> pa.Array:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, no, line, words, halves`` of every line with a word, stored."""
+    """``doc_id, row, no, line, words, halves`` of every line with a word, stored; a text without lines
+    has one row with nulls."""
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         lines = Lines(*text_bytes(batch.column("text")))
@@ -141,7 +143,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         return {"lines": _grouped(values, lines.text_of, batch.num_rows)}
 
     rows = map_texts(docs, work, OCCURRENCE).withColumn("row", F.monotonically_increasing_id())
-    exploded = rows.select("doc_id", "row", F.explode("lines").alias("l"))
+    exploded = rows.select("doc_id", "row", F.explode_outer("lines").alias("l"))
     return materialize(exploded.select("doc_id", "row", "l.*"), "lines")
 
 
@@ -276,16 +278,17 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     source = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
     found = occurrences(source)
     near = materialize(partners(variants(source, survivors(found))), "partners")
-    first = found.groupBy("line").agg(F.min(F.struct("doc_id", "row", "no")).alias("first"))
+    lines = found.filter("line IS NOT NULL")
+    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "row", "no")).alias("first"))
     line = first.join(near, "line", "left")
     at = F.struct("doc_id", "row", "no")
-    judged = found.select("doc_id", "row", "no", "line").join(line, "line")
+    judged = found.select("doc_id", "row", "no", "line").join(line, "line", "left")
     judged = judged.withColumns(
-        {"equal": at > F.col("first"), "near": F.coalesce(at > F.col("earliest"), F.lit(False))}
+        {"equal": F.coalesce(at > F.col("first"), F.lit(False)), "near": F.coalesce(at > F.col("earliest"), F.lit(False))}
     )
     gone = F.col("equal") | F.col("near")
     return judged.groupBy("doc_id", "row").agg(
-        F.count(F.lit(1)).alias("n_lines"),
+        F.count("line").alias("n_lines"),
         F.count_if("equal").alias("n_equal"),
         F.count_if(~F.col("equal") & F.col("near")).alias("n_near"),
         F.array_sort(F.collect_list(F.when(gone, F.col("no")))).alias("dropped"),
@@ -295,11 +298,10 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the lines that go taken out of the text; ids have to be unique and not null."""
     gone = decide(docs, text, doc_id).filter(F.size("dropped") > 0)
-    gone = gone.select(F.col("doc_id").alias("own_id_"), "dropped")
-    joined = docs.join(gone, column(doc_id) == F.col("own_id_"), "left")
-    lines = F.filter(
-        F.split(column(text), "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("dropped", F.array().cast("array<int>")), i)
-    )
-    kept = F.when(column(text).isNotNull(), F.array_join(lines, "\n"))
-    names = docs.columns
-    return joined.withColumn(text, kept).select([column(n) for n in names])
+    gone = gone.select(F.col("doc_id").alias("id"), "dropped")
+    joined = wrapped(docs, doc_id).join(gone, "id", "left")
+    whole = F.col("row").getField(text)
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    lines = F.filter(F.split(whole, "\n", -1), lambda _, i: ~F.array_contains(dropped, i))
+    kept = F.when(whole.isNotNull(), F.array_join(lines, "\n"))
+    return joined.select(F.col("row").withField(text, kept).alias("row")).select("row.*")

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
 from featuretable.llm.components import components
-from featuretable.llm.joins import narrow
+from featuretable.llm.joins import without
 from featuretable.llm.texts import LOWER, SPACE, map_texts, mixed, spans, text_bytes
 from featuretable.sources.scratch import materialize
 
@@ -300,5 +300,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, all columns; rows without id stay."""
     groups = near_duplicates(docs, text, doc_id).filter(F.col("doc_id") != F.col("component_id"))
-    gone = materialize(groups.select(F.col("doc_id").alias("gone_id_")).distinct(), "gone")
-    return docs.join(narrow(gone), column(doc_id) == F.col("gone_id_"), "left_anti")
+    gone = materialize(groups.select(F.col("doc_id").alias("id")).distinct(), "gone")
+    return without(docs, doc_id, gone)

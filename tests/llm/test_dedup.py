@@ -1,0 +1,221 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from featuretable.llm import components, exact_dedup, line_dedup, simhash
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# -- exact
+
+
+def exact_brute(rows):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[hashlib.sha256(lower(text).encode()).hexdigest()].append(doc_id)
+    return {(i, max(g), len(g), i == max(g), k) for k, g in groups.items() for i in g}
+
+
+def decided(df):
+    return {(r.doc_id, r.keep_id, r.group_size, r.kept, r.digest.hex()) for r in exact_dedup.decide(df).collect()}
+
+
+def test_exact_equals_brute_force(docs):
+    assert decided(docs) == exact_brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_exact_hot_group(spark):
+    rows = [(i, ("Copied" if i % 6 else "copied") if i % 3 == 0 else f"text {i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert decided(df) == exact_brute(rows)
+    heavy = exact_dedup.frequent(exact_dedup.digests(df)).collect()
+    assert max(r.n for r in heavy) == 1000
+    assert exact_dedup.dedup(df).count() == len({lower(t) for _, t in rows})
+
+
+def test_exact_edges(edges, nothing):
+    rows = exact_dedup.decide(edges).collect()
+    assert len(rows) == 10
+    empty_digest = hashlib.sha256(b"").digest()
+    same = [r for r in rows if r.group_size == 3 and r.digest != empty_digest]
+    assert [r.doc_id for r in same if r.kept] == [7] and {r.keep_id for r in same} == {7}
+    empty = [r for r in rows if r.digest == empty_digest]
+    assert len(empty) == 3 and [r.doc_id for r in empty if r.kept] == [2]
+    left = exact_dedup.dedup(edges)
+    assert left.columns == edges.columns
+    assert sorted((r.doc_id or 0, lower(r.text)[:9]) for r in left.collect()) == sorted(
+        (r.doc_id or 0, lower(t.text)[:9]) for r in rows for t in edges.collect()
+        if r.kept and t.doc_id == r.doc_id and hashlib.sha256(lower(t.text).encode()).digest() == r.digest
+    )
+    repeated = edges.filter("doc_id = 3")
+    assert exact_dedup.dedup(repeated).count() == 1
+    assert exact_dedup.decide(nothing).count() == 0
+    assert exact_dedup.dedup(nothing).count() == 0
+
+
+# -- SimHash
+
+
+def print_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots_of(rows):
+    """Smallest id by chains of at most 4 differing bits."""
+    prints = [p for _, p in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4:
+            up[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return {doc_id: least[find(i)] for i, (doc_id, _) in enumerate(rows)}
+
+
+def test_simhash_equals_brute_force(docs):
+    rows = [(r.doc_id, print_of(r.text)) for r in docs.collect()]
+    want = roots_of(rows)
+    got = simhash.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {
+        (i, f"{p:016x}", want[i]) for i, p in rows
+    }
+    assert len(set(want.values())) < len(want)
+    left = simhash.dedup(docs)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == set(want.values())
+
+
+def test_near_words_share_a_golay_number():
+    code = simhash.Golay()
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 23, 300, dtype=np.uint32)
+    one = [1 << i for i in range(23)]
+    for flip in [*one, *(a | b for a, b in combinations(one, 2))]:
+        (a, n), (b, m) = code.numbers(words), code.numbers(words ^ np.uint32(flip))
+        use_a, use_b = np.arange(6) < n[:, None], np.arange(6) < m[:, None]
+        equal = (a[:, :, None] == b[:, None, :]) & use_a[:, :, None] & use_b[:, None, :]
+        assert equal.any(axis=(1, 2)).all()
+
+
+@pytest.mark.parametrize("spread", [4, 40])
+def test_links_connect_what_brute_force_connects(spark, spread):
+    rng = random.Random(spread)
+    prints = set()
+    for _ in range(25):
+        p = rng.getrandbits(64)
+        for _ in range(spread):
+            prints.add(p)
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                p ^= 1 << b
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+    want = roots_of(list(zip(signed, prints, strict=True)))
+    assert {p: roots.get(p, p) for p in signed} == want
+
+
+def test_simhash_edges(edges, nothing):
+    rows = simhash.near_duplicates(edges).collect()
+    assert len(rows) == 10
+    empty = [r for r in rows if r.fingerprint == "0" * 16]
+    assert len(empty) == 4 and {r.component_id for r in empty} == {1}
+    assert {r.component_id for r in rows if r.doc_id in (3, 7)} == {3}
+    assert simhash.near_duplicates(nothing).count() == 0
+    assert simhash.dedup(edges).columns == edges.columns
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7)]
+    random.Random(0).shuffle(chain)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 300)}
+
+
+# -- lines
+
+
+def lines_brute(rows):
+    """By comparing every line with all earlier ones."""
+
+    def near(x, y):
+        if abs(len(x) - len(y)) > 1 or min(len(x), len(y)) < line_dedup.NEAR_WORDS:
+            return False
+        if len(x) == len(y):
+            return sum(p != q for p, q in zip(x, y, strict=True)) <= 1
+        long, short = (x, y) if len(x) > len(y) else (y, x)
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    earlier, out = [], []
+    for doc_id, text in rows:
+        n, equal, close, gone = 0, 0, 0, []
+        for no, line in enumerate((text or "").split("\n")):
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower(line)) if w]
+            if not words:
+                continue
+            n += 1
+            same = words in earlier
+            almost = not same and any(near(words, e) for e in earlier)
+            equal, close = equal + same, close + almost
+            if same or almost:
+                gone.append(no)
+            if not same:
+                earlier.append(words)
+        out.append((doc_id, n, equal, close, gone))
+    return out
+
+
+def got_lines(df):
+    rows = line_dedup.decide(df).orderBy("doc_id", "row").collect()
+    return [(r.doc_id, r.n_lines, r.n_equal, r.n_near, list(r.dropped)) for r in rows]
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "delta"]
+    rows = []
+    for i in range(60):
+        made = []
+        for _ in range(5):
+            line = [*"the quick brown fox jumps over a lazy dog near some river".split()[: rng.randint(6, 12)]]
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+            made.append(" ".join(line))
+        rows.append((i, "\n".join(made)))
+    want = lines_brute(rows)
+    assert sum(w[3] for w in want) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_lines(df) == want
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    for (i, whole), (_, _, _, _, gone) in zip(rows, want, strict=True):
+        assert text[i] == "\n".join(x for k, x in enumerate(whole.split("\n")) if k not in gone)
+
+
+def test_lines_edges(edges, nothing):
+    got = got_lines(edges)
+    assert len(got) == 10
+    by = {g[0]: g for g in got if g[0] in (1, 2, 4, 7)}
+    assert by[1][1:] == (0, 0, 0, []) and by[4][1:] == (0, 0, 0, []) and by[7][1:] == (2, 2, 0, [0, 1])
+    assert sorted(g[2] for g in got if g[0] == 3) == [0, 2]
+    assert got_lines(nothing) == []
