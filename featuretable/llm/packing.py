@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,20 +26,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column
-from featuretable.llm.texts import SPACE, SpanHash, slices, spans, text_bytes
+from featuretable.llm.texts import LOWER, SPACE, SpanHash, slices, spans, text_bytes
 from featuretable.sources.scratch import materialize
 
 LENGTH = 2048
 END_ID = 1
 GROUP = 4096
 #: Distinct words a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 2_000_000
+# Letters, and marks that the tokenizer always parts from a letter before them.
+CAPITAL = np.zeros(256, bool)
+CAPITAL[65:91] = True
+LETTER = CAPITAL.copy()
+LETTER[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[[ord(c) for c in '.,!?;:)"']] = True
 
 
 class WordTokens:
     """Token ids of words, each distinct word tokenised once.
 
-    Right for tokenizers that never join across ASCII white space and drop it.
+    Right for tokenizers that drop white space, ignore case, and never join across white space or from a
+    letter to a mark; words are parted there and put in lower case, so that fewer are distinct. (Case is
+    left alone where special tokens may stand, which do not ignore it, and before other than ASCII
+    characters, which may combine with the letter.)
+
+    Word hashes are kept sorted beside the numbers of the words, whose ids lie in one array.
     """
 
     def __init__(self, path: str):
@@ -48,39 +61,53 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.number = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         first = len(self.number)
-        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.number = np.insert(self.number, at, np.arange(first, first + len(keys)))
         ends = self.start[-1] + np.cumsum([len(f) for f in found])
         self.start = np.concatenate([self.start, ends.astype(np.int64)])
-        self.ids = np.concatenate([self.ids, *found])
+        new = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - self.start[first]))
+        self.ids = np.concatenate([self.ids, new])
+
+    @staticmethod
+    def _words(data: np.ndarray, offsets: np.ndarray):
+        starts, ends, _ = spans(~SPACE[data], offsets)
+        cuts = np.flatnonzero(LETTER[data[:-1]] & MARK[data[1:]]) + 1
+        cuts = np.setdiff1d(cuts, offsets, assume_unique=True)
+        starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
+        return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the offset of each text in them."""
-        starts, ends, text_of = spans(~SPACE[data], offsets)
+        raw = data.tobytes()
+        if b"<|" not in raw:
+            plain = CAPITAL[data] & (np.append(data[1:], 0) < 128)
+            data = np.where(plain, LOWER[data], data)
+            raw = data.tobytes()
+        starts, ends, text_of = self._words(data, offsets)
         texts = len(offsets) - 1
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
         keys, at, inverse = np.unique(
             SpanHash(data).of(starts, ends), return_index=True, return_inverse=True
         )
-        if len(self.number) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._clear()
-        known = [self.number.get(k, -1) for k in keys.tolist()]
-        new = [i for i, k in enumerate(known) if k < 0]
-        if new:
-            raw = data.tobytes()
-            words = [raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new]
-            first = len(self.number)
-            self._learn([int(keys[i]) for i in new], words)
-            for k, i in enumerate(new):
-                known[i] = first + k
-        number = np.array(known, np.int64)[inverse]
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
+        if new.size:
+            first, last = starts[at[new]].tolist(), ends[at[new]].tolist()
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(first, last, strict=True)]
+            self._learn(keys[new], words)
+        number = self.number[np.searchsorted(self.keys, keys)][inverse]
         begin, length = self.start[number], self.start[number + 1] - self.start[number]
         done = np.cumsum(length)
         flat = np.arange(done[-1]) + np.repeat(begin - (done - length), length)
