@@ -60,6 +60,10 @@ UNUSED_ATTRIBUTES = (
 # Business columns that pass through unchanged; the first one is the key.
 BASE_COLUMNS = ("business_id", "city", "is_open", "review_count", "stars", "state")
 
+# Columns that tell closed businesses and delivery.
+CLOSED = "Temporary Closed Until"
+DELIVERY = "delivery or takeout"
+
 # Texts for an open business and for the positive class.
 OPEN_TEXT = "FALSE"
 POSITIVE_TEXT = "TRUE"

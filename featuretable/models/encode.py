@@ -6,19 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, RFormula, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from featuretable.functions.predicates import column
 from featuretable.operators.columns import drop
 from featuretable.operators.profile import distinct_profile
+from featuretable.operators.ranking import running_total
+from featuretable.sources.scratch import scratch_path
+from featuretable.sources.tables import read_table, write_table
 
-MAX_CATEGORIES = 100_000
+# What a vector is in a Parquet file: sparse (0) with indices, or dense (1).
+VECTOR = T.StructType.fromDDL("type tinyint, size int, indices array<int>, values array<double>")
 
 
-def check_categories(df: DataFrame, names: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
-    """Fail before a fit whose category list would outgrow the driver.
+def check_categories(df: DataFrame, names: Sequence[str], limit: int) -> None:
+    """Fail before a fit whose category list would outgrow what the caller allows.
 
-    Indexers keep every category on the driver and send the list to all tasks. One estimating pass
-    sizes all columns; nothing is cut off silently.
+    Indexers of Spark ML keep every category on the driver and send the list to all tasks. One
+    estimating pass sizes all columns; nothing is cut off silently.
     """
     sizes = distinct_profile(df, names, rsd=0.05).collect()
     large = {row.column_name: row.distinct_count for row in sizes if row.distinct_count > limit}
@@ -26,6 +33,23 @@ def check_categories(df: DataFrame, names: Sequence[str], limit: int = MAX_CATEG
         raise ValueError(f"more than {limit} categories: {large}; group them before encoding")
 
 
+def category_index(df: DataFrame, name: str, index: str = "index") -> DataFrame:
+    """Distinct values of a column with their numbers by falling frequency, ties by value.
+
+    The numbers are the ones a ``StringIndexer`` gives, but the list of values stays distributed.
+    """
+    counts = df.filter(column(name).isNotNull()).groupBy(column(name)).agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.desc("_n"), column(name).asc()]
+    return running_total(counts, order, F.lit(1), index).select(column(name), F.col(index).cast("double"))
+
+
+def with_category_index(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add the category number of each column; a hot category is split by adaptive execution."""
+    for name, index in zip(names, index_names(names), strict=True):
+        df = df.join(category_index(df, name, index), name, "left")
+    return df
+
+
 def index_names(names: Sequence[str]) -> list[str]:
     return [f"{name}Ind" for name in names]
 
@@ -59,9 +83,11 @@ def fit_encoder(
     train: DataFrame,
     names: Sequence[str],
     handle_invalid: str = "keep",
-    limit: int = MAX_CATEGORIES,
+    limit: int | None = None,
 ) -> PipelineModel:
-    check_categories(train, names, limit)
+    """The fitted encoder; with ``limit`` columns of more categories are refused first."""
+    if limit is not None:
+        check_categories(train, names, limit)
     return category_encoder(names, handle_invalid).fit(train)
 
 
@@ -73,3 +99,29 @@ def apply_encoder(model: PipelineModel, df: DataFrame, names: Sequence[str]) ->
 def fit_formula(train: DataFrame, label: str, key: str):
     """All columns but label and key as one ``features`` vector, in column order."""
     return RFormula(formula=f"{label} ~ . - {key}").fit(train)
+
+
+def vector_slots(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Each vector column as ``size`` and ``slots`` (slot and value of what is not 0).
+
+    The table is stored and read again with vectors as the structs they are in Parquet, so sparse
+    vectors never become arrays of their full width.
+    """
+    path = scratch_path(df.sparkSession, "vectors")
+    write_table(df, path)
+    fields = [
+        T.StructField(f.name, VECTOR) if f.name in names else f for f in df.schema
+    ]
+    stored = read_table(df.sparkSession, path, T.StructType(fields), "parquet")
+    return stored.withColumns({name: _slots_of(column(name)) for name in names})
+
+
+def _slots_of(vector: Column) -> Column:
+    slots = F.transform(
+        vector["values"],
+        lambda v, i: F.struct(F.coalesce(vector["indices"][i], i).alias("slot"), v.alias("value")),
+    )
+    size = F.coalesce(vector["size"], F.size(vector["values"]))
+    return F.struct(
+        size.alias("size"), F.filter(slots, lambda s: s["value"] != 0).alias("slots")
+    )

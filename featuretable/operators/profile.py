@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column, fields, is_missing
 from featuretable.operators.columns import one_row_per_column
+from featuretable.sources.scratch import materialize
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -38,13 +39,16 @@ def distinct_profile(
     """Distinct non-null values of every column, one row per column.
 
     Exact counts run one narrow branch per column: each reads its own column only and drops
-    repeats before the shuffle. Several exact counts in one aggregate would instead copy every row
+    repeats before the shuffle. (A table that is not a plain scan of columnar files is stored first,
+    once.) Several exact counts in one aggregate would instead copy every row
     once per column. With ``rsd`` all counts are estimated in a single pass.
     """
     names = [field.name for field in fields(df, names)]
     if rsd is not None:
         counts = {name: F.approx_count_distinct(column(name), rsd) for name in names}
         return _one_row_per_column(df, names, {"distinct_count": counts})
+    if not _is_plain_scan(df):
+        df = materialize(df.select(*[column(name) for name in names]), "profile")
     branches = [
         distinct_count(df, name, "distinct_count").select(
             F.lit(name).alias("column_name"), "distinct_count"
@@ -54,6 +58,28 @@ def distinct_profile(
     return reduce(DataFrame.unionAll, branches)
 
 
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether the table is read from columnar files as it is, so that a column costs a column."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip()
+    return "\n" not in plan and plan.startswith("Relation") and plan.endswith("parquet")
+
+
+def distinct_keys(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Distinct non-null values of several columns in one pass over the table.
+
+    A row becomes one short row per column; repeats fold together before the shuffle. For a few key
+    columns of a table that is dear to scan.
+    """
+    names = list(names)
+    pairs = F.array(*[
+        F.struct(F.lit(name).alias("key"), column(name).cast("string").alias("value")) for name in names
+    ])
+    seen = df.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
+    listed = df.sparkSession.createDataFrame([(name,) for name in names], "key string")
+    found = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return listed.join(found, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n_keys"))
+
+
 def null_audit(df: DataFrame) -> DataFrame:
     """Number of null or NaN values per column, as one wide row."""
     return df.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featuretable.functions.numbers import percentage
+from featuretable.functions.predicates import column
 
 
 def count_by(
@@ -15,11 +16,13 @@ def count_by(
 
     ``order`` is ``count`` (largest first), ``key``, ``key_desc`` or ``none``.
     """
-    counted = df.groupBy(by).agg(F.count(F.lit(1) if of is None else F.col(of)).alias(name))
+    counted = df.groupBy(column(by)).agg(
+        F.count(F.lit(1) if of is None else column(of)).alias(name)
+    )
     sorts = {
-        "count": [F.desc(name), F.asc(by)],
-        "key": [F.asc(by)],
-        "key_desc": [F.desc(by)],
+        "count": [column(name).desc(), column(by).asc()],
+        "key": [column(by).asc()],
+        "key_desc": [column(by).desc()],
         "none": [],
     }
     return counted.orderBy(*sorts[order]) if sorts[order] else counted
@@ -30,14 +33,16 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` largest groups, ties settled by the key."""
     counted = count_by(df, by, of, name, order="none")
-    return counted.orderBy(F.desc(name), F.asc(by)).limit(k)
+    return counted.orderBy(column(name).desc(), column(by).asc()).limit(k)
 
 
 def flag_totals(
     df: DataFrame, flag: str, label: str, total: str = "n_total", positives: str = "n_positive"
 ) -> DataFrame:
     """Group size and positive labels for each value of a flag."""
-    return df.groupBy(flag).agg(F.count(flag).alias(total), F.sum(label).alias(positives))
+    return df.groupBy(column(flag)).agg(
+        F.count(column(flag)).alias(total), F.sum(column(label)).alias(positives)
+    )
 
 
 def count_where(df: DataFrame, condition: Column, by: str, name: str = "total") -> DataFrame:
@@ -47,7 +52,7 @@ def count_where(df: DataFrame, condition: Column, by: str, name: str = "total")
 
 def average_where(df: DataFrame, condition: Column, by: str, of: str, name: str) -> DataFrame:
     """Group averages among the rows that meet a condition."""
-    return df.filter(condition).groupBy(by).agg(F.avg(of).alias(name))
+    return df.filter(condition).groupBy(column(by)).agg(F.avg(column(of)).alias(name))
 
 
 def share_by_bucket(
@@ -60,8 +65,8 @@ def share_by_bucket(
 ) -> DataFrame:
     """Labelled rows, positive ones and their percentage per bucket, in bucket order."""
     return (
-        df.groupBy(bucket)
-        .agg(F.count(label).alias(total), F.sum(label).alias(positives))
-        .withColumn(share, percentage(F.col(positives), F.col(total)))
-        .orderBy(bucket)
+        df.groupBy(column(bucket))
+        .agg(F.count(column(label)).alias(total), F.sum(column(label)).alias(positives))
+        .withColumn(share, percentage(column(positives), column(total)))
+        .orderBy(column(bucket))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featuretable.functions.dates import recency_months
+from featuretable.functions.predicates import column
 
 
 def rollup_activity(
@@ -22,13 +23,20 @@ def rollup_activity(
     reference: str | Column,
     count_as: str,
     recency_as: str,
+    parsed: Column | None = None,
 ) -> DataFrame:
-    """Number of dated facts and whole months since the latest one."""
-    latest = facts.groupBy(entity).agg(
-        F.count(date).alias(count_as), F.max(date).alias("_latest")
+    """Number of facts with a date and whole months since the latest one.
+
+    Where dates are text, ``parsed`` is their value: a text that is no date still counts as a fact.
+    """
+    latest = facts.groupBy(column(entity)).agg(
+        F.count(column(date)).alias(count_as),
+        F.max(column(date) if parsed is None else parsed).alias("_latest"),
     )
     return latest.select(
-        entity, count_as, recency_months(reference, F.col("_latest")).alias(recency_as)
+        column(entity),
+        column(count_as),
+        recency_months(reference, F.col("_latest")).alias(recency_as),
     )
 
 
@@ -48,9 +56,9 @@ def rollup_with_members(
 ) -> DataFrame:
     """Averages, counts and recency per entity, over facts written by members.
 
-    Both mappings go from output name to input column. Member averages weigh a member by the
-    number of its facts, as if the member table had been joined to every fact; ``members`` must
-    hold one row per member.
+    Both mappings go from output name to input column. All averages and counts are those of the
+    members joined to every fact: a member weighs as its facts, and one that the member table
+    repeats weighs as often as it stands there. It is one member all the same in the distinct count.
 
     Facts are first reduced to one row per (entity, member). That shuffle carries the distinct
     count as well, spreads a hot entity over its members and a hot member over its entities, and
@@ -58,33 +66,34 @@ def rollup_with_members(
     """
     partials = []
     for i, name in enumerate(fact_averages.values()):
-        partials += [F.sum(name).alias(f"_sum{i}"), F.count(name).alias(f"_n{i}")]
-    pairs = facts.groupBy(entity, member).agg(
+        partials += [F.sum(column(name)).alias(f"_sum{i}"), F.count(column(name)).alias(f"_n{i}")]
+    pairs = facts.groupBy(column(entity), column(member)).agg(
         *partials,
         F.count(F.lit(1)).alias("_facts"),
-        F.count(count_of).alias("_counted"),
-        F.max(date).alias("_latest"),
-    )
-    wanted = dict.fromkeys(member_averages.values())
-    joined = pairs.join(
-        members.select(member, *[F.col(name).alias(f"_m_{name}") for name in wanted]),
-        member,
-        "left",
+        F.count(column(count_of)).alias("_counted"),
+        F.max(column(date)).alias("_latest"),
     )
+    wanted = list(dict.fromkeys(member_averages.values()))
+    per_member = []
+    for i, name in enumerate(wanted):
+        per_member += [F.sum(column(name)).alias(f"_m_sum{i}"), F.count(column(name)).alias(f"_m_n{i}")]
+    known = members.groupBy(column(member)).agg(F.count(F.lit(1)).alias("_rows"), *per_member)
+    joined = pairs.join(known, member, "left")
 
-    weight = F.col("_facts")
+    times = F.coalesce("_rows", F.lit(1))
     totals = [
-        F.try_divide(F.sum(f"_sum{i}"), F.sum(f"_n{i}")).alias(name)
+        F.try_divide(F.sum(F.col(f"_sum{i}") * times), F.sum(F.col(f"_n{i}") * times)).alias(name)
         for i, name in enumerate(fact_averages)
     ]
+    facts_of = F.col("_facts")
     for name, source in member_averages.items():
-        value = F.col(f"_m_{source}")
-        known = F.when(value.isNotNull(), weight)
-        totals.append(F.try_divide(F.sum(value * weight), F.sum(known)).alias(name))
-    grouped = joined.groupBy(entity).agg(
+        i = wanted.index(source)
+        value, n = F.col(f"_m_sum{i}") * facts_of, F.col(f"_m_n{i}") * facts_of
+        totals.append(F.try_divide(F.sum(value), F.sum(n)).alias(name))
+    grouped = joined.groupBy(column(entity)).agg(
         *totals,
-        F.sum("_counted").alias(count_as),
-        F.count(member).alias(distinct_as),
+        F.sum(F.col("_counted") * times).alias(count_as),
+        F.count(column(member)).alias(distinct_as),
         F.max("_latest").alias("_latest"),
     )
     return grouped.withColumn(

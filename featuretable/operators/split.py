@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from featuretable.functions.predicates import column
 from featuretable.operators.reports import count_by
 
-BUCKETS = 1000
+HASH_DIGITS = 15  # hexadecimal: 60 bits, so that any share is met to one part in 10^18
 
 
-def hash_bucket(key: Column, seed: int, buckets: int = BUCKETS) -> Column:
-    """A bucket number that depends on key and seed only, never on partitioning or row order."""
+def hash_number(key: Column, seed: int, digits: int = HASH_DIGITS) -> Column:
+    """A number that depends on key and seed only, never on partitioning or row order."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
+
+
+def hash_bucket(key: Column, seed: int, buckets: int) -> Column:
+    """The number of one of ``buckets`` even buckets."""
+    return F.pmod(hash_number(key, seed, 8), F.lit(buckets))
 
 
 def in_train(key: Column, label: Column, fractions: Mapping[object, float], seed: int) -> Column:
     """True for the sampled share of each stratum; strata without a fraction are never sampled."""
-    limit = F.lit(0)
+    limit = F.lit(0).cast("bigint")
     for stratum, share in fractions.items():
-        limit = F.when(label == F.lit(stratum), round(share * BUCKETS)).otherwise(limit)
-    return F.coalesce(hash_bucket(key, seed) < limit, F.lit(False))
+        below = F.lit(int(share * 16**HASH_DIGITS)).cast("bigint")
+        limit = F.when(label == F.lit(stratum), below).otherwise(limit)
+    return F.coalesce(hash_number(key, seed) < limit, F.lit(False))
 
 
 def hash_split(

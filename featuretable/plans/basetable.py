@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable import fixed_values as V
-from featuretable.functions.dates import parse_timestamp, tenure_columns, tenure_months
+from featuretable.functions.dates import parse_day, parse_timestamp, tenure_columns, tenure_months
 from featuretable.functions.flags import contains_flag, equals_flag, number_or_default
 from featuretable.functions.predicates import column
 from featuretable.operators.assemble import left_assemble
@@ -53,6 +53,15 @@ def timestamp_of(df: DataFrame, name: str) -> Column:
     return parse_timestamp(value) if isinstance(df.schema[name].dataType, T.StringType) else value
 
 
+def truth_text(value: Column) -> Column:
+    """``TRUE``/``FALSE`` for booleans, and for the text a boolean becomes when read as text.
+
+    Any other text stays as it is; mixed case is no boolean.
+    """
+    text = value.cast("string")
+    return F.when(text.isin("true", "false"), F.upper(text)).otherwise(text)
+
+
 def clean_business(
     business: DataFrame, terms: Iterable[str] | None = V.CATEGORY_TERMS
 ) -> DataFrame:
@@ -82,14 +91,14 @@ def business_features(clean: DataFrame) -> DataFrame:
 
 def covid_labels(covid: DataFrame) -> DataFrame:
     """The label of every business that is not closed, one row per business."""
-    named = replace_in_names(
-        keep(covid, [KEY, "Temporary Closed Until", "delivery or takeout"]), {" ": "_"}
+    named = replace_in_names(keep(covid, [KEY, V.CLOSED, V.DELIVERY]), {" ": "_"})
+    closed, delivery = V.CLOSED.replace(" ", "_"), V.DELIVERY.replace(" ", "_")
+    texts = named.withColumns({name: truth_text(column(name)) for name in (closed, delivery)})
+    is_open = where_equals(texts, closed, V.OPEN_TEXT)
+    labelled = drop(is_open, [closed]).withColumn(
+        "label", equals_flag(F.col(delivery), V.POSITIVE_TEXT)
     )
-    is_open = where_equals(named, "Temporary_Closed_Until", V.OPEN_TEXT)
-    labelled = drop(is_open, ["Temporary_Closed_Until"]).withColumn(
-        "label", equals_flag(F.col("delivery_or_takeout"), V.POSITIVE_TEXT)
-    )
-    return dedup_by_key(labelled, KEY, "delivery_or_takeout")
+    return dedup_by_key(labelled, KEY, delivery)
 
 
 def reviewers(user: DataFrame, reference: str, since: str) -> DataFrame:
@@ -105,7 +114,9 @@ def reviewers(user: DataFrame, reference: str, since: str) -> DataFrame:
 
 def tenure_table(user: DataFrame, key: str, reference: str, since: str) -> DataFrame:
     """Distance from each user's first day to the reference day, in several units."""
-    start = timestamp_of(user, since)
+    start = column(since)
+    if isinstance(user.schema[since].dataType, T.StringType):
+        start = parse_day(start)  # the time of day, if there is one, does not matter here
     return user.select(
         key, *[value.alias(name) for name, value in tenure_columns(reference, start).items()]
     )
@@ -113,15 +124,17 @@ def tenure_table(user: DataFrame, key: str, reference: str, since: str) -> DataF
 
 def rollup_checkin(checkin: DataFrame, reference: str) -> DataFrame:
     """Visits per business; the table holds one row per visit."""
-    visits = checkin.select(KEY, timestamp_of(checkin, "date").alias("date"))
+    parsed = timestamp_of(checkin, "date")
     return rollup_activity(
-        visits, KEY, "date", reference, "count_checkins", "checkin_recency_months"
+        checkin, KEY, "date", reference, "count_checkins", "checkin_recency_months", parsed
     )
 
 
 def rollup_tip(tip: DataFrame, reference: str) -> DataFrame:
-    tips = tip.select(KEY, timestamp_of(tip, "date").alias("date"))
-    return rollup_activity(tips, KEY, "date", reference, "count_tip", "tip_recency_months")
+    parsed = timestamp_of(tip, "date")
+    return rollup_activity(
+        tip, KEY, "date", reference, "count_tip", "tip_recency_months", parsed
+    )
 
 
 def rollup_review(review: DataFrame, users: DataFrame, reference: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featuretable import fixed_values as V
-from featuretable.models.encode import MAX_CATEGORIES, apply_encoder, fit_encoder, fit_formula
+from featuretable.models.encode import apply_encoder, fit_encoder, fit_formula
 from featuretable.models.metrics import model_metrics
 from featuretable.models.tune import FAMILIES, grid_search
 from featuretable.operators.columns import drop
@@ -41,7 +41,7 @@ def split(
 
 
 def encode(
-    train: DataFrame, test: DataFrame, limit: int = MAX_CATEGORIES
+    train: DataFrame, test: DataFrame, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """One-hot vectors for the categories, learnt from the training rows alone."""
     model = fit_encoder(train, CATEGORIES, limit=limit)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featuretable.functions.predicates import column
+
 FORMATS = ("parquet", "json")
 
 
@@ -13,17 +18,26 @@ def read_table(
     path: str | list[str],
     schema: T.StructType | None = None,
     fmt: str = "json",
+    required: Sequence[str] = (),
 ) -> DataFrame:
     """Scan a table. With a schema only its fields are decoded and no inference job runs.
 
     JSON leaves out null fields when written, so a column that is null throughout comes back
-    only if the schema names it.
+    only if the schema names it. A field that the files do not have reads as null as well: columns
+    named in ``required`` are counted in one pass, and one that holds no value is an error.
     """
     _check_format(fmt)
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path)
+    table = reader.load(path)
+    if required:
+        counts = [F.count(column(name)).alias(f"n{i}") for i, name in enumerate(required)]
+        found = table.agg(F.count(F.lit(1)).alias("rows"), *counts).first()
+        empty = [name for i, name in enumerate(required) if not found[f"n{i}"]]
+        if found["rows"] and empty:
+            raise ValueError(f"no value at all in {empty} of {path}")
+    return table
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -30,7 +30,7 @@ def parser(description: str) -> argparse.ArgumentParser:
 def add_inputs(found: argparse.ArgumentParser) -> None:
     for name in ("business", "checkin", "covid", "user", "review", "tip"):
         found.add_argument(f"--{name}", required=True, help=f"path of the {name} table")
-    found.add_argument("--since", default="user_since", help="join date column of the user table")
+    found.add_argument("--since", required=True, help="join date column of the user table")
     found.add_argument("--reference-day", default=V.REFERENCE_DAY)
 
 
@@ -43,8 +43,16 @@ def read_sources(spark: SparkSession, args: argparse.Namespace) -> Sources:
         "review": S.review_schema(),
         "tip": S.tip_schema(),
     }
+    required = {
+        "business": ["business_id", "categories", "city", "state", "stars"],
+        "checkin": ["business_id", "date"],
+        "covid": ["business_id", V.CLOSED, V.DELIVERY],
+        "user": ["user_id", args.since, "average_stars", "fans", "review_count"],
+        "review": ["business_id", "user_id", "date", "stars", "useful"],
+        "tip": ["business_id", "date"],
+    }
     read = {
-        name: S.read_table(spark, getattr(args, name), schema, args.format)
+        name: S.read_table(spark, getattr(args, name), schema, args.format, required[name])
         for name, schema in schemas.items()
     }
     return Sources(**read, user_since=args.since)

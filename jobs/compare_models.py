@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from featuretable import fixed_values as V  # noqa: E402
 from featuretable.plans.modelling import compare  # noqa: E402
 from featuretable.session import build_session  # noqa: E402
+from featuretable.sources.scratch import remove_written  # noqa: E402
 from featuretable.sources.tables import read_table, write_table  # noqa: E402
 from jobs import common  # noqa: E402
 
@@ -25,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session("compare-models")
     table = read_table(spark, args.basetable, fmt=args.format)
     write_table(compare(table, folds=args.folds, parallelism=args.parallelism), args.output)
+    remove_written(spark)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,6 @@ by joining users to every review, duplicates by row_number, set difference by EX
 from __future__ import annotations
 
 from featuretable import fixed_values as V
-from featuretable.plans.basetable import kept_columns
 from workload.roles import BUSINESS, EVENT_DAY, FACT_DAY, role_sql
 
 
@@ -36,6 +35,25 @@ def tenure(day: str, since: str) -> str:
     return f"round({months(reference, since)}, 0)"
 
 
+# Seven tenths of 2^60.
+_LIMIT = int(0.7 * 2**60)
+
+# The columns worth keeping, in alphabetical order.
+_KEPT = """
+attributes_AcceptsInsurance attributes_AgesAllowed attributes_Alcohol attributes_Ambience attributes_BYOB
+attributes_BYOBCorkage attributes_BestNights attributes_BikeParking attributes_BusinessAcceptsBitcoin
+attributes_BusinessAcceptsCreditCards attributes_BusinessParking attributes_ByAppointmentOnly
+attributes_Caters attributes_CoatCheck attributes_Corkage attributes_DietaryRestrictions
+attributes_DogsAllowed attributes_DriveThru attributes_GoodForDancing attributes_GoodForKids
+attributes_GoodForMeal attributes_HappyHour attributes_HasTV attributes_Music attributes_NoiseLevel
+attributes_Open24Hours attributes_OutdoorSeating attributes_RestaurantsAttire
+attributes_RestaurantsCounterService attributes_RestaurantsDelivery
+attributes_RestaurantsGoodForGroups attributes_RestaurantsPriceRange2
+attributes_RestaurantsReservations attributes_RestaurantsTableService attributes_RestaurantsTakeOut
+attributes_Smoking attributes_WheelchairAccessible attributes_WiFi business_id city is_open
+review_count stars state
+""".split()
+
 _RENAMED = ", ".join(f'"{name}" AS "{name.replace(".", "_")}"' for name, _ in BUSINESS)
 _SIMPLE = ", ".join(f"CASE WHEN {name} = 'True' THEN 1 ELSE 0 END AS {name}" for name in V.SIMPLE_FLAGS)
 _PRICE = f"CASE WHEN {V.PRICE} IS NULL OR {V.PRICE} = 'None' THEN 2.5::DOUBLE ELSE {V.PRICE}::DOUBLE END"
@@ -124,7 +142,7 @@ _CTES = [
     ),
     (
         "halves",
-        "SELECT *, CASE WHEN ('0x' || substr(md5('42:' || business_id), 1, 8))::BIGINT % 1000 < 700 "
+        f"SELECT *, CASE WHEN ('0x' || substr(md5('42:' || business_id), 1, 15))::BIGINT < {_LIMIT} "
         "THEN 'train' ELSE 'test' END AS part FROM basetable",
     ),
 ]
@@ -140,6 +158,17 @@ _RAW_COLUMNS = [
 ]
 
 
+_NUMERIC = [
+    n
+    for n in _RAW_COLUMNS
+    if n
+    not in (
+        "business_id", "city", "state", "label", "delivery_or_takeout", "count_reviews",
+        "avg_business_stars",
+    )
+]
+
+
 def _with(query: str) -> str:
     """Put the shared tables in front of a query."""
     tables = ",\n".join(f"{name} AS ({body})" for name, body in _CTES)
@@ -209,15 +238,7 @@ def _slots(category: str) -> str:
 
 
 def _rformula() -> str:
-    numeric = [
-        n
-        for n in _RAW_COLUMNS
-        if n
-        not in (
-            "business_id", "city", "state", "label", "delivery_or_takeout", "count_reviews",
-            "avg_business_stars",
-        )
-    ]
+    numeric = _NUMERIC
     parts = [
         f"SELECT part, business_id, {i} AS slot, {n}::DOUBLE AS value FROM halves WHERE {n} <> 0"
         for i, n in enumerate(numeric)
@@ -245,6 +266,76 @@ _RULE = (
 )
 
 
+_SCORED = (
+    "SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_quantity * 100 + round(l_discount "
+    "* 100) AS score FROM lineitem"
+)
+
+
+def _days(start: str) -> str:
+    return f"date_diff('day', {start}::DATE, DATE '{FACT_DAY}')"
+
+
+def _text_rollup(source: str, count: str, latest: str) -> str:
+    """Every text that is there counts; only whole timestamps can be the latest."""
+    last = "max(try_strptime(date, '%Y-%m-%d %H:%M:%S'))"
+    return (
+        f"SELECT business_id, count(date) AS {count}, {recency(EVENT_DAY, last)} AS {latest} "
+        f"FROM ({role_sql(source)}) GROUP BY business_id"
+    )
+
+
+def _values(name: str, *values: object) -> str:
+    return f"(VALUES {', '.join(f"('{v}')" for v in values)}) AS {name}({name})"
+
+
+def _models() -> dict[str, str]:
+    """Counts, names and grids; the checks beside them have to come out as true."""
+    families = _values("model", "logistic_regression", "decision_tree", "random_forest")
+    counts = "count(*) AS n_rows, sum(label)::BIGINT AS n_positive"
+    grids = {
+        "logistic_regression": {"maxIter": (50, 100, 150), "regParam": (0.1, 0.01)},
+        "decision_tree": {"maxBins": (10, 20, 40, 80, 100), "maxDepth": (2, 5, 10, 20, 30)},
+        "random_forest": {
+            "impurity": ("gini", "entropy"), "maxDepth": (4, 8, 12), "numTrees": (100, 200, 300)
+        },
+    }
+    points = " UNION ALL ".join(
+        f"SELECT '{model}' AS model, "
+        + " || ', ' || ".join(f"'{name}=' || {name}" for name in grid)
+        + " AS params, 10::INT AS folds, true AS in_range FROM "
+        + ", ".join(_values(name, *values) for name, values in grid.items())
+        for model, grid in grids.items()
+    )
+    tuned = ", ".join(f"('{m}', '{name}', true, true)" for m, grid in grids.items() for name in grid)
+    found = {
+        f"fit_{short}": f"SELECT '{model}' AS model, part, {counts}, true AS metrics_hold, true AS "
+        "model_holds FROM halves GROUP BY part"
+        for short, model in (
+            ("logistic", "logistic_regression"), ("decision_tree", "decision_tree"),
+            ("random_forest", "random_forest"),
+        )
+    }
+    width = len(_NUMERIC)
+    names = " UNION ALL ".join(f"SELECT {i}::INT AS slot, '{n}' AS feature" for i, n in enumerate(_NUMERIC))
+    return found | {
+        "model_metrics": f"SELECT model, part, {counts}, true AS auc_agrees, true AS rates_agree FROM "
+        f"halves, {families} GROUP BY model, part",
+        "model_leaderboard": "SELECT model, part, count(*) AS n_rows, true AS in_order FROM halves, "
+        f"{families} WHERE part = 'test' GROUP BY model, part",
+        "cv_metrics": points,
+        "best_params": f"SELECT * FROM (VALUES {tuned}) AS t(model, param, in_grid, is_best)",
+        "score_table": "SELECT part, business_id, label, true AS raw_holds, true AS prediction_holds "
+        "FROM halves",
+        "feature_importance": f"SELECT slot, feature, true AS sum_is_one, true AS in_order FROM ({names} "
+        f"UNION ALL SELECT ({width} + slot)::INT, 'state_ohe_' || value FROM ({_slots('state')}) UNION ALL "
+        f"SELECT ({width} + (SELECT count(DISTINCT state) FROM halves WHERE part = 'train') + slot)::INT, "
+        f"'city_ohe_' || value FROM ({_slots('city')}))",
+        "fold_sizes": "SELECT (('0x' || substr(md5('43:' || business_id), 1, 8))::BIGINT % 10)::INT AS "
+        f"fold, {counts} FROM halves WHERE part = 'train' GROUP BY fold",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     simple = ", ".join(V.SIMPLE_FLAGS)
     raw = ", ".join(_RAW_COLUMNS)
@@ -254,7 +345,7 @@ def oracle_sql() -> dict[str, str]:
     shared = {
         "rename_columns": "SELECT * FROM renamed",
         "select_matching_columns": "SELECT hours_Monday, hours_Sunday, business_id, name FROM renamed",
-        "project_keep_list": f"SELECT {', '.join(kept_columns())} FROM renamed",
+        "project_keep_list": f"SELECT {', '.join(_KEPT)} FROM renamed",
         "project_drop_list": "SELECT business_id, user_id, stars, useful FROM review",
         "key_first": f"SELECT business_id, {simple}, {V.PRICE} FROM renamed",
         "filter_any_contains": "SELECT business_id, categories FROM clean",
@@ -331,12 +422,27 @@ def oracle_sql() -> dict[str, str]:
         "class_balance": "SELECT label, count(*) AS n FROM basetable GROUP BY label",
         "split_sizes": "SELECT count(*) FILTER (WHERE part = 'train') AS n_train, "
         "count(*) FILTER (WHERE part = 'test') AS n_test FROM halves",
-        "encode_pipeline": f"SELECT * FROM (WITH s AS ({_slots('state')}), c AS ({_slots('city')}) "
+        "encode_pipeline": f"SELECT * REPLACE (state_slot::INT AS state_slot, city_slot::INT AS city_slot) FROM (WITH s AS ({_slots('state')}), c AS ({_slots('city')}) "
         "SELECT part, business_id, coalesce(s.slot, -1) AS state_slot, "
         "(SELECT count(*) FROM s)::INT AS state_slots, coalesce(c.slot, -1) AS city_slot, "
         "(SELECT count(*) FROM c)::INT AS city_slots FROM halves LEFT JOIN s ON state = s.value "
         "LEFT JOIN c ON city = c.value)",
         "rformula_features": _rformula(),
+        "rollup_review_repeats": "SELECT business_id, avg(stars) AS avg_business_stars, avg(useful) AS "
+        "avg_useful_reviews_count, avg(fans) AS avg_reviewer_fanscount, avg(review_count) AS "
+        "avg_reviewers_reviewcount, avg(user_LOR_months) AS avg_reviewers_LOR, count(useful) AS "
+        "count_reviews, count(DISTINCT user_id) AS count_reviewers, "
+        f"{recency(FACT_DAY, 'max(date)')} AS review_recency_months FROM review LEFT JOIN (SELECT * FROM "
+        "reviewers UNION ALL SELECT * FROM reviewers WHERE user_id % 3 = 0) USING (user_id) GROUP BY "
+        "business_id",
+        "covid_labels_boolean": "SELECT * FROM open_labels",
+        "flag_pattern": "SELECT business_id, CASE WHEN attributes_Smoking IN ('yes', 'outdoor') THEN 1 "
+        "ELSE 0 END AS allows_smoking, CASE WHEN attributes_WiFi LIKE '%paid%' OR attributes_WiFi LIKE "
+        "'%free%' THEN 1 ELSE 0 END AS has_wifi, CASE WHEN attributes_AgesAllowed IN ('18plus', "
+        "'21plus') THEN 1 ELSE 0 END AS has_age_restrict FROM renamed",
+        "sample_by": "SELECT label, count(*) AS n_total, true AS is_subset, true AS share_holds FROM "
+        "open_labels GROUP BY label",
+        **_models(),
     }
     plain = {
         "parse_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 3 THEN "
@@ -360,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
         "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM "
         "orders) WHERE rn = 1",
         "hash_split": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, "
-        "CASE WHEN ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT % 1000 < 700 THEN "
+        f"CASE WHEN ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT < {_LIMIT} THEN "
         "'train' ELSE 'test' END AS part FROM orders",
         "auc_hard": "SELECT round((count(*) FILTER (WHERE label = 1 AND prediction = 1) / "
         "count(*) FILTER (WHERE label = 1) + count(*) FILTER (WHERE label = 0 AND prediction = 0) / "
@@ -375,9 +481,28 @@ def oracle_sql() -> dict[str, str]:
         "count(*) DESC, p_brand) - 1 AS slot FROM part GROUP BY p_brand) b USING (p_brand) JOIN "
         "(SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS slot FROM part "
         "GROUP BY p_type) t USING (p_type)",
-        "one_hot": "SELECT p_partkey, p_type, array_to_string(list_transform(range((SELECT "
-        "count(DISTINCT p_type) FROM part) - 1), lambda i: CASE WHEN i = slot THEN '1' ELSE '0' "
-        "END), '') AS slots FROM part JOIN (SELECT p_type, row_number() OVER (ORDER BY count(*) "
-        "DESC, p_type) - 1 AS slot FROM part GROUP BY p_type) USING (p_type)",
+        "one_hot": "SELECT p_partkey, p_type, CASE WHEN slot < n - 1 THEN slot ELSE -1 END::INT AS slot, "
+        "(n - 1)::INT AS n_slots FROM part JOIN (SELECT p_type, row_number() OVER (ORDER BY count(*) "
+        "DESC, p_type) - 1 AS slot FROM part GROUP BY p_type) USING (p_type), (SELECT count(DISTINCT "
+        "p_type) AS n FROM part)",
+        "auc_raw": f"WITH s AS ({_SCORED}), g AS (SELECT score, count(*) FILTER (WHERE label = 1) AS p, "
+        "count(*) FILTER (WHERE label = 0) AS n FROM s GROUP BY score), r AS (SELECT p, n, "
+        "coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "
+        "below FROM g) SELECT round(sum(p * (below + n / 2)) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 9) AS "
+        "auc_raw FROM r",
+        "rollup_checkin_text": _text_rollup("checkin_text", "count_checkins", "checkin_recency_months"),
+        "rollup_tip_text": _text_rollup("tip_text", "count_tip", "tip_recency_months"),
+        "tenure_columns_text": f"WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 THEN "
+        f"o_orderdate END AS d FROM orders) SELECT o_orderkey, {_days('d')}::INT AS days, {_days('d')} / "
+        f"365.25::DOUBLE AS years_by_days, {months(order_day, 'd')} AS months, "
+        f"round({months(order_day, 'd')}, 2) AS months_rounded, {months(order_day, 'd')} / 12 AS "
+        f"years_by_months, round({months(order_day, 'd')} / 12, 0) AS years FROM s",
+        "json_scan_review": "SELECT l_orderkey || '-' || l_linenumber AS review_id, l_partkey::VARCHAR AS "
+        "business_id, l_suppkey::VARCHAR AS user_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date, "
+        "l_quantity AS stars, round(l_tax * 100)::BIGINT AS cool, NULL::BIGINT AS funny, "
+        "round(l_discount * 100)::BIGINT AS useful FROM lineitem",
+        "json_scan_covid": "SELECT doc_id::VARCHAR AS business_id, CASE WHEN toxic = 0 THEN 'FALSE' ELSE "
+        "'2001-12-24' END AS Temporary_Closed_Until, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS "
+        "delivery_or_takeout FROM labels",
     }
     return {name: _with(query) for name, query in shared.items()} | plain

@@ -3,30 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featuretable import fixed_values as V
 from featuretable.functions.dates import parse_day, recency_months
-from featuretable.functions.flags import contains_flag, equals_flag, number_or_default
-from featuretable.models import encode, importance, metrics, tune
+from featuretable.functions.flags import contains_flag, equals_flag, number_or_default, pattern_flag
+from featuretable.models import encode, metrics
 from featuretable.operators import assemble, columns, filters, impute, profile, sets, split
 from featuretable.plans import basetable as B
 from featuretable.plans import exploration, modelling
-from featuretable.sources.scratch import materialize
+from featuretable.sources.scratch import materialize, scratch_path
+from featuretable.sources.tables import covid_schema, read_table, review_schema, write_table
+from workload import model_checks as checks
 from workload.roles import DAYS, EVENT_DAY, FACT_DAY, role, sources, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Grids and folds of the registered model queries; full grids and ten folds are the library defaults.
-FOLDS = 3
-GRIDS = {
-    "logistic_regression": V.LOGISTIC_GRID,
-    "decision_tree": {"maxDepth": [2, 5], "maxBins": [10, 40]},
-    "random_forest": {"numTrees": [20], "impurity": ["gini", "entropy"], "maxDepth": [4]},
-}
 SHARES = {0: V.TRAIN_SHARE, 1: V.TRAIN_SHARE}
 
 
@@ -193,6 +188,67 @@ def rollup_review(spark, d):
     return B.rollup_review(role(spark, d, "review"), _reviewers(spark, d), FACT_DAY)
 
 
+def rollup_checkin_text(spark, d):
+    """Dates as text: whole, without time of day, junk, or missing."""
+    return B.rollup_checkin(role(spark, d, "checkin_text"), EVENT_DAY)
+
+
+def rollup_tip_text(spark, d):
+    return B.rollup_tip(role(spark, d, "tip_text"), EVENT_DAY)
+
+
+def rollup_review_repeats(spark, d):
+    """A user table that lists every third user twice."""
+    users = _reviewers(spark, d)
+    repeated = users.unionAll(users.filter("user_id % 3 = 0"))
+    return B.rollup_review(role(spark, d, "review"), repeated, FACT_DAY)
+
+
+def covid_labels_boolean(spark, d):
+    """The closed and delivery flags as booleans."""
+    return B.covid_labels(role(spark, d, "covid_boolean"))
+
+
+def tenure_columns_text(spark, d):
+    """First days as text, with and without time of day, and junk."""
+    starts = role(spark, d, "starts_text")
+    return B.tenure_table(starts, "o_orderkey", FACT_DAY, "since")
+
+
+def _through_json(df, schema):
+    path = scratch_path(df.sparkSession, "json")
+    write_table(df, path, "json")
+    return read_table(df.sparkSession, path, schema, "json")
+
+
+def json_scan_review(spark, d):
+    """Reviews as JSON lines, read by the declared schema: ids and dates arrive as text."""
+    review = role(spark, d, "review").withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    texts = review.withColumns({n: F.col(n).cast("string") for n in ("business_id", "user_id")})
+    return _through_json(texts, review_schema())
+
+
+def json_scan_covid(spark, d):
+    """Covid rows with one flag as text and one as boolean, read by the declared schema."""
+    covid = role(spark, d, "covid")
+    mixed = covid.select(
+        F.col("business_id").cast("string"), V.CLOSED, (F.col(V.DELIVERY) == "TRUE").alias(V.DELIVERY)
+    )
+    found = _through_json(mixed, covid_schema())
+    return columns.replace_in_names(found, {" ": "_"})
+
+
+def flag_pattern(spark, d):
+    """Flags by regular expressions."""
+    clean = _renamed_business(spark, d)
+    return clean.select(
+        "business_id",
+        pattern_flag(F.col("attributes_Smoking"), "^(yes|outdoor)$").alias("allows_smoking"),
+        pattern_flag(F.col("attributes_WiFi"), "paid|free").alias("has_wifi"),
+        pattern_flag(F.col("attributes_AgesAllowed"), "^[0-9]+plus").alias("has_age_restrict"),
+    )
+
+
 def basetable_roundtrip(spark, d):
     return materialize(basetable(spark, d), "basetable", fmt="json")
 
@@ -249,25 +305,20 @@ def derived_vs_source(spark, d):
 
 
 def distinct_keys(spark, d):
-    keys = [
-        ("business", "business_id"),
-        ("checkin", "business_id"),
-        ("covid", "business_id"),
-        ("review", "business_id"),
-        ("review", "review_id"),
-        ("review", "user_id"),
-        ("tip", "business_id"),
-    ]
+    keys = {
+        "business": ["business_id"],
+        "checkin": ["business_id"],
+        "covid": ["business_id"],
+        "review": ["business_id", "review_id", "user_id"],
+        "tip": ["business_id"],
+    }
     counts = [
-        profile.distinct_count(role(spark, d, name), key, "n_keys").select(
-            F.lit(name).alias("source"), F.lit(key).alias("key"), "n_keys"
+        profile.distinct_keys(role(spark, d, name), names).select(
+            F.lit(name).alias("source"), "key", "n_keys"
         )
-        for name, key in keys
+        for name, names in keys.items()
     ]
-    result = counts[0]
-    for other in counts[1:]:
-        result = result.unionAll(other)
-    return result
+    return reduce(DataFrame.unionAll, counts)
 
 
 def distinct_profile(spark, d):
@@ -373,8 +424,19 @@ def class_balance(spark, d):
 
 
 def sample_by(spark, d):
-    return split.stratified_sample(
-        covid_labels(spark, d), "label", SHARES, V.SPLIT_SEED
+    """Spark's sample per label: a subset, with a share within five standard deviations."""
+    labelled = covid_labels(spark, d)
+    taken = materialize(split.stratified_sample(labelled, "label", SHARES, V.SPLIT_SEED), "sample")
+    counts = taken.groupBy("label").agg(F.count(F.lit(1)).alias("_taken"))
+    foreign = taken.join(labelled, "business_id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("_foreign"))
+    whole = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n_total"))
+    n, share = F.col("n_total"), V.TRAIN_SHARE
+    off = F.abs(F.coalesce("_taken", F.lit(0)) - n * share)
+    return whole.join(counts, "label", "left").join(foreign, "label", "left").select(
+        "label",
+        "n_total",
+        F.col("_foreign").isNull().alias("is_subset"),
+        (off <= 5 * F.sqrt(n * share * (1 - share))).alias("share_holds"),
     )
 
 
@@ -407,21 +469,38 @@ def precision_recall(spark, d):
     return metrics.precision_recall(_rule_scored(spark, d))
 
 
+def auc_raw(spark, d):
+    """Raw scores with many ties and over a thousand different values."""
+    scored = table(spark, d, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
+        (F.col("l_quantity") * 100 + F.round(F.col("l_discount") * 100)).alias("score"),
+    )
+    return metrics.auc_by_ranks(scored).select(F.round("auc_raw", 9).alias("auc_raw"))
+
+
 # -- encoding
 
 
 def string_index(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    encode.check_categories(parts, ["p_brand", "p_type"])
-    return encode.string_indexer(["p_brand", "p_type"]).fit(parts).transform(parts)
+    return encode.with_category_index(parts, ["p_brand", "p_type"])
+
+
+def _only_slot(name: str) -> Column:
+    """Slot of a one-hot vector that holds a single 1, or -1."""
+    slots = F.col(name)["slots"]
+    one = (F.size(slots) == 1) & (slots[0]["value"] == 1.0)
+    return F.when(one, slots[0]["slot"]).when(F.size(slots) == 0, -1)
 
 
 def one_hot(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_type")
     encoder = encode.fit_encoder(parts, ["p_type"], handle_invalid="error")
-    slots = F.transform(vector_to_array("p_type_ohe"), lambda x: x.cast("int").cast("string"))
-    return encoder.transform(parts).select(
-        "p_partkey", "p_type", F.array_join(slots, "").alias("slots")
+    return encode.vector_slots(encoder.transform(parts), ["p_type_ohe"]).select(
+        "p_partkey",
+        "p_type",
+        _only_slot("p_type_ohe").alias("slot"),
+        F.col("p_type_ohe.size").alias("n_slots"),
     )
 
 
@@ -435,13 +514,13 @@ def encode_pipeline(spark, d):
         ("train", "test"), modelling.encode(*_stored_split(spark, d)), strict=True
     ):
         shown = [F.lit(part).alias("part"), "business_id"]
-        for name in modelling.CATEGORIES:
-            vector = vector_to_array(f"{name}_ohe")
+        vectors = [f"{name}_ohe" for name in modelling.CATEGORIES]
+        for name, vector in zip(modelling.CATEGORIES, vectors, strict=True):
             shown += [
-                (F.array_position(vector, 1.0) - 1).alias(f"{name}_slot"),
-                F.size(vector).alias(f"{name}_slots"),
+                _only_slot(vector).alias(f"{name}_slot"),
+                F.col(vector)["size"].alias(f"{name}_slots"),
             ]
-        parts.append(rows.select(*shown))
+        parts.append(encode.vector_slots(rows, vectors).select(*shown))
     return parts[0].unionAll(parts[1])
 
 
@@ -451,72 +530,23 @@ def rformula_features(spark, d):
     tables = modelling.vectorize(*modelling.encode(*_stored_split(spark, d)))
     for part, rows in zip(("train", "test"), tables, strict=True):
         parts.append(
-            rows.select(
-                F.lit(part).alias("part"),
-                "business_id",
-                F.posexplode(vector_to_array("features")).alias("slot", "value"),
-            ).filter("value <> 0")
+            encode.vector_slots(rows, ["features"]).select(
+                F.lit(part).alias("part"), "business_id", F.inline("features.slots")
+            )
         )
     return parts[0].unionAll(parts[1])
 
 
-# -- models
-
+# -- models: full grids, ten folds, each family fitted once per session and folder
 
-def _prepared(spark, d):
-    return modelling.prepare(basetable(spark, d), FOLDS)
 
-
-def _fitted(prepared, family):
-    return modelling.fit(family, prepared, GRIDS[family], FOLDS)
-
-
-def _fit(family: str) -> Query:
-    def run(spark, d):
-        prepared = _prepared(spark, d)
-        return modelling.judge(family, _fitted(prepared, family), prepared)
+def _checked(check: Callable[..., DataFrame], *args: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return check(checks.fits(spark, d, basetable), *args)
 
     return run
 
 
-def cv_metrics(spark, d):
-    family = "decision_tree"
-    return tune.cv_metrics(spark, family, _fitted(_prepared(spark, d), family))
-
-
-def best_params(spark, d):
-    prepared = _prepared(spark, d)
-    found = [
-        tune.best_params(spark, family, _fitted(prepared, family))
-        for family in ("logistic_regression", "random_forest")
-    ]
-    return found[0].unionAll(found[1])
-
-
-def score_table(spark, d):
-    prepared = _prepared(spark, d)
-    scored = _fitted(prepared, "logistic_regression").transform(prepared.test)
-    return scored.select(
-        "business_id", "label", "prediction", vector_to_array("rawPrediction")[1].alias("raw")
-    )
-
-
-def feature_importance(spark, d):
-    prepared = _prepared(spark, d)
-    best = _fitted(prepared, "random_forest").bestModel
-    return importance.feature_importance(best, prepared.train, top=10)
-
-
-def model_metrics(spark, d):
-    prepared = _prepared(spark, d)
-    judged = [modelling.judge(name, _fitted(prepared, name), prepared) for name in GRIDS]
-    return judged[0].unionAll(judged[1]).unionAll(judged[2])
-
-
-def model_leaderboard(spark, d):
-    return modelling.compare(basetable(spark, d), GRIDS, FOLDS)
-
-
 def queries() -> dict[str, Query]:
     plain = [
         rename_columns, select_matching_columns, project_keep_list, project_drop_list, key_first,
@@ -531,15 +561,23 @@ def queries() -> dict[str, Query]:
         flag_before_after, flag_report_labels, label_count_where, label_avg_where,
         share_by_bucket, set_difference, dedup_by_key, class_balance, sample_by, hash_split,
         split_sizes, auc_hard, confusion_matrix, precision_recall, string_index, one_hot,
-        encode_pipeline, rformula_features, cv_metrics, best_params, score_table,
-        feature_importance, model_metrics, model_leaderboard,
+        encode_pipeline, rformula_features, auc_raw, rollup_checkin_text, rollup_tip_text,
+        rollup_review_repeats, covid_labels_boolean, tenure_columns_text, json_scan_review,
+        json_scan_covid, flag_pattern,
     ]
     found = {query.__name__: query for query in plain}
     found["basetable_raw"] = _raw
     found["recency_months"] = recency_of_lineitems
     found["recency_months_events"] = recency
     found["tenure_columns"] = _tenure
-    found["fit_logistic"] = _fit("logistic_regression")
-    found["fit_decision_tree"] = _fit("decision_tree")
-    found["fit_random_forest"] = _fit("random_forest")
+    found["fit_logistic"] = _checked(checks.fit, "logistic_regression")
+    found["fit_decision_tree"] = _checked(checks.fit, "decision_tree")
+    found["fit_random_forest"] = _checked(checks.fit, "random_forest")
+    found["cv_metrics"] = _checked(checks.cv_metrics)
+    found["best_params"] = _checked(checks.best_params)
+    found["score_table"] = _checked(checks.score_table)
+    found["feature_importance"] = _checked(checks.feature_importance)
+    found["model_metrics"] = _checked(checks.model_metrics)
+    found["model_leaderboard"] = _checked(checks.leaderboard)
+    found["fold_sizes"] = _checked(checks.fold_sizes)
     return found

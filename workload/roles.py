@@ -121,6 +121,26 @@ COVID = [
     ("delivery or takeout", "CASE WHEN quality = 1 THEN 'TRUE' ELSE 'FALSE' END"),
 ]
 
+# Text dates: whole, day only, junk, missing.
+_TEXT_DATE = (
+    "CASE event_id % 5 WHEN 0 THEN substr(CAST(ts AS STRING), 1, 10) WHEN 1 THEN 'no date' "
+    "WHEN 2 THEN NULL ELSE substr(CAST(ts AS STRING), 1, 19) END"
+)
+CHECKIN_TEXT = [("business_id", "user_id"), ("date", _TEXT_DATE)]
+COVID_BOOLEAN = [
+    ("business_id", "doc_id"),
+    ("Temporary Closed Until", "CASE WHEN toxic = 0 THEN false ELSE true END"),
+    ("delivery or takeout", "CASE WHEN quality = 1 THEN true ELSE false END"),
+]
+STARTS_TEXT = [
+    ("o_orderkey", "o_orderkey"),
+    (
+        "since",
+        "CASE o_orderkey % 4 WHEN 0 THEN substr(CAST(o_orderdate AS STRING), 1, 10) "
+        "WHEN 1 THEN 'no date' ELSE substr(CAST(o_orderdate AS STRING), 1, 10) || ' 23:59:58' END",
+    ),
+]
+
 ROLES = {
     "business": ("part", None, BUSINESS),
     "review": ("lineitem", None, REVIEW),
@@ -128,6 +148,10 @@ ROLES = {
     "checkin": ("events", "event_type = 'view'", CHECKIN),
     "tip": ("events", "event_type = 'click'", TIP),
     "covid": ("labels", None, COVID),
+    "checkin_text": ("events", "event_type = 'view'", CHECKIN_TEXT),
+    "tip_text": ("events", "event_type = 'click'", CHECKIN_TEXT),
+    "covid_boolean": ("labels", None, COVID_BOOLEAN),
+    "starts_text": ("orders", None, STARTS_TEXT),
 }
 
 
