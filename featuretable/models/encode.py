@@ -18,7 +18,14 @@ from featuretable.sources.scratch import scratch_path
 from featuretable.sources.tables import read_table, write_table
 
 # What a vector is in a Parquet file: sparse (0) with indices, or dense (1).
-VECTOR = T.StructType.fromDDL("type tinyint, size int, indices array<int>, values array<double>")
+VECTOR = T.StructType(
+    [
+        T.StructField("type", T.ByteType()),
+        T.StructField("size", T.IntegerType()),
+        T.StructField("indices", T.ArrayType(T.IntegerType())),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
+)
 
 
 def check_categories(df: DataFrame, names: Sequence[str], limit: int) -> None:
