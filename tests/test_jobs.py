@@ -9,7 +9,9 @@ import pytest
 from conftest import rows
 
 from featuretable import fixed_values as V
+from featuretable.plans import basetable as B
 from featuretable.sources import scratch
+from featuretable.sources import tables as S
 from featuretable.sources.tables import read_table, write_table
 from jobs import build_basetable, common, write_reports
 
@@ -156,3 +158,80 @@ def test_keep_list_covers_the_raw_attributes():
     assert len(common.RAW_ATTRIBUTES) == 38
     assert len(V.SIMPLE_FLAGS) == 24
     assert len(V.SPECIAL_FLAGS) == 10
+
+
+def test_scratch_warns_of_a_folder_of_one_machine():
+    with pytest.warns(UserWarning, match="share that folder"):
+        scratch.scratch_path(stub_session("file:///data/dir", "yarn"), "one")
+
+
+def test_remove_written_leaves_nothing(spark):
+    import os
+
+    stored = scratch.materialize(spark.range(3).toDF("id"), "gone")
+    path = stored.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    before = list(scratch._written)
+    scratch._written[:] = [p for p in before if "/gone-" in p]
+    scratch.remove_written(spark)
+    assert not os.path.exists(path) and not scratch._written
+
+
+def test_a_declared_column_without_values_is_refused(spark, tmp_path):
+    path = save(tmp_path, "user", [{"user_id": "u", "joined": "2019-04-01 00:00:00"}])
+    schema = S.user_schema("user_since")
+    assert read_table(spark, path, schema).count() == 1
+    with pytest.raises(ValueError, match="user_since"):
+        read_table(spark, path, schema, required=["user_id", "user_since"])
+
+
+def test_since_has_to_be_named(stored):
+    with pytest.raises(SystemExit):
+        build_basetable.main([*stored[1], "--output", "nowhere"])
+
+
+def test_loss_report_stands_beside_the_table(spark, stored):
+    losses = {r.column_name: r for r in read_table(spark, stored[0] + "-losses", fmt="parquet").collect()}
+    assert (losses["label"].missing, losses["label"].rows_before, losses["label"].rows_after) == (1, 5, 3)
+
+
+def test_repeated_businesses_are_refused(spark, inputs, tmp_path):
+    twice = dict(inputs, business=save(tmp_path, "business", [business("a"), business("a")]))
+    paths = [arg for name, path in twice.items() for arg in (f"--{name}", path)]
+    args = [*paths, "--since", "joined", "--output", str(tmp_path / "out")]
+    with pytest.raises(ValueError, match="not unique"):
+        build_basetable.main(args)
+
+
+def test_text_dates_count_even_if_they_are_none(spark):
+    rows_ = [("a", "2020-01-01 10:00:00"), ("a", "2020-02-01"), ("a", "junk"), ("b", "2020-02-01"), ("b", None)]
+    visits = spark.createDataFrame(rows_, "business_id string, date string")
+    found = {r.business_id: (r.count_checkins, r.checkin_recency_months) for r in B.rollup_checkin(visits, "2020-04-01").collect()}
+    assert found == {"a": (3, 3.0), "b": (1, None)}
+
+
+def test_booleans_and_texts_close_a_business_alike(spark):
+    texts = spark.createDataFrame(
+        [("a", "FALSE", "TRUE"), ("b", "false", "true"), ("c", "False", "TRUE"), ("d", "true", "TRUE")],
+        "business_id string, `Temporary Closed Until` string, `delivery or takeout` string",
+    )
+    assert rows(B.covid_labels(texts)) == [("a", "TRUE", 1), ("b", "TRUE", 1)]
+    flags = spark.createDataFrame(
+        [("a", False, True), ("b", True, True)],
+        "business_id string, `Temporary Closed Until` boolean, `delivery or takeout` boolean",
+    )
+    assert rows(B.covid_labels(flags)) == [("a", "TRUE", 1)]
+
+
+def test_a_repeated_user_is_one_reviewer(spark):
+    reviews = spark.createDataFrame(
+        [("x", "u", "2020-01-01 00:00:00", 4.0, 1), ("x", "v", "2020-01-01 00:00:00", 1.0, 0)],
+        "business_id string, user_id string, date string, stars double, useful long",
+    )
+    users = spark.createDataFrame(
+        [("u", 4.0, 3, 10, 5.0), ("u", 4.0, 6, 10, 5.0), ("v", 4.0, 0, 10, 5.0)],
+        "user_id string, average_reviewer_stars double, fans long, review_count long, user_LOR_months double",
+    )
+    row = B.rollup_review(reviews, users, "2020-04-01").first()
+    assert (row.count_reviewers, row.count_reviews) == (2, 3)
+    assert row.avg_business_stars == pytest.approx(3.0) and row.avg_reviewer_fanscount == pytest.approx(3.0)

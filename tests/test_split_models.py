@@ -91,6 +91,32 @@ def test_hard_auc_with_one_class_agrees_with_spark(spark, label):
     assert metrics.auc_hard(df).first()[0] == pytest.approx(expected)
 
 
+def test_small_and_odd_shares_are_met(spark):
+    rows_ = spark.range(100_000).select("id", F.lit(1).alias("label"))
+    for share in (0.0004, 0.7005):
+        train, _ = split.hash_split(rows_, "id", "label", {1: share}, 42)
+        spread = (100_000 * share * (1 - share)) ** 0.5
+        assert abs(train.count() - 100_000 * share) < 4 * spread
+
+
+def test_raw_auc_uses_all_distinct_scores(spark):
+    scored_ = spark.range(20_000).select(
+        (F.pmod(F.hash("id"), F.lit(3)) == 0).cast("int").alias("label"), F.rand(3).alias("score")
+    )
+    exact = metrics.auc_by_ranks(scored_).first()[0]
+    assert metrics.auc_raw(scored_, raw="score") == pytest.approx(exact, abs=1e-12)
+    ties = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "label int, score double")
+    assert metrics.auc_by_ranks(ties).first()[0] == pytest.approx(3.5 / 4)
+
+
+def test_category_index_equals_the_string_indexer(spark):
+    df = spark.range(3000).select(F.concat(F.lit("k"), F.floor(F.sqrt("id"))).alias("a.b"), "id")
+    found = {r[0]: r[1] for r in encode.category_index(df, "a.b").collect()}
+    plain = df.withColumnRenamed("a.b", "c")
+    labels = encode.string_indexer(["c"]).fit(plain).labels
+    assert found == {label: float(i) for i, label in enumerate(labels)}
+
+
 def test_too_many_categories_are_refused(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError, match="categories"):

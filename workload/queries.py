@@ -22,6 +22,11 @@ from workload.roles import DAYS, EVENT_DAY, FACT_DAY, role, sources, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Queries on tuned models; those that tune the larger families take minutes even on small tables.
+FITTED = (
+    "fold_sizes", "fit_logistic", "score_table", "fit_decision_tree", "fit_random_forest", "cv_metrics",
+    "best_params", "feature_importance", "model_metrics", "model_leaderboard",
+)
 SHARES = {0: V.TRAIN_SHARE, 1: V.TRAIN_SHARE}
 
 
