@@ -13,7 +13,7 @@ from featuretable.plans import basetable as B
 from featuretable.sources import scratch
 from featuretable.sources import tables as S
 from featuretable.sources.tables import read_table, write_table
-from jobs import build_basetable, common, write_reports
+from jobs import build_basetable, common, ingest, write_reports
 
 VISITS = [
     ("a", "2020-03-01 10:00:00"), ("a", "2019-12-31 09:00:00"), ("b", "2019-04-01 00:00:00"),
@@ -235,3 +235,15 @@ def test_a_repeated_user_is_one_reviewer(spark):
     row = B.rollup_review(reviews, users, "2020-04-01").first()
     assert (row.count_reviewers, row.count_reviews) == (2, 3)
     assert row.avg_business_stars == pytest.approx(3.0) and row.avg_reviewer_fanscount == pytest.approx(3.0)
+
+
+def test_ingested_tables_give_the_same_base_table(spark, stored, tmp_path):
+    out, paths = stored
+    ingest.main([*paths, "--since", "joined", "--output", str(tmp_path)])
+    names = ("business", "checkin", "covid", "user", "review", "tip")
+    again = [arg for name in names for arg in (f"--{name}", str(tmp_path / name))]
+    build_basetable.main(
+        [*again, "--format", "parquet", "--since", "joined", "--output", str(tmp_path / "base")]
+    )
+    read = lambda path: rows(read_table(spark, path, fmt="parquet"))
+    assert read(str(tmp_path / "base")) == read(out)

@@ -122,3 +122,23 @@ def test_hot_partition_of_a_join_is_split(spark, setting):
 def test_reports_prune_the_business_table(spark, sf_dir):
     text = plan(B.clean_business(role(spark, sf_dir, "business")).groupBy("city").count())
     assert "ReadSchema: struct<p_name:string,p_brand:string,p_size:int>" in text
+
+
+def test_distinct_keys_scans_each_table_once(spark, sf_dir):
+    assert plan(Q.distinct_keys(spark, sf_dir)).count("FileScan") == 5
+
+
+def test_profile_of_a_derived_table_reads_what_was_stored(spark, sf_dir):
+    from featuretable.operators.profile import distinct_profile
+
+    derived = table(spark, sf_dir, "orders").withColumn("twice", F.col("o_custkey") * 2)
+    text = plan(distinct_profile(derived, ["o_custkey", "twice"]))
+    assert "orders.parquet" not in text and text.count("FileScan") == 2
+    assert "orders.parquet" in plan(distinct_profile(table(spark, sf_dir, "orders"), ["o_custkey"]))
+
+
+def test_category_index_has_no_window_over_one_partition(spark, sf_dir):
+    from featuretable.models.encode import category_index
+
+    text = plan(category_index(table(spark, sf_dir, "part"), "p_type"))
+    assert "SinglePartition" not in text

@@ -63,3 +63,19 @@ def test_stored_rollups_change_nothing(spark, sf_dir):
     stored = basetable(sources(spark, sf_dir), DAYS, store_rollups=True)
     assert lazy.dtypes == stored.dtypes
     assert rows(lazy) == rows(stored)
+
+
+def test_entry_works_without_the_optional_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry_point.__file__))
+    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".hypothesis")
+    shutil.copytree(root, tmp_path / "repo", ignore=skip)
+    code = (
+        "import __spark_entry__ as e, workload; "
+        "assert not [n for n in {**e.queries(), **e.oracle_sql()} if n.startswith('op') or n == 'pipeline']"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
