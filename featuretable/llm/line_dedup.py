@@ -279,8 +279,10 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     found = occurrences(source)
     near = materialize(partners(variants(source, survivors(found))), "partners")
     lines = found.filter("line IS NOT NULL")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "row", "no")).alias("first"))
-    line = first.join(near, "line", "left")
+    place = F.min(F.struct("doc_id", "row", "no")).alias("first")
+    first = lines.groupBy("line").agg(place, F.count(F.lit(1)).alias("n")).join(near, "line", "left")
+    # Stored, so that the join below has plain sides and a very frequent line can be split.
+    line = materialize(first.filter("n > 1 OR earliest IS NOT NULL").drop("n"), "repeated_lines")
     at = F.struct("doc_id", "row", "no")
     judged = found.select("doc_id", "row", "no", "line").join(line, "line", "left")
     judged = judged.withColumns(
