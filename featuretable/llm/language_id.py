@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
 from featuretable.llm import charlm
+from featuretable.llm.joins import narrow
 from featuretable.llm.texts import map_texts, text_bytes
 from featuretable.sources.scratch import materialize
 
@@ -144,6 +145,7 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
         .groupBy(F.col("lang").alias("band_lang"))
         .agg(F.percentile_approx("cross_entropy", ACCEPT, 10_000).alias("limit"))
     )
-    judged = scored.join(limits, F.col("lang_pred") == F.col("band_lang"), "left")
+    # One row per language meets any number of rows of a language in place.
+    judged = scored.join(narrow(limits), F.col("lang_pred") == F.col("band_lang"), "left")
     fits = (F.col("cross_entropy") <= F.col("limit")) & (F.col("margin") >= MARGIN)
     return judged.withColumn("rejected", ~F.coalesce(fits, F.lit(False))).drop("band_lang")
