@@ -21,15 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; the classifier learns from all labelled ones."""
     learning = toxicity.labelled_rows(docs, queries.table(spark, sf_dir, "labels"), F.lit(True))
     model = toxicity.fit(learning)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("whole_text"))
-    scored = toxicity.score(rows, model, text="whole_text", carry=("row",))
+    rows = docs.select(F.struct("*").alias("row"))
+    scored = toxicity.score(rows, model, text="row", field="text", carry=("row",))
     return scored.filter(F.col("score") < 0.5).select("row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within the perplexity bands of their language."""
-    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
-    measured = materialize(quality_rules.measure(rows, carry=("row", "lang")), "quality")
+    rows = docs.select(F.struct("*").alias("row"), "lang")
+    found = quality_rules.measure(rows, text="row", field="text", carry=("row", "lang"))
+    measured = materialize(found, "quality", rebalance=False)
     judged = quality_rules.judge(measured, quality_rules.bands(measured))
     return judged.filter("kept").select("row.*")
 

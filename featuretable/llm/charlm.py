@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featuretable.llm.texts import slices, text_bytes
+from featuretable.llm.texts import bounded_batches, slices, text_bytes
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -100,34 +100,60 @@ def text_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[..., ends[1:]] - total[..., ends[:-1]]
 
 
+class Tally:
+    """Counts of n-grams as sorted arrays; what is added is merged in whenever enough has come together."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.limit = 0
+
+    def add(self, code: np.ndarray) -> None:
+        found, n = np.unique(code, return_counts=True)
+        self.parts.append((found, n))
+        self.size += len(found)
+        if self.size > self.limit:
+            found, n = self.total()
+            self.parts = [(found, n)]
+            self.size, self.limit = len(found), 2 * len(found) + 500_000
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams and their counts."""
+        if not self.parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        code, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else order
+        return code[first], np.add.reduceat(n, first) if len(code) else n
+
+
 def gram_counts(docs: DataFrame, order: int, text: Column, group: Column | None = None) -> DataFrame:
     """``group, gram, n`` over whole texts: counted in each task, then summed by Spark.
 
-    A task holds one dense row of counts for each group it meets and sends each n-gram once.
+    A task holds one tally for each group it meets and sends each n-gram once.
     """
+    bounded_batches(docs.sparkSession)
     group = F.lit(0) if group is None else group
     source = docs.select(group.cast("int").alias("g"), text.cast("string").alias("t"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
+        seen: dict[int, Tally] = {}
         for batch in batches:
             groups = batch.column("g").to_numpy(zero_copy_only=False)
             for g in np.unique(groups):
                 rows = batch.filter(pa.array(groups == g))
-                held = seen.setdefault(int(g), np.zeros(SYMBOLS**order, np.uint32))
+                held = seen.setdefault(int(g), Tally())
                 for part in slices(rows, "t"):
-                    code, _ = grams(*text_bytes(part.column("t")), order)
-                    found, n = np.unique(code, return_counts=True)
-                    held[found] += n.astype(np.uint32)
+                    held.add(grams(*text_bytes(part.column("t")), order)[0])
         for g, held in seen.items():
-            code = np.flatnonzero(held)
+            code, n = held.total()
             for k in range(0, len(code), 100_000):
-                some = code[k : k + 100_000]
+                some = code[k : k + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(some), g, np.int32)),
-                        pa.array(some.astype(np.int64)),
-                        pa.array(held[some].astype(np.int64)),
+                        pa.array(some),
+                        pa.array(n[k : k + 100_000].astype(np.int64)),
                     ],
                     ["grp", "gram", "n"],
                 )

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column
-from featuretable.llm.texts import LOWER, SPACE, SpanHash, slices, spans, text_bytes
+from featuretable.llm.texts import LOWER, SPACE, SpanHash, bounded_batches, slices, spans, text_bytes
 from featuretable.sources.scratch import materialize
 
 LENGTH = 2048
 END_ID = 1
 GROUP = 4096
 #: Distinct words a worker remembers; beyond, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 # Letters, and marks that the tokenizer always parts from a letter before them.
 CAPITAL = np.zeros(256, bool)
 CAPITAL[65:91] = True
@@ -154,6 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
+    bounded_batches(docs.sparkSession)
     return source.mapInArrow(
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )

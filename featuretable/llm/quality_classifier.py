@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
 from featuretable.llm import charlm
-from featuretable.llm.texts import slices, text_bytes
+from featuretable.llm.joins import narrow
+from featuretable.llm.texts import bounded_batches, slices, text_bytes
 from featuretable.sources.scratch import materialize
 
 ORDER = 4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 32 << 20
 QUANTILE = 0.999
 SHORT = 200
 SLACK = 5.0
@@ -46,22 +47,21 @@ def trusted_counts(docs: DataFrame) -> DataFrame:
     """``lang, gram, n`` over the texts of the trusted rows."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, charlm.Tally] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
                 rows = batch.filter(pa.array(langs == lang))
-                own = held.setdefault(lang, np.zeros(charlm.SYMBOLS**ORDER, np.uint32))
+                own = held.setdefault(lang, charlm.Tally())
                 for part in slices(rows, "text"):
-                    code, _ = charlm.grams(*text_bytes(part.column("text")), ORDER)
-                    found, n = np.unique(code, return_counts=True)
-                    own[found] += n.astype(np.uint32)
+                    own.add(charlm.grams(*text_bytes(part.column("text")), ORDER)[0])
         for lang, own in held.items():
-            code = np.flatnonzero(own)
+            code, n = own.total()
             for k in range(0, len(code), 100_000):
-                some = code[k : k + 100_000]
+                some = code[k : k + 100_000].astype(np.int64)
+                counts = n[k : k + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some)), pa.array(some), pa.array(own[some].astype(np.int64))],
+                    [pa.array([lang] * len(some)), pa.array(some), pa.array(counts)],
                     ["lang", "gram", "n"],
                 )
 
@@ -183,7 +183,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     kind = "block long, lang string, grams binary, payload binary"
-    return materialize(docs.select("doc_id", "lang", "trusted", "text").mapInArrow(encode, kind), "blocks")
+    bounded_batches(docs.sparkSession)
+    encoded = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(encode, kind)
+    return materialize(encoded, "blocks", rebalance=False)  # blocks are of even size already
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -207,7 +209,8 @@ def perplexities(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, trusted, n_chars_scored, log_perplexity`` of ``doc_id, lang, trusted, text`` rows."""
     stored = blocks(docs)
     asked = unpacked(stored.filter("grams IS NOT NULL").select("block", "lang", "grams"))
-    known = grams_scored(asked.select("lang", "gram").distinct(), *model(trusted_counts(docs)))
+    counts = materialize(trusted_counts(docs), "trusted_counts")  # each order of the model reads it
+    known = grams_scored(asked.select("lang", "gram").distinct(), *model(counts))
     back = asked.join(known.filter("logp IS NOT NULL"), ["lang", "gram"])
     payload = stored.filter("payload IS NOT NULL").select("block", "payload")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -269,7 +272,7 @@ def classify(docs: DataFrame, trusted: Column, text: str = "text", lang: str = "
         .groupBy(F.col("lang").alias("limit_lang"))
         .agg(F.percentile_approx(x, QUANTILE, 10_000).alias("limit"))
     )
-    judged = scored.join(limits, F.col("lang") == F.col("limit_lang"), "left")
+    judged = scored.join(narrow(limits), F.col("lang") == F.col("limit_lang"), "left")
     fits = x <= F.col("limit") + SLACK / F.sqrt(n)
     return judged.select(
         "doc_id",

@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2_000
 
 # ASCII white space: space and the control characters 9 to 13.
 SPACE = np.zeros(256, bool)
@@ -40,9 +41,28 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger.
+
+    The default of 10,000 rows is meant for short rows; of documents it is tens of megabytes, held
+    several times over by the JVM and the Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def text_column(batch: pa.RecordBatch, name: str, field: str | None = None) -> pa.Array:
+    """A text column, or the field of a struct column."""
+    found = batch.column(name)
+    return found if field is None else found.field(field)
+
+
+def slices(
+    batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES, field: str | None = None
+) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``limit`` bytes of text, or a single longer text."""
-    ends = text_bytes(batch.column(name))[1]
+    ends = text_bytes(text_column(batch, name, field))[1]
     first = 0
     while first < batch.num_rows:
         last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
@@ -121,12 +141,15 @@ def map_texts(
     carry: Sequence[str] = ("doc_id",),
     limit: int = SLICE_BYTES,
     start: Callable[[], object] | None = None,
+    field: str | None = None,
 ) -> DataFrame:
     """Columns ``carry`` of ``docs`` and the ``outputs`` that ``work`` makes of each slice of rows.
 
     ``work`` gets a batch with ``text`` and ``needs`` (and what ``start`` returned, once for each
-    task, if given). Columns travel by position, so names in ``docs`` cannot clash with ours.
+    task, if given). Columns travel by position, so names in ``docs`` cannot clash with ours. With
+    ``field`` the text is that field of the struct column ``text``; ``work`` gets it as ``text``.
     """
+    bounded_batches(docs.sparkSession)
     names = list(dict.fromkeys([*carry, text, *needs]))
     inner = [f"c{i}" for i in range(len(names))]
     source = docs.select([column(n).alias(i) for n, i in zip(names, inner, strict=True)])
@@ -143,10 +166,10 @@ def map_texts(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = () if start is None else (start(),)
         for batch in batches:
-            for part in slices(batch, text_at, limit):
-                made = work(
-                    pa.RecordBatch.from_arrays([part.column(i) for i in wanted], labels), *more
-                )
+            for part in slices(batch, text_at, limit, field):
+                given = [part.column(i) for i in wanted]
+                given[0] = text_column(part, text_at, field)
+                made = work(pa.RecordBatch.from_arrays(given, labels), *more)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(kept))] + [made[n] for n in fields],
                     [*kept, *(f"o{i}" for i in range(len(fields)))],

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from featuretable.functions.predicates import column
 from featuretable.llm import charlm
 from featuretable.llm.joins import narrow
-from featuretable.llm.texts import map_texts, slices, text_bytes
+from featuretable.llm.texts import bounded_batches, map_texts, slices, text_bytes
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 20
@@ -88,6 +88,7 @@ def slot_counts(labelled: DataFrame) -> DataFrame:
                 ["slot", "n0", "n1"],
             )
 
+    bounded_batches(labelled.sparkSession)
     partial = labelled.select("text", "y").mapInArrow(count, "slot long, n0 long, n1 long")
     return partial.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -213,11 +214,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
     return source.join(narrow(marks), "doc_id")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``carry`` and the score of every text."""
+def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] = ("doc_id",), name: str = "score", field: str | None = None) -> DataFrame:
+    """``carry`` and the score of every text (or of field ``field`` of a struct column)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {name: pa.array(held.value.score(*text_bytes(batch.column(text))))}
 
-    return map_texts(docs, work, T.StructType([T.StructField(name, T.DoubleType())]), text, carry=carry)
+    return map_texts(docs, work, T.StructType([T.StructField(name, T.DoubleType())]), text, carry=carry, field=field)
