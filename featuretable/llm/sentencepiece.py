@@ -24,17 +24,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from featuretable.llm.texts import SpanHash, map_texts, mixed, spans, text_bytes
 
 GAP = "▁"
-#: Entries a worker remembers of units; beyond, it starts anew.
-REMEMBERED = 200_000
+#: Units a worker remembers; beyond, it starts anew.
+REMEMBERED = 1_000_000
+#: Ids decoded at a time (or a single longer list).
+SLICE_IDS = 500_000
 # Piece types of the model file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -107,8 +111,14 @@ class Encoder:
         for i in np.flatnonzero(v.types == BYTE):
             self.bytes[int(v.pieces[i][1:-1], 16)] = i
         self.low = float(v.scores[usable].min()) - 10.0
-        self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        # Pairs of pieces asked for so far, sorted, and whether they are allowed.
+        self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no known unit: sorted hashes, the units' numbers, and all ids in one array."""
+        self.known, self.unit = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     # -- the model's pieces
 
@@ -138,21 +148,24 @@ class Encoder:
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two pieces stay as they are when joined; -1 is the start or a character without piece."""
         code = ((left + 1).astype(np.int64) << 32) | (right + 1)
-        distinct, inverse = np.unique(code, return_inverse=True)
-        held = self.pairs
-        answer = np.zeros(len(distinct), bool)
-        for i, c in enumerate(distinct.tolist()):
-            found = held.get(c)
-            if found is None:
+        at = _place(self.pairs, code)
+        unknown = self.pairs[at] != code if len(self.pairs) else np.ones(len(code), bool)
+        if unknown.any():
+            new = np.unique(code[unknown])
+            answers = []
+            for c in new.tolist():
                 parts = [self.vocabulary.pieces[k - 1] for k in (c >> 32, c & 0xFFFFFFFF) if k]
-                found = held[c] = self.merged("".join(parts)) == parts
-            answer[i] = found
-        return answer[inverse]
+                answers.append(self.merged("".join(parts)) == parts)
+            where = np.searchsorted(self.pairs, new)
+            self.pairs = np.insert(self.pairs, where, new)
+            self.pair_ok = np.insert(self.pair_ok, where, answers)
+            at = _place(self.pairs, code)
+        return self.pair_ok[at]
 
     # -- Viterbi
 
-    def _best(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backpointers and pieces by position, for units of equal length (rows of code points)."""
+    def _best(self, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backpointers and pieces by position, for units in rows of code points."""
         rows, n = points.shape
         sums, inverse = point_hash(points)
         total = np.full((rows, n + 1), -np.inf)
@@ -164,7 +177,10 @@ class Encoder:
         for end in range(1, n + 1):
             for start in range(max(0, end - self.longest), end):
                 # A prefix has one right last piece in a BPE model: once found, the row is done.
-                use = np.flatnonzero(np.isfinite(total[:, start]) & ~(bpe & (total[:, end] == 0)))
+                open_ = np.isfinite(total[:, start]) & (length >= end)
+                use = np.flatnonzero(open_ & (total[:, end] != 0) if bpe else open_)
+                if not use.size:
+                    continue
                 own = self.probe(substring(sums[use], inverse, start, end))
                 if start < end - 1:
                     use, own = use[own >= 0], own[own >= 0]
@@ -181,19 +197,24 @@ class Encoder:
                 total[use, end], back[use, end], piece[use, end] = value[better], start, own
         return back, piece
 
-    def units(self, texts: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct units; those of equal length are encoded together."""
-        by_length: dict[int, list[str]] = {}
-        for t in texts:
-            by_length.setdefault(len(t), []).append(t)
-        made: dict[str, list[int]] = {}
+    def units(self, texts: list[str]) -> list[list[int]]:
+        """Ids of units; those of equal length are encoded together, long ones filled up to a common
+        length (what follows a position does not matter for the way there)."""
+        by_length: dict[int, list[int]] = {}
+        for i, t in enumerate(texts):
+            n = len(t)
+            by_length.setdefault(n if n <= 12 else 1 << (n - 1).bit_length(), []).append(i)
+        made: list[list[int]] = [[] for _ in texts]
         for n, own in by_length.items():
             step = max(1, 2_000_000 // (n + 1))
             for k in range(0, len(own), step):
-                some = own[k : k + step]
-                points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
-                back, piece = self._best(points)
-                at = np.full(len(some), n)
+                places = own[k : k + step]
+                some = [texts[i] for i in places]
+                filled = "".join(t.ljust(n, "\0") for t in some)
+                points = np.frombuffer(filled.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+                length = np.array([len(t) for t in some])
+                back, piece = self._best(points, length)
+                at = length.copy()
                 steps = []
                 while (live := np.flatnonzero(at > 0)).size:
                     now = np.full(len(some), -2, np.int64)
@@ -202,8 +223,8 @@ class Encoder:
                     now[odd] = -3 - points[odd, at[odd] - 1].astype(np.int64)
                     steps.append(now)
                     at[live] = back[live, at[live]]
-                for t, row in zip(some, np.stack(steps[::-1], 1).tolist(), strict=True):
-                    made[t] = [i for k in row if k != -2 for i in ([k] if k >= 0 else self._odd(-3 - k))]
+                for i, row in zip(places, np.stack(steps[::-1], 1).tolist(), strict=True):
+                    made[i] = [x for k in row if k != -2 for x in ([k] if k >= 0 else self._odd(-3 - k))]
         return made
 
     def _odd(self, point: int) -> list[int]:
@@ -220,27 +241,39 @@ class Encoder:
         if self.vocabulary.prefix:
             head[np.flatnonzero(np.diff(text_of, prepend=-1))] = 1
         keys = mixed(SpanHash(data).of(starts, ends) + head)
-        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        wanted = [
-            GAP * int(head[i]) + raw[starts[i] : ends[i]].decode("utf-8", "replace").replace(" ", GAP)
-            for i in at.tolist()
-        ]
+        keys, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(dict.fromkeys(w for w in wanted if w not in self.known))
-        self.known.update(self.units(new))
-        found = [self.known[w] for w in wanted]
-        length = np.array([len(f) for f in found])
-        begin = np.cumsum(length) - length
-        flat = np.array([i for f in found for i in f], np.int32)
-        size = length[inverse]
+            self._forget()
+        new = np.arange(len(keys))
+        if len(self.known):
+            new = np.flatnonzero(self.known[_place(self.known, keys)] != keys)
+        if new.size:
+            raw = data.tobytes()
+            found = self.units([
+                GAP * int(head[i]) + raw[starts[i] : ends[i]].decode("utf-8", "replace").replace(" ", GAP)
+                for i in at[new].tolist()
+            ])
+            first = len(self.known)
+            where = np.searchsorted(self.known, keys[new])
+            self.known = np.insert(self.known, where, keys[new])
+            self.unit = np.insert(self.unit, where, np.arange(first, first + len(new)))
+            stop = self.start[-1] + np.cumsum([len(f) for f in found])
+            self.start = np.concatenate([self.start, stop.astype(np.int64)])
+            fresh = np.fromiter(chain.from_iterable(found), np.int32, int(stop[-1] - self.start[first]))
+            self.flat = np.concatenate([self.flat, fresh])
+        unit = self.unit[_place(self.known, keys)][inverse]
+        begin, size = self.start[unit], self.start[unit + 1] - self.start[unit]
         done = np.cumsum(size)
-        ids = flat[np.arange(done[-1]) + np.repeat(begin[inverse] - (done - size), size)]
+        ids = self.flat[np.arange(done[-1]) + np.repeat(begin - (done - size), size)]
         last = np.searchsorted(text_of, np.arange(texts), "right")
         return ids, np.concatenate([[0], np.append(0, done)[last]])
 
 
+def _place(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key stands in sorted keys, if it does."""
+    return np.minimum(np.searchsorted(held, wanted), max(0, len(held) - 1))
+
+
 def _unit_spans(data: np.ndarray, offsets: np.ndarray):
     """Units: a run of spaces with what follows up to the next space. No piece of letters crosses them."""
     starts, ends, text_of = spans(np.ones(len(data), bool), offsets)
@@ -266,11 +299,30 @@ class Decoder:
                 made.append(" ⁇ ".encode())
             else:
                 made.append(p.replace(GAP, " ").encode())
-        self.table = made
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        self.length = np.array([len(m) for m in made])
+        self.begin = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(made), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of lists of ids, given in a row."""
+        size = self.length[ids]
+        done = np.append(0, np.cumsum(size))
+        flat = np.arange(done[-1]) + np.repeat(self.begin[ids] - done[:-1], size)
+        data = self.bytes[flat]
+        ends = done[offsets]
+        if self.prefix and len(data):  # the space put before the text goes
+            drop = ends[:-1][ends[1:] > ends[:-1]]
+            drop = drop[data[drop] == 32]
+            data = np.delete(data, drop)
+            ends = ends - np.searchsorted(drop, ends)
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # some bytes are no UTF-8: row by row
+            raw = data.tobytes()
+            rows = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return pa.array(rows, pa.string())
+        return texts.cast(pa.string())
 
 
 _held: dict[tuple[str, str], Encoder | Decoder] = {}
@@ -306,11 +358,18 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", carry=("doc_id",), nam
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = worker(model, "decoder")
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                texts = [decoder.decode(i or []) for i in part.column(ids).to_pylist()]
+            first = 0
+            length = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy()
+            ends = np.append(0, np.cumsum(length))
+            while first < batch.num_rows:
+                last = int(np.searchsorted(ends, ends[first] + SLICE_IDS, "right")) - 1
+                part = batch.slice(first, max(1, last - first))
+                first += part.num_rows
+                listed = part.column(ids).drop_null().flatten().to_numpy()
+                own = ends[first - part.num_rows : first + 1]
+                texts = decoder.decode(listed, own - own[0])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in carry), pa.array(texts, pa.string())], [*carry, name]
+                    [*(part.column(n) for n in carry), texts], [*carry, name]
                 )
 
     return source.mapInArrow(work, schema)
