@@ -253,16 +253,21 @@ class KneserNey:
             self.weight[m] = HashArrays(known, np.log(np.maximum(free, 1e-30)))
             below = (code, p)
 
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each n-gram's last symbol after the others."""
-        out, open_ = self.logp[self.order].find(gram)
+    def score(self, gram: np.ndarray, order: int | None = None) -> np.ndarray:
+        """Natural log of the probability of each n-gram's last symbol after the others.
+
+        With a lower ``order``: by continuation counts, after the last ``order - 1`` symbols.
+        """
+        top = order or self.order
+        gram = gram & np.uint32((1 << BITS * top) - 1)
+        out, open_ = self.logp[top].find(gram)
         left = np.flatnonzero(~open_)
         out[left] = 0
-        for m in range(self.order, 0, -1):
+        for m in range(top, 0, -1):
             if not left.size:
                 return out
             part = gram[left] & np.uint32((1 << BITS * m) - 1)
-            if m < self.order:
+            if m < top:
                 value, hit = self.logp[m].find(part)
                 out[left[hit]] += value[hit]
                 left, part = left[~hit], part[~hit]

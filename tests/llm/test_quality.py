@@ -47,6 +47,16 @@ def test_bands_reject_gibberish_and_keep_prose(spark):
     assert len(kept & {i for i, _, _ in prose}) >= 295
 
 
+def test_bands_reject_labelled_junk_and_keep_good_text(spark):
+    folder = "/root/testdata/sf0.1"
+    marks = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).join(marks, "doc_id")
+    passed = rows.filter("NOT base_failed").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    by = {r.quality: r for r in passed.collect()}
+    assert by[0].n > 200 and by[0].kept <= 0.05 * by[0].n
+    assert by[1].n > 3000 and by[1].kept >= 0.998 * by[1].n
+
+
 def test_edges(edges, nothing):
     rows = quality_rules.quality_rules(edges).collect()
     assert len(rows) == 10
