@@ -9,6 +9,8 @@
 3. A logistic regression on these features is fitted with an L2 penalty by Newton steps. The fit
    reads at most ``FIT_ROWS`` labelled rows (smallest hashes of the id, half from each label where
    there are as many), a documented bound; ratios and features come from all labelled rows.
+   Rows are weighted so that each label has half of the weight, whatever the size of the table and of
+   the sample: a score of one half is the same operating point for both.
 4. Every text is scored; only its text is used.
 
 Model sizes are fixed: slots and features do not grow with the corpus.
@@ -143,27 +145,28 @@ def choose(counts: pa.Table) -> tuple[Model, float]:
 
 
 def solve(model: Model, rows: np.ndarray, features: np.ndarray, y: np.ndarray) -> None:
-    """Set weights and bias by accelerated gradient steps on the penalised log loss."""
+    """Set weights and bias by accelerated gradient steps on the penalised log loss, labels weighing alike."""
     value = model.ratio[features]
     n, m = len(y), len(model.ratio)
     if not n or y.min() == y.max():
         share = (y.sum() + 0.5) / (n + 1)
         model.bias = float(np.log(share / (1 - share)))
         return
+    weight = n / 2 / np.bincount(y.astype(np.int64))[y.astype(np.int64)]
     squares = np.bincount(rows, weights=value**2, minlength=n)
     # A bound of the curvature: the largest eigenvalue by power iteration.
     v = np.ones(m + 1)
     for _ in range(15):
-        z = np.bincount(rows, weights=value * v[features], minlength=n) + v[m]
+        z = weight * (np.bincount(rows, weights=value * v[features], minlength=n) + v[m])
         v = np.append(np.bincount(features, weights=value * z[rows], minlength=m), z.sum())
         top = np.linalg.norm(v)
         v /= top
-    rate = 1 / (0.25 * max(top, squares.max() + 1) * 1.1 + PENALTY)
+    rate = 1 / (0.25 * max(top, (weight * (squares + 1)).max()) * 1.1 + PENALTY)
     w = np.zeros(m + 1)
     ahead, t = w, 1.0
     for _ in range(STEPS):
         z = np.bincount(rows, weights=value * ahead[features], minlength=n) + ahead[m]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         slope = np.append(np.bincount(features, weights=value * error[rows], minlength=m), error.sum())
         slope[:m] += PENALTY * ahead[:m]
         after = ahead - rate * slope

@@ -99,6 +99,32 @@ def test_toxicity_learns_words_and_scores_repeat(spark):
     assert got[1] < 0.5 < got[2] == got[3]
 
 
+def test_toxicity_verdict_does_not_depend_on_the_mix_of_the_sample():
+    rng = np.random.default_rng(5)
+    shared = rng.random((8000, 5)) < np.array([0.5, 0.4, 0.3, 0.3, 0.2])
+    toxic = rng.random((8000, 5)) < np.array([0.5, 0.4, 0.5, 0.5, 0.6])
+
+    def bias(n_clean, n_toxic):
+        y = np.repeat([0.0, 1.0], [n_clean, n_toxic])
+        rows, features = np.nonzero(np.concatenate([shared[:n_clean], toxic[:n_toxic]]))
+        model = toxicity.Model(np.arange(5), np.array([0.0, 0.0, 0.5, 0.5, 1.0]))
+        toxicity.solve(model, rows, features, y)
+        return model.bias
+
+    assert abs(bias(8000, 1000) - bias(4500, 4500)) < 0.3
+
+
+def test_toxicity_recall_and_false_positives_at_one_half(spark, monkeypatch):
+    folder = "/root/testdata/sf0.1"
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    for rows in (toxicity.FIT_ROWS, 700):  # the natural mix of labels, and as many of each
+        monkeypatch.setattr(toxicity, "FIT_ROWS", rows)
+        held = [r for r in queries.op7(spark, folder).filter("held_out").collect() if r.doc_id in marks]
+        toxic = [r.predicted for r in held if marks[r.doc_id] == 1]
+        clean = [r.predicted for r in held if marks[r.doc_id] == 0]
+        assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
 def test_slot_counts_equal_brute_force(spark):
     rows = _labelled(spark, 20)
     want = {-1: [0, 0]}
