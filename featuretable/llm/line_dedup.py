@@ -126,8 +126,8 @@ def _fours(keys: np.ndarray) -> pa.Array:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, no, line, words, halves`` of every line with a word, stored; a text without lines
-    has one row with nulls."""
+    """``doc_id, row, key, no, line, words, halves`` of every line with a word, stored; a text without
+    lines has one row with nulls. ``key`` is a hash of the text."""
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         lines = Lines(*text_bytes(batch.column("text")))
@@ -142,21 +142,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
         )
         return {"lines": _grouped(values, lines.text_of, batch.num_rows)}
 
-    rows = map_texts(docs, work, OCCURRENCE).withColumn("row", F.monotonically_increasing_id())
-    exploded = rows.select("doc_id", "row", F.explode_outer("lines").alias("l"))
-    return materialize(exploded.select("doc_id", "row", "l.*"), "lines")
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    rows = map_texts(keyed, work, OCCURRENCE, carry=("doc_id", "key"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    exploded = rows.select("doc_id", "row", "key", F.explode_outer("lines").alias("l"))
+    return materialize(exploded.select("doc_id", "row", "key", "l.*"), "lines")
 
 
 def survivors(found: DataFrame) -> DataFrame:
-    """``line, at`` of distinct lines that share a half with another one; ``at`` is the first place."""
+    """``line, at, key`` of distinct lines that share a half with another one; ``at`` is the first place
+    and ``key`` the hash of the text there."""
     keyed = found.filter(F.col("words") >= NEAR_WORDS - BOUND)
-    place = F.min(F.struct("doc_id", "row", "no")).alias("at")
-    first = materialize(keyed.groupBy("line").agg(place, F.first("halves").alias("halves")), "first_lines")
+    place = F.min(F.struct("doc_id", "row", "no", "key")).alias("place")
+    first = keyed.groupBy("line").agg(place, F.first("halves").alias("halves"))
+    at = F.struct("place.doc_id", "place.row", "place.no").alias("at")
+    first = materialize(first.select("line", at, "place.key", "halves"), "first_lines")
     halves = first.select("line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
     shared = shared.filter(F.col("lo") != F.col("hi")).select("half")
     lines = halves.join(shared, "half", "left_semi").select("line").distinct()
-    return materialize(first.join(lines, "line", "left_semi").select("line", "at"), "survivors")
+    return materialize(first.join(lines, "line", "left_semi").select("line", "at", "key"), "survivors")
 
 
 VARIANT = T.StructType(
@@ -178,14 +183,21 @@ VARIANT = T.StructType(
 )
 
 
+def wanted_lines(lines: DataFrame) -> DataFrame:
+    """``id, text_key, wanted``: the lines asked of each text, so that a list is no longer than its text
+    even where ids are null or repeated."""
+    by = lines.groupBy(F.col("at.doc_id").alias("id"), F.col("key").alias("text_key"))
+    return by.agg(F.collect_list("line").alias("wanted"))
+
+
 def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``line, words, gaps, lacks, at`` of the surviving lines, from the texts they first stand in.
 
     ``gaps`` are the keys of the line without one word and with the gap's place, ``lacks`` the hashes of
     the line without one word.
     """
-    wanted = lines.groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_list("line").alias("wanted"))
-    source = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_key"))
+    source = docs.join(wanted_lines(lines), same).select("text", "wanted")
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         lines = Lines(*text_bytes(batch.column("text")))
@@ -222,7 +234,7 @@ def variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     made = map_texts(source, work, VARIANT, needs=("wanted",), carry=())
     rows = made.select(F.explode("found").alias("f")).select("f.*").dropDuplicates(["line"])
-    return materialize(rows.join(lines, "line"), "variants")
+    return materialize(rows.join(lines.select("line", "at"), "line"), "variants")
 
 
 def near_words(a: str, b: str) -> bool:

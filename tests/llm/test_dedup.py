@@ -219,3 +219,13 @@ def test_lines_edges(edges, nothing):
     assert by[1][1:] == (0, 0, 0, []) and by[4][1:] == (0, 0, 0, []) and by[7][1:] == (2, 2, 0, [0, 1])
     assert sorted(g[2] for g in got if g[0] == 3) == [0, 2]
     assert got_lines(nothing) == []
+
+
+def test_line_lists_stay_within_a_text_where_ids_are_null(spark):
+    base = "one two three four five six seven eight nine".split()
+    texts = ["\n".join(" ".join([*base, f"t{i}", f"l{j}"]) for j in range(2)) for i in range(30)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    lines = line_dedup.survivors(line_dedup.occurrences(df))
+    lists = [r.wanted for r in line_dedup.wanted_lines(lines).collect()]
+    assert sum(map(len, lists)) == 60 and max(map(len, lists)) == 2
+    assert line_dedup.variants(df, lines).count() == 60
