@@ -50,8 +50,3 @@ def setting(spark):
             spark.conf.unset(name)
         else:
             spark.conf.set(name, value)
-
-
-def rows(df) -> list[tuple]:
-    """Rows as tuples, sorted."""
-    return sorted((tuple(row) for row in df.collect()), key=repr)

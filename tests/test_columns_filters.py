@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from featuretable.operators import columns, filters
 

@@ -6,7 +6,7 @@ import json
 from types import SimpleNamespace
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from featuretable import fixed_values as V
 from featuretable.plans import basetable as B

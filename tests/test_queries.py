@@ -55,7 +55,7 @@ def test_regression_counts_without_category_filter(spark, sf_dir):
 
 
 def test_stored_rollups_change_nothing(spark, sf_dir):
-    from conftest import rows
+    from helpers import rows
     from featuretable.plans.basetable import basetable
     from workload.roles import DAYS, sources
 
