@@ -6,6 +6,8 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featuretable.models.nested import node_importances, node_table
+
 
 def feature_names(df: DataFrame, features: str = "features") -> dict[int, str]:
     """Slot to name, from the metadata of the vector column."""
@@ -17,12 +19,14 @@ def feature_names(df: DataFrame, features: str = "features") -> dict[int, str]:
 def feature_importance(
     model: Model, df: DataFrame, top: int | None = None, features: str = "features", digits: int = 2
 ) -> DataFrame:
-    """Importance of each vector slot, largest first: one row per feature, not per data row."""
-    names = feature_names(df, features)
-    scores = model.featureImportances
-    rows = [(slot, names[slot], float(scores[slot])) for slot in names]
-    table = df.sparkSession.createDataFrame(rows, "slot int, feature string, importance double")
-    ranked = table.withColumn("importance_rounded", F.round("importance", digits)).orderBy(
-        F.desc("importance"), "slot"
-    )
+    """Importance of each vector slot, largest first: one row per feature, not per data row.
+
+    Gains are added up from the stored nodes of the trees; a feature that no node uses has 0.
+    """
+    spark = df.sparkSession
+    named = spark.createDataFrame(list(feature_names(df, features).items()), "slot int, feature string")
+    scores = node_importances(node_table(model, df))
+    table = named.join(scores, "slot", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+    ranked = table.select("slot", "feature", "importance", F.round("importance", digits).alias("importance_rounded"))
+    ranked = ranked.orderBy(F.desc("importance"), "slot")
     return ranked if top is None else ranked.limit(top)
