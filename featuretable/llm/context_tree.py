@@ -6,15 +6,16 @@ prefix of the byte's bits under a context of the 0 to ``DEPTH`` bytes before it
 
 1. Texts go in blocks. A block sends each distinct gram (context and byte) and each distinct word once, with its
    count in learning texts. Spark adds them up.
-2. Level by level, from the longest contexts upwards, the decisions of all grams give each node its zeros and ones,
-   the Krichevsky-Trofimov probability of them, and the weighted probability: half of it plus half of the product of
-   its children's. At ``DEPTH`` it is the estimate alone. Nodes are rows, levels are aggregations.
+2. From the longest contexts upwards, the decisions of all grams give each node its zeros and ones, the
+   Krichevsky-Trofimov probability of them, and the weighted probability: half of it plus half of the product of
+   its children's. At ``DEPTH`` it is the estimate alone. Grams that agree in the ``TOP`` nearest context bytes
+   are a subtree of bounded size, computed in one task in arrays; above, nodes are rows and levels are aggregations.
 3. Downwards, a node gets the posterior weight that its path ends there, and so the mixture of the estimates of
    all depths on its path; what weight is left goes to the deepest node with data. That is the chance of a one.
 4. A gram's log probability is the sum over its eight decisions, each at the deepest node that learning texts
    have reached (a decision they never reached is even). It returns to the blocks that asked, which sum it by text.
 
-Nothing of the model is broadcast by us or collected; a block is bounded by bytes and by distinct grams, or is one
+Of the model only the two shallowest levels (65,535 nodes at most) are broadcast, nothing is collected; a block is bounded by bytes and by distinct grams, or is one
 longer text. Counts stay as they are while scoring: no text learns from itself beyond what it gave to the counts.
 
 Edge cases: null, empty and blank texts have the end token alone; repeated rows count and are scored alike; without
@@ -37,6 +38,8 @@ from featuretable.llm.texts import LOWER, SPACE, SpanHash, bounded_batches, mixe
 from featuretable.sources.scratch import materialize
 
 DEPTH = 5
+TOP = 3
+PART_ROWS = 300_000
 END, BLANK = 10, 32
 SLICE = 4 << 20
 BLOCK_BYTES = 32 << 20
@@ -197,91 +200,197 @@ def asked(stored: DataFrame, kind: int) -> DataFrame:
     return packed.mapInArrow(unpack, "block long, key long, n long")
 
 
-def _log_gamma(x: Column) -> Column:
+def _part(name: str = "key") -> Column:
+    """The ``TOP`` context bytes next to a gram's byte; what shares them is one subtree."""
+    return F.shiftright(name, 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+
+
+def _shorter(depth: int, node: str = "node") -> Column:
+    """The same decision under the context of the last ``depth`` bytes."""
+    return F.col(node).bitwiseAND(F.lit(_mask(depth)))
+
+
+def _mask(depth: int) -> int:
+    return (1 << 8 * (depth + 1)) - 1
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series at x + 8, taken back by the recurrence."""
-    product = x
+    product = x.copy()
     for k in range(1, 8):
-        product = product * (x + k)
+        product *= x + k
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
-def _estimate() -> Column:
+def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones."""
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
 
 
-def _decisions(rows: DataFrame, *carry: str) -> DataFrame:
-    """Eight rows for each gram ``key``: ``node`` (context and prefix of bits) and ``bit``."""
-    context = F.shiftleft(F.shiftright("key", 8), 8)
-    byte = F.col("key").bitwiseAND(255)
-    steps = [
-        F.struct(
-            context.bitwiseOR(F.lit(1 << k).bitwiseOR(F.shiftright(byte, 8 - k))).alias("node"),
-            F.shiftright(byte, 7 - k).bitwiseAND(1).cast("int").alias("bit"),
-        )
-        for k in range(8)
-    ]
-    return rows.select(*carry, F.inline(F.array(*steps)))
+def _weighted(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted probability of inner nodes, and the posterior share of their own estimate."""
+    own, split = _estimate(a, b) - math.log(2), below - math.log(2)
+    weight = np.logaddexp(own, split)
+    return weight, np.exp(own - weight)
 
 
-def _shorter(depth: int, name: str = "node") -> Column:
-    """The same decision under the context of the last ``depth`` bytes."""
-    return F.col(name).bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
-
-
-def weighted(counts: DataFrame) -> list[DataFrame]:
-    """By depth: ``node, a, b, stop``; ``stop`` is the posterior share of the node's own estimate."""
-    ones = F.sum(F.col("n") * F.col("bit"))
-    nodes = _decisions(counts, "n").groupBy("node").agg((F.sum("n") - ones).alias("a"), ones.alias("b"))
-    nodes = nodes.select("node", "a", "b", F.lit(1.0).alias("stop"), _estimate().alias("weight"))
-    found = [materialize(nodes, f"nodes{DEPTH}")]
-    for depth in range(DEPTH - 1, -1, -1):
-        up = found[0].groupBy(_shorter(depth).alias("node")).agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weight").alias("below")
-        )
-        up = up.select("node", "a", "b", (_estimate() + math.log(0.5)).alias("own"), (F.col("below") + math.log(0.5)).alias("split"))
-        top = F.greatest("own", "split")
-        both = top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("split") - top))
-        up = up.withColumn("weight", both)
-        found.insert(0, materialize(up.select("node", "a", "b", F.exp(F.col("own") - both).alias("stop"), "weight"), f"nodes{depth}"))
-    return found
-
-
-def mixtures(levels: list[DataFrame]) -> list[DataFrame]:
-    """By depth: ``node, one``, the chance of a one where no deeper node has data."""
+class Subtrees:
+    """Decisions of grams and their nodes from ``DEPTH`` up to ``TOP``, as arrays by depth.
+
+    Grams without learning count have nodes as well, with zero counts, which weigh nothing.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        byte, context = key & 255, (key >> 8) << 8
+        steps = np.arange(8)[:, None]
+        self.bit = (byte >> (7 - steps)) & 1
+        flat = context | (1 << steps) | (byte >> (8 - steps))
+        self.up: dict[int, np.ndarray] = {}  # from each node (each decision, at the deepest) to its parent's place
+        self.node, self.a, self.b, self.stop = {}, {}, {}, {}
+        node, self.place = np.unique(flat, return_inverse=True)
+        self.place = self.place.reshape(flat.shape)
+        weights = np.broadcast_to(n.astype(np.float64), flat.shape)
+        ones = np.bincount(self.place.ravel(), (weights * self.bit).ravel(), len(node))
+        zeros = np.bincount(self.place.ravel(), (weights * (1 - self.bit)).ravel(), len(node))
+        weight, stop = _estimate(zeros, ones), np.ones(len(node))
+        for depth in range(DEPTH, TOP - 1, -1):
+            self.node[depth], self.a[depth], self.b[depth], self.stop[depth] = node, zeros, ones, stop
+            if depth > TOP:
+                node, up = np.unique(node & _mask(depth - 1), return_inverse=True)
+                self.up[depth] = up
+                zeros, ones, below = (np.bincount(up, x, len(node)) for x in (zeros, ones, weight))
+                weight, stop = _weighted(zeros, ones, below)
+        self.weight = weight  # at TOP
+
+    def scores(self, mixed: np.ndarray, left: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Log probability of each gram's byte, from what the nodes at ``TOP`` inherit."""
+        for depth in range(TOP, DEPTH + 1):
+            if depth > TOP:
+                mixed, left, one = (x[self.up[depth]] for x in (mixed, left, one))
+            a, b, stop = self.a[depth], self.b[depth], self.stop[depth]
+            own = (b + 0.5) / (a + b + 1)
+            one = np.where(a + b > 0, mixed + left * own, one)
+            mixed, left = mixed + left * stop * own, left * (1 - stop)
+        chance = one[self.place]
+        return np.log(np.where(self.bit == 1, chance, 1 - chance)).sum(axis=0)
+
+
+def _by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about ``PART_ROWS`` that end where a part ends."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, PART_ROWS
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= limit:
+            table = pa.Table.from_batches(held)
+            part = table.column("part").to_numpy()
+            cut = int(np.searchsorted(part, part[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = table.num_rows - cut
+            limit = max(PART_ROWS, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tops(counts: DataFrame) -> DataFrame:
+    """``node, a, b, weight, stop`` at depth ``TOP`` of ``part, key, n`` rows."""
+
+    def lift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_part(batches):
+            tree = Subtrees(table.column("key").to_numpy(), table.column("n").to_numpy())
+            columns = [tree.node[TOP], tree.a[TOP], tree.b[TOP], tree.weight, tree.stop[TOP]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "a", "b", "weight", "stop"])
+
+    rows = counts.repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(lift, "node long, a double, b double, weight double, stop double")
+
+
+def _lifted(level: DataFrame, depth: int) -> DataFrame:
+    """``node, a, b, weight, stop`` of the next level up."""
+    up = level.groupBy(_shorter(depth).alias("node")).agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weight").alias("below")
+    )
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, below = (batch.column(n).to_numpy() for n in ("a", "b", "below"))
+            made = [pa.array(x) for x in _weighted(a, b, below)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("node", "a", "b")), *made], ["node", "a", "b", "weight", "stop"])
+
+    return up.mapInArrow(weigh, "node long, a double, b double, weight double, stop double")
+
+
+def inherited(top: DataFrame) -> DataFrame:
+    """``node, mixed, left, one`` for the nodes at ``TOP``: what shallower nodes say, and the weight they leave.
+
+    ``one`` is the chance of a one if the node itself has no data: that of the deepest shallower node with data.
+    """
+    levels = {TOP: top.filter("a + b > 0")}
+    for depth in range(TOP - 1, -1, -1):
+        levels[depth] = materialize(_lifted(levels[depth + 1], depth), f"nodes{depth}")
     own = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
-    found = []
-    above = None
-    for depth, level in enumerate(levels):
+    above: DataFrame | None = None
+    rows = top.select("node")
+    for depth in range(TOP):
+        level = levels[depth]
         if above is None:
-            rows = level.withColumns({"mixed": F.lit(0.0), "left": F.lit(1.0)})
+            level = level.withColumns({"mixed": F.lit(0.0), "left": F.lit(1.0)})
         else:
-            rows = level.withColumn("parent", _shorter(depth - 1)).join(above, "parent")
-        rows = rows.select(
-            "node", (F.col("mixed") + F.col("left") * own).alias("one"),
-            (F.col("mixed") + F.col("left") * F.col("stop") * own).alias("mixed"),
+            parents = above.select(F.col("node").alias("parent"), "mixed", "left")
+            level = level.withColumn("parent", _shorter(depth - 1)).join(_bounded(parents, depth - 1), "parent")
+        own_part = F.col("left") * F.col("stop") * own
+        level = level.select(
+            "node", (F.col("mixed") + F.col("left") * own).alias("one"), (F.col("mixed") + own_part).alias("mixed"),
             (F.col("left") * (1 - F.col("stop"))).alias("left"),
         )
-        stored = materialize(rows if depth < DEPTH else rows.select("node", "one"), f"mixtures{depth}")
-        found.append(stored.select("node", "one"))
-        above = stored.withColumnRenamed("node", "parent").drop("one") if depth < DEPTH else None
-    return found
+        above = materialize(level, f"mixtures{depth}")
+        named = above.select(F.col("node").alias(f"n{depth}"), *(F.col(c).alias(f"{c}{depth}") for c in ("one", "mixed", "left")))
+        rows = rows.withColumn(f"n{depth}", _shorter(depth)).join(_bounded(named, depth), f"n{depth}", "left")
+    deepest = [F.col(f"one{d}") for d in range(TOP - 1, -1, -1)]
+    return rows.select(
+        "node", F.coalesce(f"mixed{TOP - 1}", F.lit(0.0)).alias("mixed"), F.coalesce(f"left{TOP - 1}", F.lit(0.0)).alias("left"),
+        F.coalesce(*deepest, F.lit(0.5)).alias("one"),
+    )
+
+
+def _bounded(level: DataFrame, depth: int) -> DataFrame:
+    """A level of at most 255 * 256 ** depth nodes; the first two (65,280 rows at most) are broadcast."""
+    return F.broadcast(level) if depth < 2 else level
 
 
-def gram_scores(counts: DataFrame, chances: list[DataFrame]) -> DataFrame:
-    """``key, value``: natural log of the chance of each gram's byte after its context."""
-    chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    known = _decisions(counts.filter("n > 0"), "key").join(chances[DEPTH], "node").select("key", "bit", "one")
-    rows = _decisions(counts.filter("n = 0"), "key")
-    for depth in range(DEPTH, -1, -1):
-        level = chances[depth].select(F.col("node").alias(f"n{depth}"), F.col("one").alias(f"one{depth}"))
-        rows = rows.withColumn(f"n{depth}", _shorter(depth)).join(level, f"n{depth}", "left")
-    deepest = F.coalesce(*(F.col(f"one{d}") for d in range(DEPTH, -1, -1)), F.lit(0.5))
-    new = rows.select("key", "bit", deepest.alias("one"))
-    return known.unionAll(new).groupBy("key").agg(F.sum(F.log(chance)).alias("value"))
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """``key, value`` of all ``key, n`` rows: natural log of the chance of each gram's byte after its context.
+
+    A part holds at most 256 ** (DEPTH - TOP + 1) grams, and tasks take parts one after the other.
+    """
+    rows = counts.select(_part().alias("part"), "key", "n")
+    top = materialize(tops(rows), "tops", rebalance=False)
+    none = F.lit(None)
+    given = inherited(top).select(
+        F.shiftright("node", 8).alias("part"), F.lit(0).alias("gram"), F.col("node").alias("key"),
+        none.cast("long").alias("n"), "mixed", "left", "one",
+    )
+    empty = none.cast("double")
+    asked_for = rows.select("part", F.lit(1).alias("gram"), "key", "n", empty, empty, empty)
+
+    def lower(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_part(batches):
+            gram = table.column("gram").to_numpy() == 1
+            key, n = table.column("key").to_numpy()[gram], table.column("n").to_numpy()[gram]
+            tree = Subtrees(key, n.astype(np.int64))
+            nodes = table.column("key").to_numpy()[~gram]
+            order = np.argsort(nodes)
+            at = order[np.searchsorted(nodes, tree.node[TOP], sorter=order)]
+            above = (table.column(c).to_numpy()[~gram][at] for c in ("mixed", "left", "one"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tree.scores(*above))], ["key", "value"])
+
+    both = given.unionAll(asked_for).repartition("part").sortWithinPartitions("part")
+    return both.mapInArrow(lower, "key long, value double")
 
 
 class Found:
@@ -312,11 +421,10 @@ def score(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc
     )
     stored = blocks(rows)
     added = F.sum("n").alias("n")
-    gram_counts = materialize(asked(stored, GRAM).groupBy("key").agg(added), "gram_counts")
-    word_counts = materialize(asked(stored, WORD).groupBy("key").agg(added), "word_counts")
+    gram_counts = materialize(asked(stored, GRAM).groupBy("key").agg(added), "gram_counts", rebalance=False)
+    word_counts = materialize(asked(stored, WORD).groupBy("key").agg(added), "word_counts", rebalance=False)
     total, distinct = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    chances = mixtures(weighted(gram_counts.filter("n > 0")))
-    scores = materialize(gram_scores(gram_counts, chances), "gram_scores")
+    scores = materialize(gram_scores(gram_counts), "gram_scores", rebalance=False)
     values = _answers(stored, GRAM, scores).unionAll(
         _answers(stored, WORD, word_counts.select("key", F.col("n").cast("double").alias("value")))
     )

@@ -86,7 +86,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("held", [2, 5, 100])
+@pytest.mark.parametrize("held", [5, 100])
 def test_equals_brute_force(spark, held):
     learn = [i % 7 != held % 7 if held < 100 else False for i in range(len(TEXTS))]
     docs = spark.createDataFrame(list(zip(range(len(TEXTS)), TEXTS, learn, strict=True)), "doc_id long, text string, use boolean")
@@ -98,14 +98,14 @@ def test_small_slices_and_blocks_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(list(zip(range(len(TEXTS)), TEXTS, learn, strict=True)), "doc_id long, text string, use boolean")
     monkeypatch.setattr(context_tree, "SLICE", 30)
     monkeypatch.setattr(context_tree, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(context_tree, "PART_ROWS", 20)
     check(context_tree.score(docs.coalesce(1), F.col("use")).collect(), TEXTS, learn)
 
 
-def test_log_gamma(spark):
+def test_log_gamma():
     values = [0.5, 1.0, 1.5, 2.0, 7.5, 100.5, 1e6 + 0.5, 1e12]
-    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", context_tree._log_gamma(F.col("x")).alias("y"))
-    for r in rows.collect():
-        assert r.y == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-11)
+    found = context_tree._log_gamma(np.array(values))
+    assert found == pytest.approx([math.lgamma(x) for x in values], rel=1e-12, abs=1e-11)
 
 
 def test_chances_of_all_bytes_sum_to_one(spark):
@@ -116,8 +116,7 @@ def test_chances_of_all_bytes_sum_to_one(spark):
     contexts = [int(keys[3]) >> 8, int(keys[-1]) >> 8, int.from_bytes(b"zzbra", "big"), 0]
     asked = [((c << 8) | x, 0) for c in contexts for x in range(256)]
     new = spark.createDataFrame(asked, "key long, n long").join(counts, "key", "left_anti")
-    chances = context_tree.mixtures(context_tree.weighted(counts))
-    found = context_tree.gram_scores(counts.union(new), chances).filter((F.col("key") / 256).cast("long").isin(contexts))
+    found = context_tree.gram_scores(counts.union(new)).filter((F.col("key") / 256).cast("long").isin(contexts))
     sums = found.groupBy((F.col("key") / 256).cast("long")).agg(F.sum(F.exp("value")), F.count("*")).collect()
     assert len(sums) == 4
     for _, total, rows in sums:
