@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column, fields, is_missing
 from featuretable.operators.columns import one_row_per_column
+from featuretable.operators.ranking import running_total_by
 from featuretable.sources.scratch import materialize
 
 
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """Number of rows and columns."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
@@ -128,6 +133,53 @@ def describe_numeric(df: DataFrame, names: Iterable[str]) -> DataFrame:
     )
 
 
+def describe_quantiles(
+    df: DataFrame, names: Iterable[str], shares: Iterable[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """Exact quantiles of numeric columns, one row per column: the smallest value with that share at or below it.
+
+    Values of all columns are counted once each and ranked over ranges of (column, value), so neither a
+    column nor a value that holds most rows meets in one task. Nulls and NaN do not count; a column
+    without values has null quantiles.
+    """
+    names = list(names)
+    shares = list(shares)
+    cells = [F.struct(F.lit(i).alias("slot"), column(name).cast("double").alias("value")) for i, name in enumerate(names)]
+    values = df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL AND NOT isnan(value)")
+    counts = values.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total_by(counts, ["slot"], [F.col("value").asc()], F.col("n"), "below")
+    sizes = ranked.groupBy("slot").agg(F.sum("n").alias("total"))
+    quantiles = []
+    for share in shares:
+        place = F.greatest(F.ceil(F.lit(share) * F.col("total")), F.lit(1))
+        here = (F.col("below") < place) & (place <= F.col("below") + F.col("n"))
+        quantiles.append(F.max(F.when(here, F.col("value"))).alias(f"q{round(100 * share)}"))
+    found = ranked.join(F.broadcast(sizes), "slot").groupBy("slot").agg(*quantiles)
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "slot int, column_name string")
+    return listed.join(found, "slot", "left").drop("slot")
+
+
+def distinct_sketches(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """``column_name, sketch``: distinct values of every column as HyperLogLog sketches, in one pass.
+
+    A sketch has a fixed size (``2 ** SKETCH_BITS`` registers) and is stored beside the load it describes;
+    sketches of many loads merge without reading their rows again. Nulls do not count.
+    """
+    names = [field.name for field in fields(df, names)]
+    sketch = {name: F.hll_sketch_agg(column(name).cast("string"), F.lit(SKETCH_BITS)) for name in names}
+    return _one_row_per_column(df, names, {"sketch": sketch})
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """One sketch per column of the sketches of several loads, put together by ``unionByName``."""
+    return sketches.groupBy("column_name").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """``column_name, estimate``; the standard error is about ``SKETCH_ERROR`` of it."""
+    return sketches.select("column_name", F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
 def describe_text(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Count, minimum and maximum of text or date columns, as text."""
     names = list(names)

@@ -17,7 +17,7 @@ from featuretable.operators.assemble import left_assemble
 from featuretable.operators.columns import drop, keep, replace_in_names
 from featuretable.operators.filters import drop_incomplete, where_any_contains, where_equals
 from featuretable.operators.impute import fill_constant, fill_with_max
-from featuretable.operators.rollup import rollup_activity, rollup_with_members
+from featuretable.operators.rollup import finish_members, member_state, merge_members, rollup_activity
 from featuretable.operators.sets import dedup_by_key
 from featuretable.sources.scratch import materialize
 
@@ -35,6 +35,7 @@ class Sources:
     review: DataFrame
     tip: DataFrame
     user_since: str = "user_since"
+    unique_users: bool = False  # known to hold every user once: one grouping less
 
 
 @dataclass(frozen=True)
@@ -137,31 +138,52 @@ def rollup_tip(tip: DataFrame, reference: str) -> DataFrame:
     )
 
 
-def rollup_review(review: DataFrame, users: DataFrame, reference: str) -> DataFrame:
-    """Ratings, reviewers and recency per business; ``users`` comes from :func:`reviewers`."""
+REVIEW_FACTS = {"avg_business_stars": "stars", "avg_useful_reviews_count": "useful"}
+REVIEW_MEMBERS = {
+    "avg_reviewer_fanscount": "fans",
+    "avg_reviewers_reviewcount": "review_count",
+    "avg_reviewers_LOR": "user_LOR_months",
+}
+
+
+def review_state(review: DataFrame) -> DataFrame:
+    """The reviews of one load, reduced to what :func:`review_rollup` needs of them."""
     reviews = review.select(
         KEY, "user_id", "stars", "useful", timestamp_of(review, "date").alias("date")
     )
-    return rollup_with_members(
-        reviews,
+    return member_state(reviews, KEY, "user_id", "date", list(REVIEW_FACTS.values()), "useful")
+
+
+def add_reviews(state: DataFrame, review: DataFrame) -> DataFrame:
+    """A stored state with the reviews of one more load; earlier loads are not read again."""
+    return merge_members(state.unionByName(review_state(review)), KEY, "user_id")
+
+
+def review_rollup(
+    state: DataFrame, users: DataFrame, reference: str, unique_users: bool = False
+) -> DataFrame:
+    """Ratings, reviewers and recency per business; ``users`` comes from :func:`reviewers`."""
+    return finish_members(
+        state,
         users,
         entity=KEY,
         member="user_id",
-        date="date",
         reference=reference,
-        fact_averages={"avg_business_stars": "stars", "avg_useful_reviews_count": "useful"},
-        member_averages={
-            "avg_reviewer_fanscount": "fans",
-            "avg_reviewers_reviewcount": "review_count",
-            "avg_reviewers_LOR": "user_LOR_months",
-        },
-        count_of="useful",
+        fact_averages=REVIEW_FACTS,
+        member_averages=REVIEW_MEMBERS,
         count_as="count_reviews",
         distinct_as="count_reviewers",
         recency_as="review_recency_months",
+        unique_members=unique_users,
     )
 
 
+def rollup_review(
+    review: DataFrame, users: DataFrame, reference: str, unique_users: bool = False
+) -> DataFrame:
+    return review_rollup(review_state(review), users, reference, unique_users)
+
+
 def raw_basetable(
     sources: Sources,
     days: ReferenceDays = ReferenceDays(),
@@ -177,7 +199,7 @@ def raw_basetable(
     features = business_features(clean_business(sources.business, terms))
     users = reviewers(sources.user, days.user, sources.user_since)
     label = covid_labels(sources.covid)
-    review = rollup_review(sources.review, users, days.review)
+    review = rollup_review(sources.review, users, days.review, sources.unique_users)
     checkin = rollup_checkin(sources.checkin, days.checkin)
     tip = rollup_tip(sources.tip, days.tip)
     if store_rollups:

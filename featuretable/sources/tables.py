@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +41,113 @@ def read_table(
     return table
 
 
+CORRUPT = "_malformed_line"
+
+
+def read_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """JSON lines by a schema, with their file, and with the whole line where it does not fit the schema.
+
+    Such a line is cut off, no JSON, or has a value of another type. Which lines these are depends on the
+    columns that a query reads, so :func:`set_aside` should store the rows before they are used.
+    """
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = spark.read.schema(whole).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
+
+
+def set_aside(rows: DataFrame, good_path: str, bad_path: str) -> tuple[DataFrame, DataFrame]:
+    """Store the rows of :func:`read_lines` apart: well-formed ones, and ``file, line`` of the others.
+
+    Both tables are Parquet and replace what is there. The source is parsed once, into a table beside the good one
+    that is split by a column; the result is read back.
+    """
+    spark = rows.sparkSession
+    both = f"{good_path.rstrip('/')}.parsed"
+    rows.write.mode("overwrite").parquet(both)
+    stored = spark.read.schema(rows.schema).parquet(both)
+    bad = F.col(CORRUPT).isNotNull()
+    write_table(stored.filter(~bad).drop(CORRUPT, "_file"), good_path)
+    write_table(stored.filter(bad).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line")), bad_path)
+    _delete(spark, both)
+    kept = T.StructType([f for f in rows.schema if f.name not in (CORRUPT, "_file")])
+    return spark.read.schema(kept).parquet(good_path), spark.read.schema("file string, line string").parquet(bad_path)
+
+
+def lines_by_file(malformed: DataFrame) -> DataFrame:
+    """Number of malformed lines of each file that has any."""
+    return malformed.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a table, by default replacing what is there."""
+    """Write a table, by default replacing what is there (see :func:`replace_table`)."""
+    _check_format(fmt)
+    if mode == "overwrite":
+        replace_table(df, path, fmt)
+    else:
+        df.write.format(fmt).mode(mode).save(path)
+
+
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write a table beside its path, then put it in the place of what is there.
+
+    A job that fails leaves the old table as it was. The new one has to hold as many rows as were written. The
+    old one is moved to ``path.previous`` and deleted last; if a driver dies between the two moves, the next
+    replacement (or :func:`restore_table`) moves it back. A table may be replaced by one that is read from it.
+    """
     _check_format(fmt)
-    df.write.format(fmt).mode(mode).save(path)
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    restore_table(spark, path)
+    if not _exists(spark, path):
+        df.write.format(fmt).mode("errorifexists").save(path)
+        return
+    staged = f"{path}.{uuid.uuid4().hex}"
+    seen = Observation()
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.format(fmt).save(staged)
+        found = spark.read.format(fmt).schema(df.schema).load(staged).count()
+        if found != seen.get["n"]:
+            raise RuntimeError(f"{staged} holds {found} of {seen.get['n']} rows")
+    except BaseException:
+        _delete(spark, staged)
+        raise
+    _move(spark, path, f"{path}.previous")
+    _move(spark, staged, path)
+    _delete(spark, f"{path}.previous")
+
+
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Undo half of a replacement: the old table returns if there is no new one, else it is deleted."""
+    path = path.rstrip("/")
+    if not _exists(spark, f"{path}.previous"):
+        return False
+    if _exists(spark, path):
+        _delete(spark, f"{path}.previous")
+        return False
+    _move(spark, f"{path}.previous", path)
+    return True
+
+
+def _files(spark: SparkSession, path: str):
+    """The path as Hadoop has it, and its file system: any store that Spark writes to."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found, files = _files(spark, path)
+    return files.exists(found)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found, files = _files(spark, path)
+    files.delete(found, True)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    found, files = _files(spark, source)
+    if not files.rename(found, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{source} cannot be moved to {target}")
 
 
 def _check_format(fmt: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,6 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     if not args.allow_repeats:
         require_unique(sources.business, "business_id")
         require_unique(sources.user, "user_id")
+        sources = replace(sources, unique_users=True)
     raw = raw_basetable(
         sources, common.reference_days(args.reference_day), store_rollups=True
     )

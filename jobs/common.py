@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
 from featuretable import fixed_values as V
 from featuretable.plans.basetable import ReferenceDays, Sources
@@ -34,8 +35,8 @@ def add_inputs(found: argparse.ArgumentParser) -> None:
     found.add_argument("--reference-day", default=V.REFERENCE_DAY)
 
 
-def read_sources(spark: SparkSession, args: argparse.Namespace) -> Sources:
-    schemas = {
+def schemas(args: argparse.Namespace) -> dict[str, StructType]:
+    return {
         "business": S.business_schema(RAW_ATTRIBUTES),
         "checkin": S.checkin_schema(),
         "covid": S.covid_schema(),
@@ -43,6 +44,9 @@ def read_sources(spark: SparkSession, args: argparse.Namespace) -> Sources:
         "review": S.review_schema(),
         "tip": S.tip_schema(),
     }
+
+
+def read_sources(spark: SparkSession, args: argparse.Namespace) -> Sources:
     required = {
         "business": ["business_id", "categories", "city", "state", "stars"],
         "checkin": ["business_id", "date"],
@@ -53,7 +57,7 @@ def read_sources(spark: SparkSession, args: argparse.Namespace) -> Sources:
     }
     read = {
         name: S.read_table(spark, getattr(args, name), schema, args.format, required[name])
-        for name, schema in schemas.items()
+        for name, schema in schemas(args).items()
     }
     return Sources(**read, user_since=args.since)
 

@@ -64,14 +64,13 @@ def test_terms_of_rare_chunks_are_kept_by_distinct_documents(spark):
     same = [("en", "a", "odd1 odd2 odd3 odd4")]  # four chunks, one document
     three = [("en", "a", "new1"), ("en", "b", "new2 new3"), ("en", "b", "new2")]
     docs = spark.createDataFrame(same + three, "lang string, source string, text string")
-    counts = divergence._keyed(divergence.chunk_counts(docs)).cache()
-    kept = divergence.kept_terms(counts, divergence.chunk_terms(counts)).collect()
+    kept = divergence.kept_terms(divergence.chunk_terms(divergence.chunk_counts(docs))).collect()
     assert [(r.lang, r.term) for r in kept] == [("en", "new")]
 
 
-def test_small_slices_change_nothing(spark, monkeypatch):
+def test_small_runs_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(ROWS, "lang string, source string, text string")
-    monkeypatch.setattr(divergence, "SLICE", 40)
+    monkeypatch.setattr(divergence, "RUN_BYTES", 40)
     assert as_set(divergence.audit(docs)) == brute_force(ROWS)
 
 

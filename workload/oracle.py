@@ -189,6 +189,16 @@ def _incomplete_report() -> str:
     return f"SELECT * FROM (WITH counted AS (SELECT *, {gaps} AS gaps FROM filled) {rows})"
 
 
+def _quantiles() -> str:
+    values = {"cool": "round(l_tax * 100)", "stars": "l_quantity", "useful": "round(l_discount * 100)"}
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, "
+        + ", ".join(f"quantile_disc(({value})::DOUBLE, 0.{q}) AS q{q}" for q in (25, 50, 75))
+        + " FROM lineitem"
+        for name, value in values.items()
+    )
+
+
 def _distinct_profile() -> str:
     names = [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -366,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "rollup_checkin": "SELECT * FROM checkins",
         "rollup_tip": "SELECT * FROM tips",
         "rollup_review": "SELECT * FROM reviews",
+        "rollup_incremental": "SELECT * FROM reviews",
         "basetable_raw": f"SELECT {raw} FROM raw",
         "basetable": f"SELECT {raw} FROM basetable",
         "basetable_roundtrip": f"SELECT {raw} FROM basetable",
@@ -501,6 +512,20 @@ def oracle_sql() -> dict[str, str]:
         "business_id, l_suppkey::VARCHAR AS user_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date, "
         "l_quantity AS stars, round(l_tax * 100)::BIGINT AS cool, NULL::BIGINT AS funny, "
         "round(l_discount * 100)::BIGINT AS useful FROM lineitem",
+        "json_scan_malformed": "SELECT review_id, well_formed, CASE WHEN well_formed THEN business_id END AS "
+        "business_id, CASE WHEN well_formed THEN user_id END AS user_id, CASE WHEN well_formed THEN date END AS "
+        "date, CASE WHEN well_formed THEN stars END AS stars, CASE WHEN well_formed THEN cool END AS cool, "
+        "NULL::BIGINT AS funny, CASE WHEN well_formed THEN useful END AS useful FROM (SELECT l_orderkey || '-' || "
+        "l_linenumber AS review_id, l_partkey::VARCHAR AS business_id, l_suppkey::VARCHAR AS user_id, "
+        "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date, l_quantity AS stars, round(l_tax * 100)::BIGINT AS "
+        "cool, round(l_discount * 100)::BIGINT AS useful, (l_partkey + l_suppkey) % 10 > 1 AS well_formed FROM "
+        "lineitem)",
+        "describe_quantiles": _quantiles(),
+        "distinct_sketches": f"SELECT *, true AS within_bound FROM ({_distinct_profile()})",
+        "exact_split": "SELECT o_orderkey, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h) <= "
+        "floor(0.7 * count(*) OVER (PARTITION BY label) + 0.5) THEN 'train' ELSE 'test' END AS part FROM (SELECT "
+        "o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, "
+        "('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT AS h FROM orders)",
         "json_scan_covid": "SELECT doc_id::VARCHAR AS business_id, CASE WHEN toxic = 0 THEN 'FALSE' ELSE "
         "'2001-12-24' END AS Temporary_Closed_Until, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS "
         "delivery_or_takeout FROM labels",

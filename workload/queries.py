@@ -16,7 +16,14 @@ from featuretable.operators import assemble, columns, filters, impute, profile,
 from featuretable.plans import basetable as B
 from featuretable.plans import exploration, modelling
 from featuretable.sources.scratch import materialize, scratch_path
-from featuretable.sources.tables import covid_schema, read_table, review_schema, write_table
+from featuretable.sources.tables import (
+    covid_schema,
+    read_lines,
+    read_table,
+    review_schema,
+    set_aside,
+    write_table,
+)
 from workload import model_checks as checks
 from workload.roles import DAYS, EVENT_DAY, FACT_DAY, role, sources, table
 
@@ -190,7 +197,19 @@ def rollup_tip(spark, d):
 
 
 def rollup_review(spark, d):
-    return B.rollup_review(role(spark, d, "review"), _reviewers(spark, d), FACT_DAY)
+    users = assemble.require_unique(role(spark, d, "users"), "user_id")
+    reviewers = B.reviewers(users, FACT_DAY, "user_since")
+    return B.rollup_review(role(spark, d, "review"), reviewers, FACT_DAY, unique_users=True)
+
+
+def rollup_incremental(spark, d):
+    """Reviews in three loads: each is reduced, and merged into the stored state of those before it."""
+    reviews = role(spark, d, "review")
+    load = F.crc32("review_id") % 3
+    state = materialize(B.review_state(reviews.filter(load == 0)), "review-state")
+    for number in (1, 2):
+        state = materialize(B.add_reviews(state, reviews.filter(load == number)), "review-state")
+    return B.review_rollup(state, _reviewers(spark, d), FACT_DAY)
 
 
 def rollup_checkin_text(spark, d):
@@ -243,6 +262,25 @@ def json_scan_covid(spark, d):
     return columns.replace_in_names(found, {" ": "_"})
 
 
+def json_scan_malformed(spark, d):
+    """Reviews as JSON lines, some cut off and some with a text where a number belongs; both kinds are set aside."""
+    review = role(spark, d, "review").withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    texts = review.withColumns({n: F.col(n).cast("string") for n in ("business_id", "user_id")})
+    line = F.to_json(F.struct(*texts.columns))
+    kind = (F.col("business_id").cast("long") + F.col("user_id").cast("long")) % 10
+    cut = F.substring(line, F.lit(1), F.length(line) - 9)
+    lines = texts.select(
+        F.when(kind == 0, cut).when(kind == 1, F.regexp_replace(line, '"cool":\\d+', '"cool":"many"')).otherwise(line).alias("value")
+    )
+    path = scratch_path(spark, "lines")
+    lines.write.text(path)
+    rows = read_lines(spark, path, review_schema())
+    good, bad = set_aside(rows, scratch_path(spark, "good"), scratch_path(spark, "bad"))
+    review_id = F.get_json_object(F.concat(F.regexp_extract("line", '^\\{"review_id":"[^"]*"', 0), F.lit("}")), "$.review_id")
+    listed = bad.select(review_id.alias("review_id"), F.lit(False).alias("well_formed"))
+    return good.withColumn("well_formed", F.lit(True)).unionByName(listed, allowMissingColumns=True)
+
+
 def flag_pattern(spark, d):
     """Flags by regular expressions."""
     clean = _renamed_business(spark, d)
@@ -339,6 +377,21 @@ def describe_numeric(spark, d):
     return found.withColumns({name: F.round(name, 6) for name in ("mean", "stddev")})
 
 
+def describe_quantiles(spark, d):
+    return profile.describe_quantiles(role(spark, d, "review"), ["cool", "stars", "useful"])
+
+
+def distinct_sketches(spark, d):
+    """Sketches of three loads, merged, beside the exact counts: the estimate lies within three standard errors."""
+    lines = table(spark, d, "lineitem")
+    loads = [profile.distinct_sketches(lines.filter(F.crc32(F.col("l_orderkey").cast("string")) % 3 == i)) for i in range(3)]
+    merged = profile.sketched_counts(profile.merge_sketches(materialize(reduce(DataFrame.unionByName, loads), "sketches")))
+    exact = profile.distinct_profile(lines).join(merged, "column_name")
+    off = F.abs(F.col("estimate") - F.col("distinct_count"))
+    bound = 3 * profile.SKETCH_ERROR * F.col("distinct_count")
+    return exact.select("column_name", "distinct_count", (off <= bound).alias("within_bound"))
+
+
 def describe_text(spark, d):
     return profile.describe_text(
         role(spark, d, "review").withColumn("date", F.to_date("date")), ["date", "review_id"]
@@ -455,6 +508,16 @@ def hash_split(spark, d):
     )
 
 
+def exact_split(spark, d):
+    labelled = table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label")
+    )
+    train, test = split.exact_split(labelled, "o_orderkey", "label", SHARES, V.SPLIT_SEED)
+    return train.withColumn("part", F.lit("train")).unionAll(
+        test.withColumn("part", F.lit("test"))
+    )
+
+
 def split_sizes(spark, d):
     return split.split_sizes(basetable(spark, d), "business_id", "label", SHARES, V.SPLIT_SEED)
 
@@ -568,7 +631,8 @@ def queries() -> dict[str, Query]:
         split_sizes, auc_hard, confusion_matrix, precision_recall, string_index, one_hot,
         encode_pipeline, rformula_features, auc_raw, rollup_checkin_text, rollup_tip_text,
         rollup_review_repeats, covid_labels_boolean, tenure_columns_text, json_scan_review,
-        json_scan_covid, flag_pattern,
+        json_scan_covid, flag_pattern, rollup_incremental, json_scan_malformed, describe_quantiles,
+        distinct_sketches, exact_split,
     ]
     found = {query.__name__: query for query in plain}
     found["basetable_raw"] = _raw

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from featuretable import fixed_values as V
+from featuretable.operators.assemble import require_unique
 from featuretable.plans.basetable import ReferenceDays, Sources
 from featuretable.sources.tables import read_table
 
@@ -185,13 +186,15 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
+    users = require_unique(role(spark, sf_dir, "users"), "user_id")
     return Sources(
         business=role(spark, sf_dir, "business"),
         checkin=role(spark, sf_dir, "checkin"),
         covid=role(spark, sf_dir, "covid"),
-        user=role(spark, sf_dir, "users"),
+        user=users,
         review=role(spark, sf_dir, "review"),
         tip=role(spark, sf_dir, "tip"),
+        unique_users=True,
     )
 
 
