@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
-from featuretable.llm.joins import wrapped
 from featuretable.llm.texts import LOWER, SPACE, SpanHash, map_texts, mixed, spans, text_bytes
 from featuretable.sources.scratch import materialize
 
@@ -310,10 +309,17 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with the lines that go taken out of the text; ids have to be unique and not null."""
-    gone = decide(docs, text, doc_id).filter(F.size("dropped") > 0)
-    gone = gone.select(F.col("doc_id").alias("id"), "dropped")
-    joined = wrapped(docs, doc_id).join(gone, "id", "left")
+    """``docs`` with the lines that go taken out of the text: one row for each row of ``docs``.
+
+    Rows are numbered and stored first, so that a repeated or null id is told apart; of rows with equal ids the
+    one with the smaller number is the earlier.
+    """
+    number = F.monotonically_increasing_id()
+    numbered = docs.select(F.struct("*").alias("row"), column(text).alias("text"), F.struct(column(doc_id).alias("id"), number.alias("number")).alias("id"))
+    stored = materialize(numbered, "numbered", rebalance=False)
+    gone = decide(stored, "text", "id").filter(F.size("dropped") > 0)
+    gone = gone.select(F.col("doc_id").getField("number").alias("number"), "dropped")
+    joined = stored.select("row", F.col("id").getField("number").alias("number")).join(gone, "number", "left")
     whole = F.col("row").getField(text)
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     lines = F.filter(F.split(whole, "\n", -1), lambda _, i: ~F.array_contains(dropped, i))

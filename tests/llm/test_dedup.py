@@ -229,3 +229,17 @@ def test_line_lists_stay_within_a_text_where_ids_are_null(spark):
     lists = [r.wanted for r in line_dedup.wanted_lines(lines).collect()]
     assert sum(map(len, lists)) == 60 and max(map(len, lists)) == 2
     assert line_dedup.variants(df, lines).count() == 60
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    """Every row comes out once; of equal rows the lines stay in one."""
+    first, second = "one line of a text\nand another line of it", "one line of a text\nof its own"
+    made = [(1, first, "a"), (1, first, "b"), (None, second, "c"), (None, second, "d"), (1, second, "e"), (2, None, "f"), (None, None, "g")]
+    df = spark.createDataFrame(made, "doc_id long, text string, id string").repartition(3)
+    found = line_dedup.dedup_lines(df)
+    assert found.columns == df.columns
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == list("abcdefg")
+    lines = [line for r in rows if r.text is not None for line in r.text.split("\n") if line]
+    assert sorted(lines) == sorted({*first.split("\n"), *second.split("\n")})
+    assert [r.text for r in rows if r.id in "fg"] == [None, None]
