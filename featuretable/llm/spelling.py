@@ -5,7 +5,9 @@
    nodes, so that a long word takes few steps; a node is named by a 64-bit hash of its prefix.
 3. States (word, position, node, edits) start at the root. At each level all states meet the edges of
    their node in one join; a label may be passed as it is, or with one code point replaced, missing or too many if
-   the state has no edit yet. Such a state only takes the edge that begins as the rest of its word does.
+   the state has no edit yet and has passed half of its word. Every word is walked forwards and backwards, so
+   that one of the halves is as it should be; otherwise the edges near the root would take an edit of every word.
+   A state that may not edit takes the edge that begins as the rest of its word does, and stays only if one follows.
 4. A state with one edit that ends its word where another word ends makes the two neighbours; the pair is then
    compared, so that equal hashes of different prefixes can add no pair.
 5. Forms point to more frequent words, so chains of forms are short; roots follow by pointer doubling.
@@ -37,6 +39,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLIP = 199
 LEAST_LENGTH, LEAST_COUNT = 6, 5
 FORM_FACTOR = 5
+BACK = "<"  # no letter
 ROOT = int(SpanHash(np.zeros(1, np.uint8)).of(np.zeros(1, np.int64), np.zeros(1, np.int64)).astype(np.int64)[0])
 
 
@@ -92,8 +95,12 @@ def _prefix_batch(word_id: np.ndarray, at: np.ndarray, node: np.ndarray, after:
 
 
 def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges ``node, child, label, end_word, end_n`` (null where no word ends), and ``word_id, word, n``."""
-    found = materialize(prefixes(vocabulary), "prefixes")
+    """Edges ``node, child, label, first, after, end_word, end_n``, and ``word_id, word, n``.
+
+    ``first`` is the label's first code point, ``after`` those of the labels that follow (an alphabet's worth at
+    most), ``end_word`` the word that ends at the child, if one does.
+    """
+    found = materialize(prefixes(vocabulary), "prefixes", rebalance=False)
     ids = found.filter("next = ''").select("word_id", F.col("at").alias("length"))
     parting = found.filter("at > 0").groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"))
     parting = materialize(parting.filter("a <> b OR a = ''").select("node"), "nodes")
@@ -109,9 +116,12 @@ def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The hash of a word is its node; two words of one hash (never seen) would share that node.
     named = materialize(_identified(vocabulary), "word_ids")
     label = F.substring("word", F.col("start") + 1, F.col("stop") - F.col("start"))
-    labelled = edges.join(named, "word_id").select("node", "child", label.alias("label"))
+    labelled = edges.join(named, "word_id").select("node", "child", label.alias("label")).distinct()
+    labelled = materialize(labelled.withColumn("first", F.substring("label", 1, 1)), "labels")
+    after = labelled.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set("first")).alias("after"))
     ends = named.select(F.col("word_id").alias("child"), F.col("word").alias("end_word"), F.col("n").alias("end_n"))
-    return materialize(labelled.distinct().join(ends, "child", "left"), "edges"), named
+    full = labelled.join(ends, "child", "left").join(after, "child", "left")
+    return materialize(full.withColumn("after", F.coalesce("after", F.lit(""))), "edges"), named
 
 
 def _identified(vocabulary: DataFrame) -> DataFrame:
@@ -128,7 +138,7 @@ def _identified(vocabulary: DataFrame) -> DataFrame:
 def _moves() -> Column:
     """How a state may pass a label: code points used of its rest, and its edits then."""
     rest, label, size = F.col("rest"), F.col("label"), F.length("label")
-    fresh = F.col("edits") == 0
+    fresh = (F.col("edits") == 0) & (F.col("keep") <= size)
 
     def move(condition: Column, used: Column, edits: Column) -> Column:
         return F.when(condition, F.struct(used.cast("int").alias("used"), edits.cast("int").alias("edits")))
@@ -143,32 +153,50 @@ def _moves() -> Column:
 
 def level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one edge further; ``near`` and ``near_n`` where the word of a state is used up at a word's end."""
-    first = F.col("edits").eqNullSafe(0) | (F.substring("rest", 1, 1) == F.substring("label", 1, 1))
-    met = states.join(edges, "node").filter(first)
+    free = (F.col("edits") == 0) & (F.col("keep") == 0)
+    bound = states.filter(~free).withColumn("first", F.substring("rest", 1, 1))
+    met = bound.join(edges, ["node", "first"]).unionByName(states.filter(free).join(edges, "node"))
     moved = met.withColumn("move", F.explode(_moves()))
     rest = F.substring(F.col("rest"), F.col("move.used") + 1, F.length("rest"))
     moved = moved.select(
-        "word_id", rest.alias("rest"), F.col("child").alias("node"), F.col("move.edits").alias("edits"),
+        "word_id", rest.alias("rest"), F.greatest(F.col("keep") - F.col("move.used"), F.lit(0)).alias("keep"),
+        F.col("child").alias("node"), F.col("move.edits").alias("edits"), "after",
         F.col("end_word").alias("near"), F.col("end_n").alias("near_n"),
     )
-    return moved.filter("edits = 0 OR rest <> '' OR near IS NOT NULL")
+    ended = (F.col("rest") == "") & F.col("near").isNotNull()
+    further = (F.col("edits") == 0) | ((F.col("rest") != "") & F.contains("after", F.substring("rest", 1, 1)))
+    return moved.filter(ended | further).drop("after")
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
-    """``word, near, near_n``: every ordered pair of words at one edit."""
-    edges, named = trie(vocabulary)
-    nothing = F.lit(0)
-    states = named.select("word_id", F.col("word").alias("rest"), F.lit(ROOT).alias("node"), nothing.alias("edits"))
+    """``word, near, near_n``: every ordered pair of words at one edit.
+
+    An edit leaves either the first half of a word as it is or the rest of it, so a state may edit only past the half:
+    of the word, and of the word backwards (behind a mark, in the same trie). Few words share that much.
+    """
+    size = F.length("word")
+    both = [
+        F.struct(F.col("word").alias("word"), F.floor(size / 2).cast("int").alias("keep")),
+        F.struct(F.concat(F.lit(BACK), F.reverse("word")).alias("word"), (size - F.floor(size / 2) + 1).cast("int").alias("keep")),
+    ]
+    walked = materialize(vocabulary.select("n", F.inline(F.array(*both))), "walked")
+    edges, named = trie(walked.select("word", "n"))
+    start = named.join(walked.select("word", "keep"), "word")
+    states = start.select(
+        "word_id", F.col("word").alias("rest"), "keep", F.lit(ROOT).alias("node"), F.lit(0).alias("edits")
+    )
+    states = materialize(states, "states")
     found = []
     while not states.isEmpty():
-        moved = materialize(level(states, edges), "states")
+        moved = materialize(level(states, edges), "states", rebalance=False)
         found.append(moved.filter("edits = 1 AND rest = '' AND near IS NOT NULL").select("word_id", "near", "near_n"))
-        states = moved.filter("edits = 0 OR rest <> ''").select("word_id", "rest", "node", "edits")
+        states = moved.filter("edits = 0 OR rest <> ''").select("word_id", "rest", "keep", "node", "edits")
     if not found:
         return vocabulary.limit(0).select("word", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = materialize(reduce(DataFrame.unionAll, found).distinct(), "pairs")
-    checked = pairs.join(named.select("word_id", "word"), "word_id")
-    return checked.filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    pairs = reduce(DataFrame.unionAll, found).join(named.select("word_id", "word"), "word_id")
+    forward = [F.when(F.col(c).startswith(BACK), F.reverse(F.substring(c, 2, 1 << 30))).otherwise(F.col(c)).alias(c) for c in ("word", "near")]
+    pairs = pairs.select(*forward, "near_n").distinct()
+    return pairs.filter(F.levenshtein("word", "near", 1) == 1)
 
 
 def roots(forms: DataFrame) -> DataFrame:
