@@ -59,5 +59,10 @@ def materialize(
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    write_table(df.hint("rebalance") if rebalance else df, path, fmt)
+    rows = df.hint("rebalance") if rebalance else df
+    if fmt == "parquet":
+        # Written once and read a few times, on disks that many such tables share.
+        rows.write.option("compression", "zstd").parquet(path)
+    else:
+        write_table(rows, path, fmt)
     return read_table(spark, path, df.schema, fmt)
