@@ -1,7 +1,7 @@
 """Source divergence audit: how far the word use of each source lies from the others of its language.
 
-1. Chunks (runs between ASCII white space) are counted per document, and within a task added up per
-   (lang, source, chunk): occurrences, documents, and the smallest and largest number of such a document.
+1. Chunks (runs between ASCII white space) are counted per document. Within a run of texts they are added up per
+   language: occurrences by source, documents, and the smallest and largest number of such a document.
 2. Every globally distinct chunk is cut into terms once; its terms are joined back to the counts.
 3. A term of a language is kept if it stands in at least ``LEAST_DOCUMENTS`` of its documents. A chunk in so
    many documents settles that for its terms; any other chunk stands in at most two, which are the smallest
@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column
-from featuretable.llm.texts import bounded_batches, slices
+from featuretable.llm.texts import bounded_batches, slices, text_bytes
 from featuretable.sources.scratch import materialize
 
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-SLICE = 8 << 20
+RUN_BYTES = 32 << 20
 #: Everything but ASCII characters that are no letters.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,58 +45,96 @@ LONG_CHUNK = 64
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, chunk, n, df, lo, hi`` of ``lang, source, text`` rows without nulls."""
+    """``chunk, lang, sources, ns, df, lo, hi`` of ``lang, source, text`` rows without nulls.
+
+    A row stands for a chunk in a language in one run of texts: its occurrences by source, its documents, and the
+    smallest and largest number of these.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                yield _count(part, first)
-                first += part.num_rows
+        for run in _runs(batches):
+            yield from _count(run, first)
+            first += run.num_rows
 
-    kind = "lang string, source string, chunk string, n long, df long, lo long, hi long"
+    kind = "chunk string, lang string, sources array<string>, ns array<long>, df long, lo long, hi long"
     bounded_batches(docs.sparkSession)
-    partial = docs.select("lang", "source", "text").mapInArrow(count, kind)
-    return partial.groupBy("lang", "source", "chunk").agg(
-        F.sum("n").alias("n"), F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-
-
-def _count(part: pa.RecordBatch, first: int) -> pa.RecordBatch:
-    split = pc.ascii_split_whitespace(part.column("text").cast(pa.large_string()))
-    row = pc.list_parent_indices(split).to_numpy()
-    flat = pc.list_flatten(split)
+    return docs.select("lang", "source", "text").mapInArrow(count, kind)
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Texts in runs of about ``RUN_BYTES``, or a single longer one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, "text", RUN_BYTES):
+            more = int(text_bytes(part.column("text"))[1][-1])
+            if held and size + more > RUN_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+
+
+def _count(run: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+    # What is no longer needed goes at once: a run is tens of megabytes, and each of these arrays as much again.
+    split = pc.ascii_split_whitespace(run.column("text").combine_chunks().cast(pa.large_string()))
+    row, flat = pc.list_parent_indices(split).to_numpy().astype(np.int32), pc.list_flatten(split)
+    del split
     worded = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # text that starts or ends with white space
-    row, flat = row[worded], flat.filter(pa.array(worded))
-    coded = flat.dictionary_encode()
+    row, coded = row[worded], flat.filter(pa.array(worded)).dictionary_encode()
+    del flat, worded
+    if not len(row):
+        return
     words = len(coded.dictionary)
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # One entry for each chunk of each document, then one for each chunk of each group.
-    cell, n = np.unique(row.astype(np.int64) * max(words, 1) + code, return_counts=True)
-    row, code = np.divmod(cell, max(words, 1))
-    lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
-    sources = max(len(source.dictionary), 1)
-    group = lang.indices.to_numpy().astype(np.int64) * sources + source.indices.to_numpy()
-    key = group[row] * max(words, 1) + code
+    lang, source = (run.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    lang_of, source_of = (x.indices.to_numpy().astype(np.int64) for x in (lang, source))
+    # Counts by document, then by language and chunk (documents), and by that and source (occurrences).
+    cell = row.astype(np.int64)
+    cell *= words
+    cell += coded.indices.to_numpy()
+    chunks = coded.dictionary
+    del row, coded
+    cell.sort()
+    at = _starts(cell)
+    n = np.diff(at, append=len(cell))
+    row, code = np.divmod(cell[at], words)
+    del cell
+    key = lang_of[row] * words + code
     order = np.argsort(key, kind="stable")  # documents stay in their order
     key, row, n = key[order], row[order], n[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    ends = np.r_[starts[1:], len(key)][: len(starts)]
-    group, code = np.divmod(key[starts], max(words, 1))
-    return pa.RecordBatch.from_arrays(
+    at = _starts(key)
+    ends = np.r_[at[1:], len(key)]
+    where = np.repeat(np.arange(len(at)), ends - at)
+    fine = where * len(source.dictionary) + source_of[row]
+    order = np.argsort(fine, kind="stable")
+    fine, n = fine[order], n[order]
+    inner = _starts(fine)
+    group, own = np.divmod(fine[inner], len(source.dictionary))
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(group, minlength=len(at)))].astype(np.int32))
+    code = key[at] % words
+    made = pa.RecordBatch.from_arrays(
         [
-            lang.dictionary.take(pa.array(group // sources)),
-            source.dictionary.take(pa.array(group % sources)),
-            coded.dictionary.take(pa.array(code)).cast(pa.string()),
-            pa.array(np.add.reduceat(n, starts) if len(starts) else n),
-            pa.array(ends - starts),
-            pa.array(first + row[starts]),
-            pa.array(first + row[ends - 1]),
+            chunks.take(pa.array(code)).cast(pa.string()),
+            lang.dictionary.take(pa.array(key[at] // words)),
+            pa.ListArray.from_arrays(offsets, source.dictionary.take(pa.array(own))),
+            pa.ListArray.from_arrays(offsets, pa.array(np.add.reduceat(n, inner))),
+            pa.array(ends - at), pa.array(first + row[at]), pa.array(first + row[ends - 1]),
         ],
-        ["lang", "source", "chunk", "n", "df", "lo", "hi"],
-    )
+        ["chunk", "lang", "sources", "ns", "df", "lo", "hi"],
+    )
+    del row, n, fine, key, order
+    for k in range(0, made.num_rows, 20_000):
+        yield made.slice(k, 20_000)
+    pa.default_memory_pool().release_unused()
 
 
 def _lowered(text: Column) -> Column:
@@ -104,34 +142,47 @@ def _lowered(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _keyed(counts: DataFrame) -> DataFrame:
-    """``key`` stands for the chunk: itself or, if long, a digest (behind a space, which no chunk has)."""
+def _key() -> Column:
+    """Stands for the chunk: itself or, if long, a digest (behind a space, which no chunk has)."""
     digest = F.concat(F.lit(" "), F.sha2("chunk", 256))
-    return counts.withColumn("key", F.when(F.length("chunk") > LONG_CHUNK, digest).otherwise(F.col("chunk")))
+    return F.when(F.length("chunk") > LONG_CHUNK, digest).otherwise(F.col("chunk")).alias("key")
 
 
 def chunk_terms(counts: DataFrame) -> DataFrame:
-    """``key, term, m``: the terms of every distinct chunk, each with its occurrences in it."""
-    distinct = counts.select("key", "chunk").distinct()
+    """``key, langs, terms``: every distinct chunk once, with its documents by language and its terms.
+
+    All rows of a chunk meet in one shuffle, reduced to one for each language before they are listed.
+    """
+    dealt = counts.select("chunk", "lang", "df", "lo", "hi").repartition("chunk")
+    per_lang = dealt.groupBy("chunk", "lang").agg(F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    listed = per_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "df", "lo", "hi")).alias("langs"))
     terms = F.regexp_extract_all(_lowered(F.col("chunk")), F.lit(TERM), 0)
-    found = distinct.select("key", F.explode(terms).alias("term"))
-    return found.groupBy("key", "term").agg(F.count(F.lit(1)).alias("m"))
+    return listed.select(_key(), "langs", terms.alias("terms")).filter(F.size("terms") > 0)
 
 
-def kept_terms(counts: DataFrame, terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def kept_terms(chunks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``lang, term`` of the terms in at least ``least`` (three at most) documents of the language."""
-    per_lang = counts.groupBy("lang", "key").agg(
-        F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
     # Numbers of documents start at 0; a chunk in three documents counts as three of its own.
     many = F.array(*(F.lit(-i).cast("long") for i in range(1, 4)))
     documents = F.when(F.col("df") >= 3, many).otherwise(F.array_distinct(F.array("lo", "hi")))
-    seen = materialize(per_lang, "chunk_documents").join(terms, "key").select("lang", "term", F.explode(documents).alias("doc"))
+    seen = chunks.select("terms", F.inline("langs")).select(F.array_distinct("terms").alias("terms"), "lang", documents.alias("docs"))
+    seen = seen.select("lang", "docs", F.explode("terms").alias("term")).select("lang", "term", F.explode("docs").alias("doc"))
     return (
         seen.distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
     )
 
 
+def group_counts(counts: DataFrame, chunks: DataFrame, kept: DataFrame) -> DataFrame:
+    """``lang, source, term, c``: occurrences of kept terms, by the terms of the chunks."""
+    found = chunks.select("key", F.explode("langs.lang").alias("lang"), "terms")
+    found = found.select("key", "lang", F.explode("terms").alias("term")).join(kept, ["lang", "term"], "left_semi")
+    # A term that a chunk holds twice counts twice for each occurrence of the chunk.
+    found = materialize(found, "chunk_kept_terms", rebalance=False)
+    wanted = counts.select(_key(), "lang", F.arrays_zip("sources", "ns").alias("by")).join(found, ["key", "lang"])
+    cells = wanted.select("lang", "term", F.inline("by"))
+    return cells.groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum("ns").alias("c"))
+
+
 def _share(count: Column, total: Column) -> Column:
     """1 + floor(SCALE (count + 1) / total), exact for any count."""
     scaled = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
@@ -183,12 +234,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """``lang, source, part, item, value, rank``: divergent pairs of sources, and terms a source overuses."""
     read = {"lang": lang, "source": source, "text": text}
     rows = docs.select(*(F.coalesce(column(c).cast("string"), F.lit("")).alias(n) for n, c in read.items()))
-    counts = materialize(_keyed(chunk_counts(rows)), "chunk_counts")
-    terms = materialize(chunk_terms(counts), "chunk_terms")
-    kept = materialize(kept_terms(counts, terms), "kept_terms")
-    found = counts.join(terms, "key").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("m")).alias("c"))
-    found = materialize(found, "group_terms").join(kept, ["lang", "term"])
-    found = materialize(found.select("lang", "source", "term", "c"), "kept_counts")
+    counts = materialize(chunk_counts(rows), "chunk_counts", rebalance=False)
+    chunks = materialize(chunk_terms(counts), "chunk_terms", rebalance=False)
+    kept = materialize(kept_terms(chunks), "kept_terms")
+    found = materialize(group_counts(counts, chunks, kept), "kept_counts", rebalance=False)
     totals = found.groupBy("lang", "source").agg(F.sum("c").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     zero = F.lit(0).cast("long")
@@ -197,10 +246,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = groups.withColumn("whole", F.col("total") + F.col("v"))
     groups = materialize(groups.withColumn("p0", _share(zero, F.col("whole"))), "groups")
     shares = found.join(groups.select("lang", "source", "whole", "p0"), ["lang", "source"])
-    shares = materialize(shares.select("lang", "source", "term", "c", _share(F.col("c"), F.col("whole")).alias("p"), "p0"), "shares")
+    shares = materialize(shares.select("lang", "source", "term", _share(F.col("c"), F.col("whole")).alias("p"), "p0"), "shares", rebalance=False)
     langs = groups.groupBy("lang").agg((F.sum("total") + F.max("v")).alias("whole"))
     overall = found.groupBy("lang", "term").agg(F.sum("c").alias("c")).join(langs, "lang")
-    overall = materialize(overall.select("lang", "term", _share(F.col("c"), F.col("whole")).alias("q")), "lang_shares")
+    overall = materialize(overall.select("lang", "term", _share(F.col("c"), F.col("whole")).alias("q")), "lang_shares", rebalance=False)
     over = shares.join(overall, ["lang", "term"]).filter("p > q")
     over = over.select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value"))
     return _ranked(pairs(groups, shares), "pair").unionByName(_ranked(over, "term").filter(F.col("rank") <= TOP_TERMS))
