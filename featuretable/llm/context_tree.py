@@ -41,7 +41,7 @@ DEPTH = 5
 TOP = 3
 PART_ROWS = 300_000
 END, BLANK = 10, 32
-SLICE = 4 << 20
+SLICE = 2 << 20
 BLOCK_BYTES = 32 << 20
 BLOCK_KEYS = 3_000_000
 GRAM, WORD = 1, 2
