@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featuretable.functions.predicates import column
@@ -162,14 +162,13 @@ def chunk_terms(counts: DataFrame) -> DataFrame:
 
 def kept_terms(chunks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``lang, term`` of the terms in at least ``least`` (three at most) documents of the language."""
-    # Numbers of documents start at 0; a chunk in three documents counts as three of its own.
-    many = F.array(*(F.lit(-i).cast("long") for i in range(1, 4)))
+    # Numbers of documents start at 0; -1 stands for the three or more that a chunk has by itself.
+    many = F.array(F.lit(-1).cast("long"))
     documents = F.when(F.col("df") >= 3, many).otherwise(F.array_distinct(F.array("lo", "hi")))
     seen = chunks.select("terms", F.inline("langs")).select(F.array_distinct("terms").alias("terms"), "lang", documents.alias("docs"))
     seen = seen.select("lang", "docs", F.explode("terms").alias("term")).select("lang", "term", F.explode("docs").alias("doc"))
-    return (
-        seen.distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
-    )
+    found = F.sum(F.when(F.col("doc") < 0, 3).otherwise(1)).alias("n")
+    return seen.distinct().groupBy("lang", "term").agg(found).filter(F.col("n") >= least).drop("n")
 
 
 def group_counts(counts: DataFrame, chunks: DataFrame, kept: DataFrame) -> DataFrame:
@@ -230,8 +229,16 @@ def pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     return total.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
+def small_sides_hashed(spark: SparkSession) -> None:
+    """Let adaptive execution hash a join's side, instead of sorting both, where it has measured every partition as small."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(name) in ("0", "0b"):
+        spark.conf.set(name, "64m")
+
+
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``lang, source, part, item, value, rank``: divergent pairs of sources, and terms a source overuses."""
+    small_sides_hashed(docs.sparkSession)
     read = {"lang": lang, "source": source, "text": text}
     rows = docs.select(*(F.coalesce(column(c).cast("string"), F.lit("")).alias(n) for n, c in read.items()))
     counts = materialize(chunk_counts(rows), "chunk_counts", rebalance=False)
