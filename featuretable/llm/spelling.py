@@ -3,7 +3,7 @@
 1. Words are counted over all texts, and those long and frequent enough are kept.
 2. Their trie is an edge table: ``node, label, child``. Only the prefixes at which words part or end are
    nodes, so that a long word takes few steps; a node is named by a 64-bit hash of its prefix.
-3. States (word, position, node, edits) start at the root. At each level all states meet the edges of
+3. States (word, position, node, edits) start on the paths of their words. At each level all states meet the edges of
    their node in one join; a label may be passed as it is, or with one code point replaced, missing or too many if
    the state has no edit yet and has passed half of its word. Every word is walked forwards and backwards, so
    that one of the halves is as it should be; otherwise the edges near the root would take an edit of every word.
@@ -94,11 +94,11 @@ def _prefix_batch(word_id: np.ndarray, at: np.ndarray, node: np.ndarray, after:
     return pa.RecordBatch.from_arrays([*columns, after], ["word_id", "at", "node", "next"])
 
 
-def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges ``node, child, label, first, after, end_word, end_n``, and ``word_id, word, n``.
+def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges ``node, child, label, first, after, end_word, end_n``, ``word_id, word, n``, and ``word_id, path``.
 
     ``first`` is the label's first code point, ``after`` those of the labels that follow (an alphabet's worth at
-    most), ``end_word`` the word that ends at the child, if one does.
+    most), ``end_word`` the word that ends at the child, if one does. A path has the nodes of a word and where they are.
     """
     found = materialize(prefixes(vocabulary), "prefixes", rebalance=False)
     ids = found.filter("next = ''").select("word_id", F.col("at").alias("length"))
@@ -108,6 +108,7 @@ def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = ids.select("word_id", F.lit(0).cast("long").alias("at"), F.lit(ROOT).alias("node"))
     after = F.struct("at", "node")
     path = stops.union(starts).groupBy("word_id").agg(F.sort_array(F.collect_list(after)).alias("path"))
+    path = materialize(path, "paths", rebalance=False)
     step = F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] AS a, path[i] AS b))")
     steps = path.select("word_id", F.inline(step))
     of = F.struct("word_id", F.col("a.at").alias("start"), F.col("b.at").alias("stop"))
@@ -121,7 +122,7 @@ def trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     after = labelled.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set("first")).alias("after"))
     ends = named.select(F.col("word_id").alias("child"), F.col("word").alias("end_word"), F.col("n").alias("end_n"))
     full = labelled.join(ends, "child", "left").join(after, "child", "left")
-    return materialize(full.withColumn("after", F.coalesce("after", F.lit(""))), "edges"), named
+    return materialize(full.withColumn("after", F.coalesce("after", F.lit(""))), "edges"), named, path
 
 
 def _identified(vocabulary: DataFrame) -> DataFrame:
@@ -180,11 +181,15 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit(BACK), F.reverse("word")).alias("word"), (size - F.floor(size / 2) + 1).cast("int").alias("keep")),
     ]
     walked = materialize(vocabulary.select("n", F.inline(F.array(*both))), "walked")
-    edges, named = trie(walked.select("word", "n"))
-    start = named.join(walked.select("word", "keep"), "word")
+    edges, named, path = trie(walked.select("word", "n"))
+    # Up to the half no state has an edit, so it is on the path of its own word: it starts at the last node there.
+    start = named.join(walked.select("word", "keep"), "word").join(path, "word_id")
+    start = start.withColumn("last", F.expr("element_at(filter(path, p -> p.at <= keep), -1)"))
+    at = F.col("last.at").cast("int")
     states = start.select(
-        "word_id", F.col("word").alias("rest"), "keep", F.lit(ROOT).alias("node"), F.lit(0).alias("edits")
-    )
+        "word_id", F.substring("word", at + 1, F.length("word")).alias("rest"), (F.col("keep") - at).alias("keep"),
+        F.col("last.node").alias("node"), F.lit(0).alias("edits"),
+    )
     states = materialize(states, "states")
     found = []
     while not states.isEmpty():
