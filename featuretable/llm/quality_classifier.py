@@ -20,6 +20,7 @@ are judged alike. No trusted text at all leaves every document unjudged. Extra c
 
 from __future__ import annotations
 
+import bz2
 import io
 from collections.abc import Iterable, Iterator
 
@@ -110,9 +111,9 @@ def model(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]
             below = probabilities[m - 1].select("lang", F.col("gram").alias("tail"), F.exp("logp").alias("lower"))
             level = level.withColumn("tail", _mask(m - 1)).join(below, ["lang", "tail"])
         p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("lower")
-        probabilities[m] = materialize(level.select("lang", "gram", F.log(p).alias("logp")), f"kn{m}")
+        probabilities[m] = materialize(level.select("lang", "gram", F.log(p).alias("logp")), f"kn{m}", rebalance=False)
         weight = F.log(F.greatest("weight", F.lit(1e-30)))
-        weights[m] = materialize(totals.select("lang", F.col("ctx").alias("gram"), weight.alias("logw")), f"knw{m}")
+        weights[m] = materialize(totals.select("lang", F.col("ctx").alias("gram"), weight.alias("logw")), f"knw{m}", rebalance=False)
     return probabilities, weights
 
 
@@ -150,11 +151,10 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             sink = io.BytesIO()
-            codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
-            with pa.ipc.new_stream(sink, kept[0].schema, options=codec) as stream:
+            with pa.ipc.new_stream(sink, kept[0].schema) as stream:
                 for b in kept:
                     stream.write_batch(b)
-            rows = [(number, None, None, sink.getvalue())]
+            rows = [(number, None, None, bz2.compress(sink.getvalue()))]  # the smallest of the usual ones for symbols
             for lang, parts in held.items():
                 rows.append((number, lang, np.unique(np.concatenate(parts)).astype("<u4").tobytes(), None))
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +209,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, trusted, n_chars_scored, log_perplexity`` of ``doc_id, lang, trusted, text`` rows."""
     stored = blocks(docs)
     asked = unpacked(stored.filter("grams IS NOT NULL").select("block", "lang", "grams"))
-    counts = materialize(trusted_counts(docs), "trusted_counts")  # each order of the model reads it
+    counts = materialize(trusted_counts(docs), "trusted_counts", rebalance=False)  # each order of the model reads it
     known = grams_scored(asked.select("lang", "gram").distinct(), *model(counts))
     back = asked.join(known.filter("logp IS NOT NULL"), ["lang", "gram"])
     payload = stored.filter("payload IS NOT NULL").select("block", "payload")
@@ -226,7 +226,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
         tables = {name: charlm.HashArrays(gram[which == i], logp[which == i]) for name, i in number.items()}
         made = []
         for blob in left.column("payload").to_pylist():
-            for batch in pa.ipc.open_stream(blob):
+            for batch in pa.ipc.open_stream(bz2.decompress(blob)):
                 packed = batch.column("symbols")
                 ends = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1)
                 symbols = np.frombuffer(packed.buffers()[2] or b"", np.uint8, int(ends[-1]))
@@ -265,7 +265,7 @@ def classify(docs: DataFrame, trusted: Column, text: str = "text", lang: str = "
         F.coalesce(trusted, F.lit(False)).alias("trusted"),
         column(text).cast("string").alias("text"),
     )
-    scored = materialize(perplexities(rows), "perplexities")
+    scored = materialize(perplexities(rows), "perplexities", rebalance=False)
     x, n = F.col("log_perplexity"), F.col("n_chars_scored")
     limits = (
         scored.filter(F.col("trusted") & (n >= SHORT) & x.isNotNull())
