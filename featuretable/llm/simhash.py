@@ -19,7 +19,9 @@ bits of each other: pivots first, cross comparisons only between groups not yet
 
 Scale: keys are linear in the number of distinct fingerprints (181 each on average). Candidates that
 share a key by chance are rare up to billions of fingerprints. The fingerprints under one key meet in one
-task as 8 bytes each: they are distinct values within a ball of a few bits.
+task as 8 bytes each, distinct values. Under a key of the first kind they lie within a ball of a few bits. A key
+of the second kind leaves its third segment free, so up to 2^18 or 2^23 times the words of one number could
+share it; texts that differ in one segment of 18 or 23 bits only would have to be made for that.
 
 Edge cases: a null, empty or wordless text has fingerprint zero and links like any other. Fewer than
 four words are one shingle. Repeated rows and ids are one node. A null id takes part in its group but is no
