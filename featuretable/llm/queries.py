@@ -34,8 +34,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def fold(parts: int) -> Column:
-    """Remainder of the id's CRC-32 (of its text)."""
-    return F.crc32(F.col("doc_id").cast("string")) % parts
+    """Remainder of the id's CRC-32 (of its text); a null id reads as an empty string, so every row has one."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
 def vocabulary(name: str) -> str:
@@ -115,9 +115,7 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op12(spark: SparkSession, d: str) -> DataFrame:
-    """A null id reads as an empty string, so every row is on one side."""
-    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
-    return context_tree.score(table(spark, d, "documents"), learn)
+    return context_tree.score(table(spark, d, "documents"), fold(7) != 2)
 
 
 def op13(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. Every labelled learning text gives the set of its hashed character n-grams (3 to 5 symbols of the
    folded alphabet of ``charlm``, within ``1 << HASH_BITS`` slots). Spark counts texts with each slot, by
-   label, over all labelled rows.
+   label, over all labelled rows; a slot that n-grams of several orders hit counts once for a text, as in scoring.
 2. Slot j has the ratio ``r_j = log((p_j + a) / P) - log((q_j + a) / Q)``. The ``FEATURES`` slots whose
    presence tells most (mutual information with the label) become features with the value ``r_j``
    where present.
@@ -59,7 +59,7 @@ def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pairs(found: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, slot) pairs."""
+    """Distinct (text, slot) pairs over all orders."""
     text_of = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
     key = np.unique((text_of << np.uint64(HASH_BITS)) | found.astype(np.uint64))
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), (key & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
@@ -72,14 +72,12 @@ def slot_counts(labelled: DataFrame) -> DataFrame:
         held = np.zeros((2, 1 << HASH_BITS), np.uint32)
         texts = np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 y = part.column("y").to_numpy()
-                found, ends = slots(*text_bytes(part.column("text")))
-                for row in found:
-                    text_of, slot = _pairs(row, ends)
-                    for label in (0, 1):
-                        some, n = np.unique(slot[y[text_of] == label], return_counts=True)
-                        held[label][some] += n.astype(np.uint32)
+                text_of, slot = _pairs(*slots(*text_bytes(part.column("text"))))
+                for label in (0, 1):
+                    some, n = np.unique(slot[y[text_of] == label], return_counts=True)
+                    held[label][some] += n.astype(np.uint32)
                 texts += np.bincount(y, minlength=2)
         some = np.flatnonzero(held.any(axis=0))
         slot = np.append(some, -1)

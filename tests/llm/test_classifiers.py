@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from featuretable.llm import language_id, queries, toxicity
+from featuretable.llm import charlm, language_id, queries, toxicity
 from pyspark.sql import functions as F
 
 
@@ -34,8 +34,6 @@ def test_language_score_is_the_plain_mean(spark):
     models = language_id.fit(df, F.lit(True))
     assert models.names == ["x", "y"]
     got = {r.doc_id: r for r in language_id.score(df, models).collect()}
-    from featuretable.llm import charlm
-
     for i, text, _ in rows:
         code, _ = charlm.grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 3)
         costs = [-float(m.score(code).mean()) for m in models.models]
@@ -125,19 +123,49 @@ def test_toxicity_recall_and_false_positives_at_one_half(spark, monkeypatch):
         assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.03 * len(clean)
 
 
+def plain_slots(text):
+    """Slots of a text of ASCII letters and single spaces, n-gram by n-gram; what comes before the text is 0."""
+    raw = text.encode()
+    found, _ = charlm.symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    padded = [0] * 4 + found.tolist()
+    out = set()
+    for order in (3, 4, 5):
+        for end in range(5, len(padded) + 1):
+            code = 0
+            for symbol in padded[end - order : end]:
+                code = code << 6 | symbol
+            out.add((((code + (order << 29)) & 0xFFFFFFFF) * 0x85EBCA6B & 0xFFFFFFFF) >> 12)
+    return out
+
+
 def test_slot_counts_equal_brute_force(spark):
-    rows = _labelled(spark, 20)
+    rows = _labelled(spark, 200)
     want = {-1: [0, 0]}
     for r in rows.collect():
-        found, _ = toxicity.slots(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text)]))
-        for order in found:
-            for s in set(order.tolist()):
-                want.setdefault(s, [0, 0])[r.y] += 1
-        want[-1][r.y] += 1
+        for s in plain_slots(r.text) | {-1}:
+            want.setdefault(s, [0, 0])[r.y] += 1
     got = {r.slot: [r.n0, r.n1] for r in toxicity.slot_counts(rows).collect()}
     assert got == want
 
 
+def test_a_slot_hit_by_two_orders_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HASH_BITS", 4)  # so that nearly every slot is hit by every order
+    rows = _labelled(spark, 40)
+    texts = np.array([30, 10])
+    raw = [r.text.encode() for r in rows.collect()]
+    found, ends = toxicity.slots(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    text_of, slot = toxicity._pairs(found, ends)
+    assert len({*zip(text_of.tolist(), slot.tolist(), strict=True)}) == len(slot)
+    assert np.bincount(slot).max() <= texts.sum()
+
+
+def test_held_out_of_a_null_id_is_that_of_an_empty_string(edges):
+    rows = edges.select("doc_id", (queries.fold(5) == 0).alias("toxic"), (queries.fold(3) == 1).alias("lang")).collect()
+    for r in rows:
+        key = "" if r.doc_id is None else r.doc_id
+        assert r.toxic == (remainder(key, 5) == 0) and r.lang == (remainder(key, 3) == 1)
+
+
 def test_toxicity_edges(spark, edges, nothing):
     model = toxicity.fit(_labelled(spark))
     rows = toxicity.score(edges, model).collect()
