@@ -1,6 +1,8 @@
 """Quality classifier: perplexity under a language model of trusted text, by sharded count joins.
 
-1. Trusted documents give their character 4-grams (symbols of ``charlm``), by language; Spark counts them.
+1. Of the trusted documents one in ``HELD_OUT`` (by a hash of the text, so equal texts go together) only sets
+   limits. The others give their character 4-grams (symbols of ``charlm``), by language; Spark counts them.
+   In a language where all trusted texts fall to the limits, all of them give 4-grams too.
 2. The interpolated modified Kneser-Ney model of each language is computed on the count tables by
    aggregations and joins on (language, n-gram): continuation counts, discounts, context totals, then
    probabilities from order 1 upwards.
@@ -9,13 +11,15 @@
    (left joins by order, with back-off weights where an n-gram is unknown).
 4. The joined probabilities return to their block and meet its texts, compressed; each document gets
    its log perplexity. No model is broadcast or collected.
-5. A document is rejected where its log perplexity is above the ``QUANTILE`` of the trusted documents of
-   its language (of ``SHORT`` characters or more), plus ``SLACK / sqrt(characters)``, the spread that a
-   short text has by chance.
+5. A text's score is its log perplexity less ``SLACK / sqrt(characters)``, the spread that a short text has
+   by chance, so texts of all lengths count alike. A document is rejected where its score is above the limit
+   of its language: the ``QUANTILE`` of the scores of held-out trusted texts, or that of the texts the model
+   has learned from where this is greater (few or no held-out texts).
 
 Edge cases: a null, empty or blank text has no perplexity and is not kept. Languages without trusted text
-(null is a language of its own) have no model: perplexity null, kept, marked ``judged`` false. Repeated rows
-are judged alike. No trusted text at all leaves every document unjudged. Extra columns are ignored.
+(null is a language of its own) have no model: perplexity null, kept, marked ``judged`` false; trusted texts may be
+as short as they like. Repeated rows are judged alike. No trusted text at all leaves every document unjudged. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +43,14 @@ from featuretable.sources.scratch import materialize
 ORDER = 4
 BLOCK_BYTES = 32 << 20
 QUANTILE = 0.999
-SHORT = 200
+HELD_OUT = 5
 SLACK = 5.0
 NONE = ""  # stands for a null language inside the joins
+LEARNS, LIMITS = 1, 2  # parts of trusted rows
 
 
 def trusted_counts(docs: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over the texts of the trusted rows."""
+    """``lang, gram, n`` over the texts that the model learns from."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, charlm.Tally] = {}
@@ -66,7 +71,7 @@ def trusted_counts(docs: DataFrame) -> DataFrame:
                     ["lang", "gram", "n"],
                 )
 
-    partial = docs.filter("trusted").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    partial = docs.filter(F.col("part") == LEARNS).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -184,7 +189,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     kind = "block long, lang string, grams binary, payload binary"
     bounded_batches(docs.sparkSession)
-    encoded = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(encode, kind)
+    encoded = docs.select("doc_id", "lang", "part", "text").mapInArrow(encode, kind)
     return materialize(encoded, "blocks", rebalance=False)  # blocks are of even size already
 
 
@@ -206,7 +211,7 @@ def unpacked(packed: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, trusted, n_chars_scored, log_perplexity`` of ``doc_id, lang, trusted, text`` rows."""
+    """``doc_id, lang, part, n_chars_scored, log_perplexity`` of ``doc_id, lang, part, text`` rows."""
     stored = blocks(docs)
     asked = unpacked(stored.filter("grams IS NOT NULL").select("block", "lang", "grams"))
     counts = materialize(trusted_counts(docs), "trusted_counts", rebalance=False)  # each order of the model reads it
@@ -214,7 +219,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
     back = asked.join(known.filter("logp IS NOT NULL"), ["lang", "gram"])
     payload = stored.filter("payload IS NOT NULL").select("block", "payload")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, lang string, trusted boolean, n_chars_scored long, log_perplexity double"
+    out = f"doc_id {kind}, lang string, part int, n_chars_scored long, log_perplexity double"
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         langs = right.column("lang").combine_chunks().dictionary_encode()
@@ -245,11 +250,11 @@ def perplexities(docs: DataFrame) -> DataFrame:
                 made.append(
                     pa.RecordBatch.from_arrays(
                         [
-                            *(batch.column(n) for n in ("doc_id", "lang", "trusted")),
+                            *(batch.column(n) for n in ("doc_id", "lang", "part")),
                             pa.array(length),
                             pa.array(mean, mask=unknown | (length == 0)),
                         ],
-                        ["doc_id", "lang", "trusted", "n_chars_scored", "log_perplexity"],
+                        ["doc_id", "lang", "part", "n_chars_scored", "log_perplexity"],
                     )
                 )
         return pa.Table.from_batches(made)
@@ -257,28 +262,47 @@ def perplexities(docs: DataFrame) -> DataFrame:
     return payload.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(meet, out)
 
 
-def classify(docs: DataFrame, trusted: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, lang, n_chars_scored, perplexity, judged, kept``."""
-    rows = docs.select(
-        column(doc_id).alias("doc_id"),
-        F.coalesce(column(lang).cast("string"), F.lit(NONE)).alias("lang"),
-        F.coalesce(trusted, F.lit(False)).alias("trusted"),
-        column(text).cast("string").alias("text"),
-    )
-    scored = materialize(perplexities(rows), "perplexities", rebalance=False)
+def parted(rows: DataFrame) -> DataFrame:
+    """``doc_id, lang, part, text`` of ``doc_id, lang, trusted, text`` rows: ``LEARNS``, ``LIMITS``, or 0 if not trusted."""
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    learning = rows.filter(F.col("trusted") & ~held & F.col("text").rlike(r"\S"))
+    learning = learning.select(F.col("lang").alias("learned_lang")).distinct()
+    told = rows.join(narrow(learning), F.col("lang") == F.col("learned_lang"), "left")
+    limits = held & F.col("learned_lang").isNotNull()
+    part = F.when(F.col("trusted") & limits, LIMITS).when(F.col("trusted"), LEARNS).otherwise(0)
+    return told.select("doc_id", "lang", part.alias("part"), "text")
+
+
+def verdicts(scored: DataFrame) -> DataFrame:
+    """One row for each of ``doc_id, lang, part, n_chars_scored, log_perplexity``, with ``judged`` and ``kept``."""
     x, n = F.col("log_perplexity"), F.col("n_chars_scored")
+    value = x - SLACK / F.sqrt(F.greatest(n, F.lit(1)))
+
+    def limit(part: int) -> Column:
+        return F.percentile_approx(F.when(F.col("part") == part, value), QUANTILE, 10_000)
+
     limits = (
-        scored.filter(F.col("trusted") & (n >= SHORT) & x.isNotNull())
+        scored.filter((F.col("part") > 0) & x.isNotNull())
         .groupBy(F.col("lang").alias("limit_lang"))
-        .agg(F.percentile_approx(x, QUANTILE, 10_000).alias("limit"))
+        .agg(F.greatest(limit(LIMITS), limit(LEARNS)).alias("limit"))
     )
     judged = scored.join(narrow(limits), F.col("lang") == F.col("limit_lang"), "left")
-    fits = x <= F.col("limit") + SLACK / F.sqrt(n)
     return judged.select(
         "doc_id",
         F.nullif("lang", F.lit(NONE)).alias("lang"),
         "n_chars_scored",
         F.exp(x).alias("perplexity"),
         (x.isNotNull() & F.col("limit").isNotNull()).alias("judged"),
-        (F.coalesce(fits, F.lit(True)) & (n > 0)).alias("kept"),
+        (F.coalesce(value <= F.col("limit"), F.lit(True)) & (n > 0)).alias("kept"),
+    )
+
+
+def classify(docs: DataFrame, trusted: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: ``doc_id, lang, n_chars_scored, perplexity, judged, kept``."""
+    rows = docs.select(
+        column(doc_id).alias("doc_id"),
+        F.coalesce(column(lang).cast("string"), F.lit(NONE)).alias("lang"),
+        F.coalesce(trusted, F.lit(False)).alias("trusted"),
+        column(text).cast("string").alias("text"),
     )
+    return verdicts(materialize(perplexities(parted(rows)), "perplexities", rebalance=False))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -77,6 +78,50 @@ def test_classifier(docs, labels):
     assert sum(bad) <= 0.8 * len(bad)
 
 
+def test_limits_and_verdicts_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        lang, part, n = rng.choice(["", "en", "de", "xx"]), rng.choice([0, 0, 1, 2]), rng.choice([0, 5, 80, 900])
+        part = {"de": min(part, 1), "xx": 0}.get(lang, part)
+        rows.append((i, lang, part, n, None if n == 0 or lang == "xx" else rng.gauss(2, 0.3)))
+    kind = "doc_id long, lang string, part int, n_chars_scored long, log_perplexity double"
+    got = {r.doc_id: r for r in quality_classifier.verdicts(spark.createDataFrame(rows, kind)).collect()}
+    limit = {}
+    for lang in ("", "en", "de"):
+        for part in (1, 2):
+            values = sorted(x - 5 / n**0.5 for _, a, b, n, x in rows if (a, b) == (lang, part) and x is not None)
+            if values:
+                limit[lang] = max(limit.get(lang, -9), values[math.ceil(0.999 * len(values)) - 1])
+    for i, lang, _, n, x in rows:
+        assert got[i].judged == (x is not None) and got[i].lang == (lang or None)
+        assert got[i].kept == (n > 0 and (x is None or x - 5 / n**0.5 <= limit[lang]))
+
+
+def test_short_trusted_texts_judge_their_language(spark):
+    rng = random.Random(4)
+    words = "the of and in house river green walks slowly under bright stone water".split()
+    rows = [(i, " ".join(rng.choices(words, k=20)), "en", True) for i in range(200)]
+    rows += [(500 + i, " ".join(rng.choices(words, k=20)), "en", False) for i in range(50)]
+    rows += [(900 + i, "".join(rng.choices("zqxvkj#|$ ", k=110)), "en", False) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean")
+    assert max(len(r[1]) for r in rows) < 200
+    got = {r.doc_id: r for r in quality_classifier.classify(df, F.col("good")).collect()}
+    assert all(r.judged for r in got.values())
+    assert not any(got[900 + i].kept for i in range(20))
+    assert sum(got[500 + i].kept for i in range(50)) >= 47
+
+
+def test_every_language_with_trusted_text_learns(spark):
+    rows = [(i, f"text number {i}", f"l{i}", True) for i in range(40)] + [(99, None, "l99", True), (98, "x", "l0", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, trusted boolean")
+    parts = {r.doc_id: r.part for r in quality_classifier.parted(df).collect()}
+    assert all(parts[i] == quality_classifier.LEARNS for i in range(40)) and parts[98] == 0 and len(parts) == 42
+    many = spark.createDataFrame([(i, f"text number {i}", "en", True) for i in range(500)], df.schema)
+    held = quality_classifier.parted(many).filter(F.col("part") == quality_classifier.LIMITS).count()
+    assert 50 < held < 150
+
+
 def test_classifier_edges(edges, nothing):
     rows = quality_classifier.classify(edges, F.col("doc_id") == 5).collect()
     assert len(rows) == 10
