@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, RFormula, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
+from featuretable.operators.assemble import left_join
 from featuretable.operators.columns import drop
 from featuretable.operators.profile import distinct_profile
 from featuretable.operators.ranking import running_total
-from featuretable.sources.scratch import scratch_path
+from featuretable.sources.scratch import materialize, scratch_path
 from featuretable.sources.tables import read_table, write_table
 
 # What a vector is in a Parquet file: sparse (0) with indices, or dense (1).
@@ -47,7 +51,7 @@ def category_index(df: DataFrame, name: str, index: str = "index") -> DataFrame:
     """
     counts = df.filter(column(name).isNotNull()).groupBy(column(name)).agg(F.count(F.lit(1)).alias("_n"))
     order = [F.desc("_n"), column(name).asc()]
-    return running_total(counts, order, F.lit(1), index).select(column(name), F.col(index).cast("double"))
+    return running_total(counts, order, F.lit(1), index).select(column(name), column(index).cast("double").alias(index))
 
 
 def with_category_index(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -57,6 +61,96 @@ def with_category_index(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class CategoryIndex:
+    """Category numbers learnt from training rows: one stored table of value and number per column.
+
+    Only how many categories a column has is known to the driver.
+    """
+
+    tables: Mapping[str, DataFrame]
+    sizes: Mapping[str, int]
+
+
+def fit_category_index(train: DataFrame, names: Sequence[str]) -> CategoryIndex:
+    """The numbers a ``StringIndexer`` gives, without its list of values on the driver."""
+    tables = {
+        name: materialize(category_index(train, name, index), "categories")
+        for name, index in zip(names, index_names(names), strict=True)
+    }
+    return CategoryIndex(tables, {name: table.count() for name, table in tables.items()})
+
+
+def _offsets(columns: Sequence[str], index: CategoryIndex) -> tuple[dict[str, int], int]:
+    """First slot of each column and the width of the vector."""
+    offsets, width = {}, 0
+    for name in columns:
+        offsets[name] = width
+        width += index.sizes.get(name, 1)
+    if width >= 1 << 31:
+        raise ValueError(f"{width} slots: a vector has fewer than {1 << 31}")
+    return offsets, width
+
+
+def _number(name: str) -> Column:
+    value = column(name).cast("double")
+    missing = F.raise_error(F.lit(f"{name} has a null or NaN: fill it before it becomes a feature"))
+    return F.when(value.isNull() | F.isnan(value), missing.cast("double")).otherwise(value)
+
+
+def feature_vectors(
+    df: DataFrame, columns: Sequence[str], index: CategoryIndex, features: str = "features"
+) -> DataFrame:
+    """``df`` with the named columns replaced by one sparse vector, in the given order.
+
+    A column of ``index`` takes one slot per category, any other one slot; null and unseen categories
+    become all zeros, null numbers fail the job. Category numbers come by joins, so neither driver nor
+    tasks hold a list of values, and the metadata is the width alone (``slot_names`` has the names). The
+    table is written with vectors as the structs they are in Parquet and read back as vectors.
+    """
+    offsets, width = _offsets(columns, index)
+    categories = [name for name in columns if name in index.tables]
+    numbers = [name for name in columns if name not in index.tables]
+    joined = reduce(lambda rows, name: left_join(rows, index.tables[name], name), categories, df)
+    taken = dict(zip(categories, index_names(categories), strict=True))
+    slots = F.array(*[
+        F.struct(
+            (F.lit(offsets[name]) + (column(taken[name]).cast("int") if name in taken else 0)).alias("slot"),
+            (F.lit(1.0) if name in taken else _number(name)).alias("value"),
+        )
+        for name in columns
+    ])
+    used = F.filter(slots, lambda s: s["slot"].isNotNull() & (s["value"] != 0))
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(width).alias("size"),
+        F.transform(used, lambda s: s["slot"]).alias("indices"),
+        F.transform(used, lambda s: s["value"]).alias("values"),
+    )
+    gone = [*numbers, *categories, *taken.values()]
+    rows = drop(joined.withColumn(features, vector), gone)
+    path = scratch_path(df.sparkSession, "features")
+    write_table(rows.hint("rebalance"), path)
+    width_only = {"ml_attr": {"num_attrs": width}}
+    fields = [
+        T.StructField(features, VectorUDT(), False, width_only) if f.name == features else f
+        for f in rows.schema
+    ]
+    return read_table(df.sparkSession, path, T.StructType(fields), "parquet")
+
+
+def slot_names(spark: SparkSession, columns: Sequence[str], index: CategoryIndex) -> DataFrame:
+    """``slot, feature`` of the vectors that ``feature_vectors`` builds, as a table."""
+    offsets, _ = _offsets(columns, index)
+    plain = [(offsets[name], name) for name in columns if name not in index.tables]
+    named = spark.createDataFrame(plain, "slot int, feature string")
+    for name, vector in zip(index.tables, vector_names(list(index.tables)), strict=True):
+        slot = (F.lit(offsets[name]) + column(index_names([name])[0]).cast("int")).alias("slot")
+        feature = F.concat(F.lit(f"{vector}_"), column(name).cast("string")).alias("feature")
+        named = named.unionAll(index.tables[name].select(slot, feature))
+    return named
+
+
 def index_names(names: Sequence[str]) -> list[str]:
     return [f"{name}Ind" for name in names]
 

@@ -17,14 +17,22 @@ def feature_names(df: DataFrame, features: str = "features") -> dict[int, str]:
 
 
 def feature_importance(
-    model: Model, df: DataFrame, top: int | None = None, features: str = "features", digits: int = 2
+    model: Model,
+    df: DataFrame,
+    top: int | None = None,
+    features: str = "features",
+    digits: int = 2,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Importance of each vector slot, largest first: one row per feature, not per data row.
 
-    Gains are added up from the stored nodes of the trees; a feature that no node uses has 0.
+    Gains are added up from the stored nodes of the trees; a feature that no node uses has 0. Names come
+    from the table ``names`` (slot, feature) if given, else from the metadata of the vectors.
     """
     spark = df.sparkSession
-    named = spark.createDataFrame(list(feature_names(df, features).items()), "slot int, feature string")
+    named = names
+    if named is None:
+        named = spark.createDataFrame(list(feature_names(df, features).items()), "slot int, feature string")
     scores = node_importances(node_table(model, df))
     table = named.join(scores, "slot", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
     ranked = table.select("slot", "feature", "importance", F.round("importance", digits).alias("importance_rounded"))

@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featuretable import fixed_values as V
-from featuretable.models.encode import apply_encoder, fit_encoder, fit_formula
+from featuretable.models.encode import (
+    apply_encoder,
+    feature_vectors,
+    fit_category_index,
+    fit_encoder,
+    fit_formula,
+    slot_names,
+)
 from featuretable.models.metrics import model_metrics
 from featuretable.models.tune import FAMILIES, grid_search
 from featuretable.operators.columns import drop
@@ -27,10 +34,14 @@ NOT_FEATURES = ("delivery_or_takeout", "count_reviews", "avg_business_stars")
 
 @dataclass(frozen=True)
 class Prepared:
-    """Train and test tables with key, label and features; train has a fold as well."""
+    """Train and test tables with key, label and features; train has a fold as well.
+
+    ``names`` has slot and feature where the metadata of the vectors gives their width alone.
+    """
 
     train: DataFrame
     test: DataFrame
+    names: DataFrame | None = None
 
 
 def split(
@@ -55,13 +66,28 @@ def vectorize(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     return formula.transform(train).select(wanted), formula.transform(test).select(wanted)
 
 
-def prepare(basetable: DataFrame, folds: int = V.FOLDS, seed: int = V.SPLIT_SEED) -> Prepared:
-    """Split, encode and vectorize.
+def vectorize_by_joins(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors of ``encode`` and ``vectorize`` and their slot names, with category lists that stay
+    distributed: for categories that outgrow the driver."""
+    index = fit_category_index(train, CATEGORIES)
+    columns = [c for c in train.columns if c not in (KEY, LABEL, *CATEGORIES)] + list(CATEGORIES)
+    wanted = [KEY, LABEL, "features"]
+    parts = [feature_vectors(rows, columns, index).select(wanted) for rows in (train, test)]
+    return parts[0], parts[1], slot_names(train.sparkSession, columns, index)
+
+
+def prepare(
+    basetable: DataFrame, folds: int = V.FOLDS, seed: int = V.SPLIT_SEED, by_joins: bool = False
+) -> Prepared:
+    """Split, encode and vectorize; ``by_joins`` keeps the category lists off the driver.
 
     The base table is written out first: encoder, formula and every tree level or solver step read
     it again, and none of them should rebuild it from the facts.
     """
     stored = materialize(basetable, "basetable")
+    if by_joins:
+        train, test, names = vectorize_by_joins(*split(stored, seed=seed))
+        return Prepared(materialize(with_fold(train, KEY, folds, seed + 1), "train"), test, names)
     train, test = vectorize(*encode(*split(stored, seed=seed)))
     folded = with_fold(train, KEY, folds, seed + 1)
     return Prepared(

@@ -142,3 +142,22 @@ def test_category_index_has_no_window_over_one_partition(spark, sf_dir):
 
     text = plan(category_index(table(spark, sf_dir, "part"), "p_type"))
     assert "SinglePartition" not in text
+
+
+def test_vectors_by_joins_take_category_numbers_from_plain_joins(spark, setting):
+    """A third of the rows in one category: with nothing small enough to broadcast, that partition is split."""
+    from featuretable.models import encode
+
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "0")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "100k")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    facts = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).cast("string").alias("c"), "id"
+    )
+    index = encode.fit_category_index(facts, ["c"])
+    joined = left_join(facts, index.tables["c"], "c").agg(F.count("cInd"), F.max("cInd"))
+    assert rows(joined) == [(200_000, 4999.0)]
+    assert "skew=true" in plan(joined) or "skewed" in plan(joined)

@@ -131,6 +131,56 @@ def test_unseen_categories_become_all_zero(spark):
     assert [row[0].toArray().tolist() for row in found.collect()] == [[1.0, 0.0], [0.0, 0.0]]
 
 
+def test_vectors_by_joins_equal_those_of_the_encoder(spark, model_rows):
+    train, test = modelling.split(model_rows)
+    test = test.withColumn("state", F.when(F.col("business_id") % 5 > 0, F.col("state"))).withColumn(
+        "city", F.when(F.col("business_id") % 7 > 0, F.col("city")).otherwise("unseen")
+    )
+    by_list = modelling.vectorize(*modelling.encode(train, test))
+    *by_joins, names = modelling.vectorize_by_joins(train, test)
+    for one, two in zip(by_list, by_joins, strict=True):
+        want = {r[0]: (r.label, r.features.toArray().tolist()) for r in one.collect()}
+        assert {r[0]: (r.label, r.features.toArray().tolist()) for r in two.collect()} == want
+    assert by_joins[0].schema["features"].metadata == {"ml_attr": {"num_attrs": names.count()}}
+    assert dict(names.collect()) == importance.feature_names(by_list[0])
+
+
+def test_vectors_by_joins_of_odd_tables(spark):
+    """Null categories, clashing and odd column names, no rows, a null number."""
+    df = spark.createDataFrame(
+        [(1, "x", None, 0.0), (2, None, "p", 2.5), (2, None, "p", 2.5)], "id int, `a.b` string, c string, n double"
+    )
+    index = encode.fit_category_index(df, ["a.b", "c"])
+    assert index.sizes == {"a.b": 1, "c": 1}
+    got = encode.feature_vectors(df, ["c", "n", "a.b"], index)
+    assert got.columns == ["id", "features"]
+    found = sorted((r.id, r.features.toArray().tolist()) for r in got.collect())
+    assert found == [(1, [0.0, 0.0, 1.0]), (2, [1.0, 2.5, 0.0]), (2, [1.0, 2.5, 0.0])]
+    names = encode.slot_names(spark, ["c", "n", "a.b"], index)
+    assert rows(names) == [(0, "c_ohe_p"), (1, "n"), (2, "a.b_ohe_x")]
+    none = df.limit(0)
+    empty = encode.fit_category_index(none, ["c"])
+    assert encode.feature_vectors(none, ["c", "n"], empty).count() == 0
+    with pytest.raises(ValueError, match="both sides"):
+        encode.feature_vectors(df.withColumn("cInd", F.lit(1)), ["c"], index)
+    with pytest.raises(Exception, match="fill it before"):
+        encode.feature_vectors(df.withColumn("n", F.lit(None).cast("double")), ["n"], index)
+
+
+def test_models_learn_from_vectors_by_joins(model_rows):
+    """Same table, same scores: names come from the table of slots."""
+    grid = {"maxDepth": [3]}
+    found = {}
+    for by_joins in (False, True):
+        prepared = modelling.prepare(model_rows, folds=3, by_joins=by_joins)
+        fitted = modelling.fit("decision_tree", prepared, grid, folds=3)
+        table = importance.feature_importance(fitted.bestModel, prepared.train, top=1, names=prepared.names)
+        board = modelling.judge("decision_tree", fitted, prepared).filter("part = 'test'").first()
+        found[by_joins] = (table.first().feature, round(table.first().importance, 9), round(board.auc_raw, 9))
+    assert found[False] == found[True]
+    assert found[True][0] == "attributes_RestaurantsDelivery"
+
+
 def test_grids_have_the_full_size():
     sizes = {
         name: len(tune.param_maps(kind.estimator(), kind.grid))

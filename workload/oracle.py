@@ -269,6 +269,16 @@ def _rformula() -> str:
     )
 
 
+def _feature_slots() -> str:
+    numeric = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NUMERIC))
+    return (
+        f"SELECT slot::INT AS slot, feature FROM (WITH s AS ({_slots('state')}), c AS ({_slots('city')}) "
+        f"SELECT * FROM (VALUES {numeric}) AS t(slot, feature) "
+        f"UNION ALL SELECT {len(_NUMERIC)} + slot, 'state_ohe_' || value FROM s "
+        f"UNION ALL SELECT {len(_NUMERIC)} + (SELECT count(*) FROM s) + slot, 'city_ohe_' || value FROM c)"
+    )
+
+
 _RULE = (
     "(SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, CASE WHEN "
     "l_quantity > 30 OR l_discount > 0.08 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM "
@@ -439,6 +449,8 @@ def oracle_sql() -> dict[str, str]:
         "(SELECT count(*) FROM c)::INT AS city_slots FROM halves LEFT JOIN s ON state = s.value "
         "LEFT JOIN c ON city = c.value)",
         "rformula_features": _rformula(),
+        "features_by_joins": _rformula(),
+        "feature_slots": _feature_slots(),
         "rollup_review_repeats": "SELECT business_id, avg(stars) AS avg_business_stars, avg(useful) AS "
         "avg_useful_reviews_count, avg(fans) AS avg_reviewer_fanscount, avg(review_count) AS "
         "avg_reviewers_reviewcount, avg(user_LOR_months) AS avg_reviewers_LOR, count(useful) AS "

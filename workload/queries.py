@@ -605,6 +605,24 @@ def rformula_features(spark, d):
     return parts[0].unionAll(parts[1])
 
 
+def features_by_joins(spark, d):
+    """As ``rformula_features``, with category numbers that come by joins."""
+    parts = []
+    tables = modelling.vectorize_by_joins(*_stored_split(spark, d))[:2]
+    for part, rows in zip(("train", "test"), tables, strict=True):
+        parts.append(
+            encode.vector_slots(rows, ["features"]).select(
+                F.lit(part).alias("part"), "business_id", F.inline("features.slots")
+            )
+        )
+    return parts[0].unionAll(parts[1])
+
+
+def feature_slots(spark, d):
+    """Slot and name of every feature of the vectors built by joins."""
+    return modelling.vectorize_by_joins(*_stored_split(spark, d))[2]
+
+
 # -- models: full grids, ten folds, each family fitted once per session and folder
 
 
@@ -629,7 +647,7 @@ def queries() -> dict[str, Query]:
         flag_before_after, flag_report_labels, label_count_where, label_avg_where,
         share_by_bucket, set_difference, dedup_by_key, class_balance, sample_by, hash_split,
         split_sizes, auc_hard, confusion_matrix, precision_recall, string_index, one_hot,
-        encode_pipeline, rformula_features, auc_raw, rollup_checkin_text, rollup_tip_text,
+        encode_pipeline, rformula_features, features_by_joins, feature_slots, auc_raw, rollup_checkin_text, rollup_tip_text,
         rollup_review_repeats, covid_labels_boolean, tenure_columns_text, json_scan_review,
         json_scan_covid, flag_pattern, rollup_incremental, json_scan_malformed, describe_quantiles,
         distinct_sketches, exact_split,
