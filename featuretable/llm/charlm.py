@@ -1,17 +1,22 @@
 """Character n-gram language models with modified Kneser-Ney smoothing in sorted hash arrays.
 
-Characters are folded to 64 symbols, so an n-gram is a number of 6n bits and a model of order n has at
-most 64**n n-grams, whatever the corpus: 16.8 million for order 4, 262,144 for order 3. That bound is
-what allows the counts to reach the driver and the model to be broadcast.
-
-Symbols: 0 before a text's first character; 1-26 the letters a-z of either case; 27 white space (a run
-counts once); 28 a digit; 29-43 ASCII punctuation and control characters, by a fixed rule; 44-63 all
-other characters, by code point modulo 20, capital Latin-1 letters as small ones.
+Models are over real characters (``letters``, ``codes``): 0 before a text's first character; 1-26 the letters
+a-z of either case; 27 white space (a run counts once); 28 a digit; 29-43 ASCII punctuation and control
+characters, by a fixed rule; from 44 all other characters of the basic plane, each a symbol of its own (Latin-1,
+Greek and Cyrillic capitals as small letters); characters beyond that plane share its last 2,132 symbols.
+
+An n-gram of up to four symbols is a number of 64 bits: the low 6 bits of its symbols, then the high 10 bits
+of each, so n-grams of ASCII text are small numbers. What a model holds grows with the corpus. Up to
+``HELD_GRAMS`` n-grams, by a count of them, it is collected and broadcast as sorted hash arrays; beyond, its users
+join the counts instead (``quality_classifier``), with the same result.
+
+``symbols`` and ``grams`` fold all characters to 64 symbols, others than ASCII by code point modulo 20: features
+of classifiers, which hash them anyway.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,16 @@ BITS = 6
 SYMBOLS = 1 << BITS
 GAP, DIGIT, OTHER, HIGH = 27, 28, 29, 44
 
+#: Symbols of the models, and the longest n-gram that 64 bits hold.
+LETTERS = 1 << 16
+LONGEST = 4
+LOW = LONGEST * BITS  # bits of the low parts of an n-gram's symbols; the high parts follow
+UPPER = 16 - BITS
+BEYOND = HIGH + 0x10000 - 128 - 0x800  # first symbol of characters beyond the basic plane
+
+#: n-grams of a model that may be collected and broadcast: 28 bytes each in its arrays, 0.5 GB at most.
+HELD_GRAMS = 1 << 24
+
 
 def _ascii_table() -> np.ndarray:
     table = np.empty(256, np.uint8)
@@ -44,11 +59,14 @@ def _ascii_table() -> np.ndarray:
 ASCII = _ascii_table()
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, and the offset of each text in them."""
+def _characters(
+    data: np.ndarray, offsets: np.ndarray, kind: type, others: Callable[[np.ndarray], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts in a row, and the offset of each text in them; ``others`` says those of code
+    points beyond ASCII."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
     first = data[at]
-    out = ASCII[first]
+    out = ASCII[first].astype(kind)
     many = np.flatnonzero(first >= 0xC0)
     if many.size:
         long = np.concatenate([data, np.zeros(3, np.uint8)])
@@ -63,8 +81,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 ((b0 & 7) << 18) | (b1 << 12) | (b2 << 6) | b3,
             ),
         )
-        capital = (point >= 0xC0) & (point <= 0xDE) & (point != 0xD7)
-        out[many] = HIGH + (point + np.uint32(32) * capital) % (SYMBOLS - HIGH)
+        out[many] = others(point)
     gap = out == GAP
     again = np.zeros(len(out), bool)
     again[1:] = gap[1:] & gap[:-1]
@@ -74,6 +91,83 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.searchsorted(at, offsets)
 
 
+def _folded(point: np.ndarray) -> np.ndarray:
+    capital = (point >= 0xC0) & (point <= 0xDE) & (point != 0xD7)
+    return HIGH + (point + np.uint32(32) * capital) % (SYMBOLS - HIGH)
+
+
+def _own(point: np.ndarray) -> np.ndarray:
+    capital = (point >= 0xC0) & (point <= 0xDE) & (point != 0xD7)
+    capital |= (point >= 0x391) & (point <= 0x3A9) | (point >= 0x410) & (point <= 0x42F)
+    point = point + np.uint32(32) * capital
+    plane = HIGH + point - 128 - np.uint32(0x800) * (point >= 0xE000)  # no text has the surrogates
+    return np.where(point < 0x10000, plane, BEYOND + point % (LETTERS - BEYOND))
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded symbols of all texts in a row, and the offset of each text in them."""
+    return _characters(data, offsets, np.uint8, _folded)
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the models, of all texts in a row, and the offset of each text in them."""
+    return _characters(data, offsets, np.uint16, _own)
+
+
+def _padded(found: np.ndarray, ends: np.ndarray, lead: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with ``lead`` zeros before each text (and at the end), and where each symbol stands."""
+    texts = len(ends) - 1
+    place = np.arange(len(found)) + lead * np.repeat(np.arange(1, texts + 1), np.diff(ends))
+    padded = np.zeros(len(found) + lead * texts + lead, kind)
+    padded[place] = found
+    return padded, place
+
+
+def codes_of(found: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each symbol of texts given as ``letters``."""
+    padded, place = _padded(found, ends, order - 1, np.uint64)
+    parts = [(padded & np.uint64(SYMBOLS - 1), BITS, 0)]
+    if len(found) and found.max() >= SYMBOLS:
+        parts.append((padded >> np.uint64(BITS), UPPER, LOW))
+    code = np.zeros(len(padded), np.uint64)
+    for part, bits, first in parts:
+        code |= part << np.uint64(first)
+        for back in range(1, order):
+            code[back:] |= part[:-back] << np.uint64(first + bits * back)
+    return code[place]
+
+
+def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of ``letters`` that ends at each character, and the offset of each text in them."""
+    found, ends = letters(data, offsets)
+    return codes_of(found, ends, order), ends
+
+
+def tail_mask(m: int) -> int:
+    """The bits of an n-gram's last ``m`` symbols."""
+    return ((1 << BITS * m) - 1) | (((1 << UPPER * m) - 1) << LOW)
+
+
+def tail(code: np.ndarray, m: int) -> np.ndarray:
+    """The last ``m`` symbols of each n-gram."""
+    return code & np.uint64(tail_mask(m))
+
+
+def context(code: np.ndarray) -> np.ndarray:
+    """Each n-gram without its last symbol."""
+    low = (code & np.uint64((1 << LOW) - 1)) >> np.uint64(BITS)
+    return low | (code >> np.uint64(LOW + UPPER)) << np.uint64(LOW)
+
+
+def after(before: int, last: np.ndarray) -> np.ndarray:
+    """The n-grams of one context and each of the last symbols."""
+    low = (before & ((1 << LOW) - 1)) << BITS & ((1 << LOW) - 1)
+    high = (before >> LOW) << (LOW + UPPER)
+    last = last.astype(np.uint64)
+    own = (last & np.uint64(SYMBOLS - 1)) | (last >> np.uint64(BITS)) << np.uint64(LOW)
+    return own | np.uint64(low | high)
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each symbol, as a number, and the offset of each text in them."""
     found, ends = symbols(data, offsets)
@@ -81,12 +175,8 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
 
 
 def grams_of(found: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each symbol of texts given as symbols."""
-    texts = len(ends) - 1
-    lead = order - 1
-    place = np.arange(len(found)) + lead * np.repeat(np.arange(1, texts + 1), np.diff(ends))
-    padded = np.zeros(len(found) + lead * texts + lead, np.uint32)
-    padded[place] = found
+    """The n-gram that ends at each symbol of texts given as folded symbols."""
+    padded, place = _padded(found, ends, order - 1, np.uint32)
     code = padded.copy()
     for back in range(1, order):
         code[back:] |= padded[:-back] << np.uint32(BITS * back)
@@ -119,7 +209,7 @@ class Tally:
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams and their counts."""
         if not self.parts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         code, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(code, kind="stable")
         code, n = code[order], n[order]
@@ -144,11 +234,11 @@ def gram_counts(docs: DataFrame, order: int, text: Column, group: Column | None
                 rows = batch.filter(pa.array(groups == g))
                 held = seen.setdefault(int(g), Tally())
                 for part in slices(rows, "t"):
-                    held.add(grams(*text_bytes(part.column("t")), order)[0])
+                    held.add(codes(*text_bytes(part.column("t")), order)[0])
         for g, held in seen.items():
             code, n = held.total()
             for k in range(0, len(code), 100_000):
-                some = code[k : k + 100_000].astype(np.int64)
+                some = code[k : k + 100_000].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(some), g, np.int32)),
@@ -179,8 +269,8 @@ def discounts_from(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
 
 
 def hashed(code: np.ndarray) -> np.ndarray:
-    """A bijection of 32-bit numbers, so that no two n-grams share a hash."""
-    return code.astype(np.uint32) * np.uint32(0x9E3779B1)
+    """A bijection of 64-bit numbers, so that no two n-grams share a hash."""
+    return code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class HashArrays:
@@ -194,11 +284,11 @@ class HashArrays:
         keys = hashed(code)
         order = np.argsort(keys)
         self.values = value[order].astype(np.float32)
-        self.keys = np.append(keys[order], np.uint32(0xFFFFFFFF))  # ends every search
+        self.keys = np.append(keys[order], np.uint64(0xFFFFFFFFFFFFFFFF))  # ends every search
         bits = min(24, max(4, len(keys).bit_length() + 1))
-        self.shift = np.uint32(32 - bits)
-        starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)
-        self.first = np.searchsorted(keys[order], starts.astype(np.uint32)).astype(np.int32)
+        self.shift = np.uint64(64 - bits)
+        starts = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.searchsorted(keys[order], starts).astype(np.int32)
 
     def place(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each n-gram stands and whether it is there."""
@@ -228,9 +318,9 @@ class KneserNey:
 
     def __init__(self, gram: np.ndarray, n: np.ndarray, order: int):
         self.order = order
-        levels = [(np.asarray(gram, np.int64), np.asarray(n, np.int64))]
+        levels = [(np.asarray(gram).astype(np.uint64), np.asarray(n, np.int64))]
         for m in range(order - 1, 0, -1):
-            code, counts = np.unique(levels[-1][0] & ((1 << BITS * m) - 1), return_counts=True)
+            code, counts = np.unique(tail(levels[-1][0], m), return_counts=True)
             levels.append((code, counts))
         self.logp: dict[int, HashArrays] = {}
         self.weight: dict[int, HashArrays] = {}
@@ -240,14 +330,13 @@ class KneserNey:
                 by = np.argsort(code)
                 code, counts = code[by], counts[by]
             cut = discounts(counts)[np.minimum(counts, 3)]
-            context = code >> BITS
-            known, inverse = np.unique(context, return_inverse=True)
+            known, inverse = np.unique(context(code), return_inverse=True)
             total = np.bincount(inverse, weights=counts, minlength=len(known))
             free = np.bincount(inverse, weights=cut, minlength=len(known)) / np.maximum(total, 1)
             if below is None:
-                lower = np.full(len(code), 1 / SYMBOLS)
+                lower = np.full(len(code), 1 / LETTERS)
             else:
-                lower = below[1][np.searchsorted(below[0], code & ((1 << BITS * (m - 1)) - 1))]
+                lower = below[1][np.searchsorted(below[0], tail(code, m - 1))]
             p = (counts - cut) / total[inverse] + free[inverse] * lower if len(code) else lower
             self.logp[m] = HashArrays(code, np.log(p))
             self.weight[m] = HashArrays(known, np.log(np.maximum(free, 1e-30)))
@@ -259,26 +348,29 @@ class KneserNey:
         With a lower ``order``: by continuation counts, after the last ``order - 1`` symbols.
         """
         top = order or self.order
-        gram = gram & np.uint32((1 << BITS * top) - 1)
+        gram = tail(gram, top)
         out, open_ = self.logp[top].find(gram)
         left = np.flatnonzero(~open_)
         out[left] = 0
         for m in range(top, 0, -1):
             if not left.size:
                 return out
-            part = gram[left] & np.uint32((1 << BITS * m) - 1)
+            part = tail(gram[left], m)
             if m < top:
                 value, hit = self.logp[m].find(part)
                 out[left[hit]] += value[hit]
                 left, part = left[~hit], part[~hit]
-            weight, known = self.weight[m].find(part >> np.uint32(BITS))
+            weight, known = self.weight[m].find(context(part))
             out[left[known]] += weight[known]
-        out[left] -= np.float32(np.log(SYMBOLS))
+        out[left] -= np.float32(np.log(LETTERS))
         return out
 
 
-def collect_counts(counts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Counts by group on the driver; at most 64**order rows for each group."""
+def collect_counts(counts: DataFrame, values: int = 1) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
+    """Counts by group on the driver, or none if there are more than ``HELD_GRAMS`` over the ``values`` that
+    each n-gram will have; ``counts`` is stored."""
+    if counts.count() * values > HELD_GRAMS:
+        return None
     table = counts.toArrow()
     group, gram, n = (table.column(c).to_numpy() for c in ("grp", "gram", "n"))
-    return {int(g): (gram[group == g], n[group == g]) for g in np.unique(group)}
+    return {int(g): (gram[group == g].astype(np.uint64), n[group == g]) for g in np.unique(group)}

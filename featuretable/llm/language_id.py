@@ -1,9 +1,11 @@
 """Language identification by character language models.
 
-One interpolated modified Kneser-Ney model of order 3 (``charlm``) for each language, counted by Spark
-over all learning texts and stored in sorted hash arrays: one hash array with the n-grams of all
-languages and a row of log probabilities for each n-gram, a column for each language. At most 262,144
-rows, so its size is bounded by the number of languages alone and it is broadcast.
+One interpolated modified Kneser-Ney model of order 3 over real characters (``charlm``) for each language,
+counted by Spark over all learning texts and stored in sorted hash arrays: one hash array with the n-grams of all
+languages and a row of log probabilities for each n-gram, a column for each language. It is broadcast while the
+n-grams of all languages, counted first, are at most ``charlm.HELD_GRAMS`` over the number of languages (there is a
+value for each pair); beyond, blocks of documents join their distinct n-grams with the counts of every language
+(``quality_classifier``), for the same scores.
 
 A text gets the language with the lowest cross-entropy per character. Whether that is a good enough
 match is calibrated: a language accepts texts up to the ``ACCEPT`` quantile of the cross-entropy that its
@@ -17,6 +19,8 @@ all every text gets ``und``. Repeated rows are scored alike; extra columns are i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
-from featuretable.llm import charlm
+from featuretable.llm import charlm, quality_classifier
 from featuretable.llm.joins import narrow
 from featuretable.llm.texts import map_texts, text_bytes
 from featuretable.sources.scratch import materialize
@@ -55,8 +59,8 @@ class Models:
         self.names = names
         self.models = [charlm.KneserNey(*counts[i], ORDER) for i in range(len(names))]
         seen = [gram for gram, _ in counts.values()]
-        gram = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-        rows = [m.score(gram.astype(np.uint32)) for m in self.models]
+        gram = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+        rows = [m.score(gram) for m in self.models]
         self.joint = charlm.HashArrays(gram, np.stack(rows, 1) if rows else np.zeros((0, 0)))
 
     def entropy(self, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -83,52 +87,102 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Models:
+@dataclass(frozen=True)
+class Counts:
+    """Stored ``grp, gram, n`` of all languages, numbered in the order of ``names``: models too large to broadcast."""
+
+    table: DataFrame
+    names: list[str]
+
+
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Models | Counts:
     """Models of all languages in the rows where ``learn`` holds; the list of languages is small."""
     known = docs.filter(learn & column(lang).isNotNull())
     names = sorted(r[0] for r in known.select(column(lang)).distinct().collect())
     if not names:
         return Models({}, [])
     number = F.array_position(F.lit(names), column(lang)) - 1
-    counts = charlm.collect_counts(charlm.gram_counts(known, ORDER, column(text), number))
-    none = np.zeros(0, np.int64)
-    return Models({i: counts.get(i, (none, none)) for i in range(len(names))}, names)
-
-
-def score(docs: DataFrame, models: Models, text: str = "text", carry=("doc_id",)) -> DataFrame:
+    counted = materialize(charlm.gram_counts(known, ORDER, column(text), number), "gram_counts", rebalance=False)
+    counts = charlm.collect_counts(counted, len(names))
+    if counts is None:
+        return Counts(counted, names)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return Models({i: counts.get(i, none) for i in range(len(names))}, names)
+
+
+def decided(names: list[str], cost: np.ndarray, no: np.ndarray, length: np.ndarray) -> dict[str, pa.Array]:
+    """The columns of ``OUT`` from the cross-entropies (a row per language) and the texts without a letter."""
+    texts = len(length)
+    best = np.argmin(cost, axis=0)
+    least = cost[best, np.arange(texts)]
+    share = np.exp(-EVIDENCE * (cost - least)).sum(axis=0)
+    ranked = np.sort(cost, axis=0)
+    ahead = ranked[1] - ranked[0] if len(names) > 1 else np.full(texts, np.inf)
+    label = np.array(names, object)[best]
+    label[no] = UNDECIDED
+    return {
+        "lang_pred": pa.array(label, pa.string()),
+        "score": pa.array(np.where(no, 0.0, 1 / share)),
+        "cross_entropy": pa.array(least, mask=no),
+        "margin": pa.array(ahead, mask=no),
+        "n_chars_scored": pa.array(length.astype(np.int64)),
+    }
+
+
+def score(docs: DataFrame, models: Models | Counts, text: str = "text", carry=("doc_id",)) -> DataFrame:
+    if isinstance(models, Counts):
+        return score_by_joins(docs, models, text, carry)
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = held.value
         data, offsets = text_bytes(batch.column(text))
         texts = len(offsets) - 1
-        code, ends = charlm.grams(data, offsets, ORDER)
+        code, ends = charlm.codes(data, offsets, ORDER)
         if not m.names:
             und = {"lang_pred": [UNDECIDED] * texts, "score": [0.0] * texts}
             none = pa.nulls(texts, pa.float64())
             return {k: pa.array(v) for k, v in und.items()} | {
                 "cross_entropy": none, "margin": none, "n_chars_scored": pa.array(np.diff(ends))
             }
-        cost = m.entropy(code, ends)
-        best = np.argmin(cost, axis=0)
-        least = cost[best, np.arange(texts)]
-        share = np.exp(-EVIDENCE * (cost - least)).sum(axis=0)
-        ranked = np.sort(cost, axis=0)
-        ahead = ranked[1] - ranked[0] if len(m.names) > 1 else np.full(texts, np.inf)
-        no = ~has_letter(data, offsets)
-        label = np.array(m.names, object)[best]
-        label[no] = UNDECIDED
-        return {
-            "lang_pred": pa.array(label, pa.string()),
-            "score": pa.array(np.where(no, 0.0, 1 / share)),
-            "cross_entropy": pa.array(least, mask=no),
-            "margin": pa.array(ahead, mask=no),
-            "n_chars_scored": pa.array(np.diff(ends).astype(np.int64)),
-        }
+        return decided(m.names, m.entropy(code, ends), ~has_letter(data, offsets), np.diff(ends))
 
     return map_texts(docs, work, OUT, text, carry=carry)
 
 
+def score_by_joins(docs: DataFrame, counts: Counts, text: str, carry) -> DataFrame:
+    """As ``score``, under models of any size."""
+    names = counts.names
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"lettered": pa.array(has_letter(*text_bytes(batch.column(text))))}
+
+    lettered = T.StructType([T.StructField("lettered", T.BooleanType())])
+    marked = map_texts(docs, work, lettered, text, carry=tuple(dict.fromkeys([*carry, text])))
+    carried = F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(carry))).alias("carried")
+    rows = marked.select(carried, "lettered", F.lit("").alias("lang"), column(text).cast("string").alias("text"))
+    stored = quality_classifier.blocks(rows, ORDER)
+    asked = quality_classifier.asked_grams(stored).drop("lang")
+    tables = quality_classifier.model(
+        counts.table.select(F.element_at(F.lit(names), F.col("grp") + 1).alias("lang"), "gram", "n"), ORDER
+    )
+    every = asked.select("gram").distinct().select(F.explode(F.lit(names)).alias("lang"), "gram")
+    known = quality_classifier.grams_scored(every, *tables, ORDER)
+    empty = F.lit(-float(np.log(charlm.LETTERS)))  # a language whose texts are all empty
+    back = asked.join(known.select("lang", "gram", F.coalesce("logp", empty).alias("logp")), "gram")
+
+    def finish(batch, code, ends, found):
+        value = [found[n].find(code)[0][:, 0] if n in found else np.zeros(len(code)) for n in names]
+        cost = -charlm.text_sums(np.stack(value), ends) / np.maximum(np.diff(ends), 1)
+        no = ~batch.column("lettered").to_numpy(zero_copy_only=False)
+        return decided(names, cost, no, np.diff(ends))
+
+    out = T.StructType([rows.schema["carried"], *OUT])
+    scored = quality_classifier.met(stored, back.select("block", "lang", "gram", "logp"), ["logp"], out, ORDER, finish)
+    kept = (F.col("carried").getField(f"c{i}").alias(c) for i, c in enumerate(carry))
+    return scored.select(*kept, *OUT.fieldNames())
+
+
 def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """One row per document; ``learn`` says which rows the models and thresholds are made from."""
     source = docs.select(

@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import bz2
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,11 +61,11 @@ def trusted_counts(docs: DataFrame) -> DataFrame:
                 rows = batch.filter(pa.array(langs == lang))
                 own = held.setdefault(lang, charlm.Tally())
                 for part in slices(rows, "text"):
-                    own.add(charlm.grams(*text_bytes(part.column("text")), ORDER)[0])
+                    own.add(charlm.codes(*text_bytes(part.column("text")), ORDER)[0])
         for lang, own in held.items():
             code, n = own.total()
             for k in range(0, len(code), 100_000):
-                some = code[k : k + 100_000].astype(np.int64)
+                some = code[k : k + 100_000].view(np.int64)
                 counts = n[k : k + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(some)), pa.array(some), pa.array(counts)],
@@ -75,23 +76,25 @@ def trusted_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _mask(m: int) -> Column:
-    return F.col("gram").bitwiseAND(F.lit((1 << charlm.BITS * m) - 1))
+def _tail(m: int) -> Column:
+    return F.col("gram") if m == charlm.LONGEST else F.col("gram").bitwiseAND(F.lit(charlm.tail_mask(m)))
 
 
-def _context() -> Column:
-    return F.shiftright("gram", charlm.BITS)
+def _context(gram: Column) -> Column:
+    low = F.shiftright(gram.bitwiseAND(F.lit((1 << charlm.LOW) - 1)), charlm.BITS)
+    high = F.shiftleft(F.shiftrightunsigned(gram, charlm.LOW + charlm.UPPER), charlm.LOW)
+    return low.bitwiseOR(high)
 
 
-def model(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+def model(counts: DataFrame, order: int = ORDER) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
     """Per order: ``lang, gram, logp``, and per order the contexts' ``lang, gram, logw``."""
-    levels = {ORDER: counts}
-    for m in range(ORDER - 1, 0, -1):
-        longer = levels[m + 1].select("lang", _mask(m).alias("gram"))
+    levels = {order: counts}
+    for m in range(order - 1, 0, -1):
+        longer = levels[m + 1].select("lang", _tail(m).alias("gram"))
         levels[m] = longer.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     probabilities: dict[int, DataFrame] = {}
     weights: dict[int, DataFrame] = {}
-    for m in range(1, ORDER + 1):
+    for m in range(1, order + 1):
         level = levels[m]
         n = F.col("n")
         seen = level.groupBy("lang").agg(*(F.count_if(n == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
@@ -106,15 +109,15 @@ def model(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]
             F.when(known & (n3 > 0), clip(3 - 4 * y * n4 / n3, 3.0)).otherwise(0.75).alias("d3"),
         )
         cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = level.join(cuts, "lang").select("lang", "gram", "n", cut.alias("cut"), _context().alias("ctx"))
+        level = level.join(cuts, "lang").select("lang", "gram", "n", cut.alias("cut"), _context(F.col("gram")).alias("ctx"))
         totals = level.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("free"))
         totals = totals.withColumn("weight", F.col("free") / F.col("total")).drop("free")
         level = level.join(totals, ["lang", "ctx"])
         if m == 1:
-            level = level.withColumn("lower", F.lit(1.0 / charlm.SYMBOLS))
+            level = level.withColumn("lower", F.lit(1.0 / charlm.LETTERS))
         else:
             below = probabilities[m - 1].select("lang", F.col("gram").alias("tail"), F.exp("logp").alias("lower"))
-            level = level.withColumn("tail", _mask(m - 1)).join(below, ["lang", "tail"])
+            level = level.withColumn("tail", _tail(m - 1)).join(below, ["lang", "tail"])
         p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("lower")
         probabilities[m] = materialize(level.select("lang", "gram", F.log(p).alias("logp")), f"kn{m}", rebalance=False)
         weight = F.log(F.greatest("weight", F.lit(1e-30)))
@@ -122,26 +125,32 @@ def model(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]
     return probabilities, weights
 
 
-def grams_scored(asked: DataFrame, probabilities: dict[int, DataFrame], weights: dict[int, DataFrame]) -> DataFrame:
-    """``lang, gram, logp`` of distinct n-grams; null where the language has no model."""
+def grams_scored(
+    asked: DataFrame, probabilities: dict[int, DataFrame], weights: dict[int, DataFrame], order: int = ORDER
+) -> DataFrame:
+    """``lang, gram, logp, logp_new`` of distinct n-grams; null where the language has no model. ``logp_new`` is
+    that of the last ``order - 1`` symbols by continuation counts."""
     found = asked
-    for m in range(ORDER, 0, -1):
+    for m in range(order, 0, -1):
         p = probabilities[m].select("lang", F.col("gram").alias(f"g{m}"), F.col("logp").alias(f"p{m}"))
         w = weights[m].select("lang", F.col("gram").alias(f"c{m}"), F.col("logw").alias(f"w{m}"))
-        context = F.shiftright(_mask(m), charlm.BITS)
-        found = found.withColumns({f"g{m}": _mask(m), f"c{m}": context})
+        found = found.withColumns({f"g{m}": _tail(m), f"c{m}": _context(_tail(m))})
         found = found.join(p, ["lang", f"g{m}"], "left").join(w, ["lang", f"c{m}"], "left")
-    logp: Column = F.lit(-float(np.log(charlm.SYMBOLS)))
-    for m in range(1, ORDER + 1):
-        logp = F.coalesce(F.col(f"p{m}"), F.coalesce(F.col(f"w{m}"), F.lit(0.0)) + logp)
+    logp = shorter = F.lit(-float(np.log(charlm.LETTERS)))
+    for m in range(1, order + 1):
+        shorter = logp
+        logp = F.coalesce(F.col(f"p{m}"), F.coalesce(F.col(f"w{m}"), F.lit(0.0)) + shorter)
     modelled = F.col("w1").isNotNull()
-    return found.select("lang", "gram", F.when(modelled, logp).alias("logp"))
+    scores = (F.when(modelled, x).alias(n) for x, n in ((logp, "logp"), (shorter, "logp_new")))
+    return found.select("lang", "gram", *scores)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """``block, payload`` with the symbols of a run of documents, and ``block, lang, grams``; stored.
+def blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``block, payload`` with the symbols and other columns of a run of documents, and ``block, lang, grams``;
+    stored.
 
-    Written once, so that block numbers agree in everything that follows.
+    Written once, so that block numbers agree in everything that follows. Symbols and n-grams are kept
+    as planes of bytes, of which the upper ones are mostly zeros.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     stream.write_batch(b)
             rows = [(number, None, None, bz2.compress(sink.getvalue()))]  # the smallest of the usual ones for symbols
             for lang, parts in held.items():
-                rows.append((number, lang, np.unique(np.concatenate(parts)).astype("<u4").tobytes(), None))
+                rows.append((number, lang, _planes(np.unique(np.concatenate(parts))), None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
             )
@@ -169,17 +178,17 @@ def blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
-                code, ends = charlm.grams(data, offsets, ORDER)
+                symbols, ends = charlm.letters(data, offsets)
+                code = charlm.codes_of(symbols, ends, order)
                 langs = np.array(part.column("lang").to_pylist(), object)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(ends))
                 for lang in dict.fromkeys(langs.tolist()):
                     held.setdefault(lang, []).append(np.unique(code[(langs == lang)[owner]]))
-                symbols, _ = charlm.symbols(data, offsets)
                 rows = part.drop_columns(["text"])
-                listed = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(symbols)]
-                )
-                kept.append(rows.append_column("symbols", listed))
+                for name, plane in (("low", symbols & 0xFF), ("high", symbols >> 8)):
+                    at = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(plane.astype(np.uint8))]
+                    rows = rows.append_column(name, pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, at))
+                kept.append(rows)
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield from flush()
@@ -189,17 +198,25 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     kind = "block long, lang string, grams binary, payload binary"
     bounded_batches(docs.sparkSession)
-    encoded = docs.select("doc_id", "lang", "part", "text").mapInArrow(encode, kind)
+    encoded = docs.mapInArrow(encode, kind)
     return materialize(encoded, "blocks", rebalance=False)  # blocks are of even size already
 
 
+def _planes(code: np.ndarray) -> bytes:
+    return code.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
 def unpacked(packed: DataFrame) -> DataFrame:
     """``block, lang, gram`` rows of the packed n-grams."""
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, grams in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                code = np.frombuffer(grams, "<u4").astype(np.int64)
+                code = _from_planes(grams)
                 for k in range(0, len(code), 100_000):
                     some = code[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays(
@@ -210,58 +227,103 @@ def unpacked(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(unpack, "block long, lang string, gram long")
 
 
-def perplexities(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, part, n_chars_scored, log_perplexity`` of ``doc_id, lang, part, text`` rows."""
-    stored = blocks(docs)
-    asked = unpacked(stored.filter("grams IS NOT NULL").select("block", "lang", "grams"))
-    counts = materialize(trusted_counts(docs), "trusted_counts", rebalance=False)  # each order of the model reads it
-    known = grams_scored(asked.select("lang", "gram").distinct(), *model(counts))
-    back = asked.join(known.filter("logp IS NOT NULL"), ["lang", "gram"])
-    payload = stored.filter("payload IS NOT NULL").select("block", "payload")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, lang string, part int, n_chars_scored long, log_perplexity double"
+Finish = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, dict[str, charlm.HashArrays]], dict[str, pa.Array]]
+
+
+def met(stored: DataFrame, back: DataFrame, values: Sequence[str], out: T.StructType, order: int, finish: Finish) -> DataFrame:
+    """Columns ``out`` of every document: the ``values`` of the n-grams asked by a block meet its texts.
+
+    ``back`` has ``block, lang, gram`` and the values; ``finish`` gets rows of a block, the n-gram of each
+    character, the end of each text in them, and by language a hash array with a row of values for each n-gram.
+    """
+    names = out.fieldNames()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs = right.column("lang").combine_chunks().dictionary_encode()
-        if isinstance(langs, pa.ChunkedArray):
-            langs = langs.combine_chunks()
-        number = {name: i for i, name in enumerate(langs.dictionary.to_pylist())}
+        langs = pc.dictionary_encode(right.column("lang")).combine_chunks()
+        if isinstance(langs, pa.ChunkedArray):  # of a table without rows
+            langs = pa.array([], pa.string()).dictionary_encode()
         which = langs.indices.to_numpy()
-        gram, logp = right.column("gram").to_numpy(), right.column("logp").to_numpy()
-        tables = {name: charlm.HashArrays(gram[which == i], logp[which == i]) for name, i in number.items()}
+        gram = right.column("gram").to_numpy().astype(np.uint64)
+        value = np.stack([right.column(n).to_numpy() for n in values], 1)
+        tables = {
+            name: charlm.HashArrays(gram[which == i], value[which == i])
+            for i, name in enumerate(langs.dictionary.to_pylist())
+        }
         made = []
         for blob in left.column("payload").to_pylist():
             for batch in pa.ipc.open_stream(bz2.decompress(blob)):
-                packed = batch.column("symbols")
-                ends = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1)
-                symbols = np.frombuffer(packed.buffers()[2] or b"", np.uint8, int(ends[-1]))
-                code = charlm.grams_of(symbols, ends, ORDER)
-                names = np.array(batch.column("lang").to_pylist(), object)
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-                value = np.zeros(len(code), np.float32)
-                unknown = np.ones(batch.num_rows, bool)
-                for name, table in tables.items():
-                    rows = names == name
-                    unknown &= ~rows
-                    use = rows[owner]
-                    value[use] = table.find(code[use])[0]
-                length = np.diff(ends)
-                mean = -charlm.text_sums(value, ends) / np.maximum(length, 1)
-                made.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            *(batch.column(n) for n in ("doc_id", "lang", "part")),
-                            pa.array(length),
-                            pa.array(mean, mask=unknown | (length == 0)),
-                        ],
-                        ["doc_id", "lang", "part", "n_chars_scored", "log_perplexity"],
-                    )
-                )
+                low, high = (batch.column(n) for n in ("low", "high"))
+                ends = np.frombuffer(low.buffers()[1], np.int64, len(low) + 1)
+                planes = (np.frombuffer(x.buffers()[2] or b"", np.uint8, int(ends[-1])) for x in (low, high))
+                symbols, upper = (x.astype(np.uint16) for x in planes)
+                code = charlm.codes_of(symbols | upper << 8, ends, order)
+                found = finish(batch, code, ends, tables)
+                columns = [found[n] if n in found else batch.column(n) for n in names]
+                made.append(pa.RecordBatch.from_arrays(columns, names))
         return pa.Table.from_batches(made)
 
+    payload = stored.filter("payload IS NOT NULL").select("block", "payload")
     return payload.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(meet, out)
 
 
+def own_means(values: Sequence[str], columns: Sequence[str]) -> Finish:
+    """Log perplexities of texts under the model of their own language, null where it has none."""
+
+    def finish(batch, code, ends, tables):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        length = np.diff(ends)
+        owner = np.repeat(np.arange(batch.num_rows), length)
+        value = np.zeros((len(code), len(values)), np.float32)
+        unknown = np.ones(batch.num_rows, bool)
+        for name, table in tables.items():
+            rows = langs == name
+            unknown &= ~rows
+            use = rows[owner]
+            value[use] = table.find(code[use])[0]
+        made = {"n_chars_scored": pa.array(length)}
+        for i, name in enumerate(columns):
+            mean = -charlm.text_sums(value[:, i], ends) / np.maximum(length, 1)
+            made[name] = pa.array(mean, mask=unknown | (length == 0))
+        return made
+
+    return finish
+
+
+def asked_grams(stored: DataFrame) -> DataFrame:
+    """``block, lang, gram``: every n-gram of a block and language once."""
+    return unpacked(stored.filter("grams IS NOT NULL").select("block", "lang", "grams"))
+
+
+def scored_fields(docs: DataFrame, *names: str) -> T.StructType:
+    """The columns of ``docs`` but for the text, the characters scored and the scores."""
+    kept = [f for f in docs.schema if f.name != "text"]
+    more = [T.StructField("n_chars_scored", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)]
+    return T.StructType([*kept, *more])
+
+
+def perplexities(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, part, n_chars_scored, log_perplexity`` of ``doc_id, lang, part, text`` rows."""
+    stored = blocks(docs)
+    asked = asked_grams(stored)
+    counts = materialize(trusted_counts(docs), "trusted_counts", rebalance=False)  # each order of the model reads it
+    known = grams_scored(asked.select("lang", "gram").distinct(), *model(counts)).drop("logp_new")
+    back = asked.join(known.filter("logp IS NOT NULL"), ["lang", "gram"])
+    out = scored_fields(docs, "log_perplexity")
+    return met(stored, back, ["logp"], out, ORDER, own_means(["logp"], ["log_perplexity"]))
+
+
+def both_scores(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``docs`` (``text`` and any other columns) with ``n_chars_scored, log_perplexity, log_continuation`` in place
+    of the text, under one model of ``gram, n`` counts."""
+    docs = docs.withColumn("lang", F.lit(NONE))
+    stored = blocks(docs)
+    asked = asked_grams(stored)
+    tables = model(counts.select(F.lit(NONE).alias("lang"), "gram", "n"))
+    back = asked.join(grams_scored(asked.select("lang", "gram").distinct(), *tables), ["lang", "gram"])
+    names, values = ["log_perplexity", "log_continuation"], ["logp", "logp_new"]
+    return met(stored, back, values, scored_fields(docs, *names), ORDER, own_means(values, names)).drop("lang")
+
+
 def parted(rows: DataFrame) -> DataFrame:
     """``doc_id, lang, part, text`` of ``doc_id, lang, trusted, text`` rows: ``LEARNS``, ``LIMITS``, or 0 if not trusted."""
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0

@@ -1,8 +1,9 @@
 """Quality rules: simple counts per text, then perplexity bands of each language.
 
-The perplexity comes from a character model of order 4 (``charlm``), counted by Spark over the whole
-texts of the table and interpolated with modified Kneser-Ney discounts. It is broadcast: its size is
-bounded by the symbol set, not by the corpus.
+The perplexity comes from a model of order 4 over real characters (``charlm``), counted by Spark over the
+whole texts of the table and interpolated with modified Kneser-Ney discounts. It is broadcast as sorted hash
+arrays while its n-grams, counted first, are at most ``charlm.HELD_GRAMS``; beyond, blocks of documents join their
+distinct n-grams with the counts (``quality_classifier``), for the same scores.
 
 A document has two scores: its log perplexity, and the same mean under the model's continuation counts
 (order 3), where every distinct 4-gram counts once. Junk of one kind that fills many documents teaches
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featuretable.functions.predicates import column
-from featuretable.llm import charlm
+from featuretable.llm import charlm, quality_classifier
 from featuretable.llm.joins import narrow
 from featuretable.llm.texts import SPACE, SpanHash, map_texts, mixed, per_text, spans, text_bytes
 from featuretable.sources.scratch import materialize
@@ -42,8 +43,9 @@ MIN_WORDS = 50
 MAX_REPEAT = 0.5
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in BASE])
 STATS = T.StructType(
-    [T.StructField(n, T.LongType()) for n in (*BASE, "n_chars_scored")]
+    [*COUNTS, T.StructField("n_chars_scored", T.LongType())]
     + [T.StructField(n, T.DoubleType()) for n in ("log_perplexity", "log_continuation")]
 )
 
@@ -112,14 +114,17 @@ def measure(
     """
     spark = docs.sparkSession
     whole = column(text) if field is None else column(text).getField(field)
-    counts = charlm.collect_counts(charlm.gram_counts(docs, ORDER, whole))
-    gram, n = counts.get(0, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    counted = materialize(charlm.gram_counts(docs, ORDER, whole), "gram_counts", rebalance=False)
+    counts = charlm.collect_counts(counted)
+    if counts is None:
+        return measure_by_joins(docs, counted, text, carry, field)
+    gram, n = counts.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     held = spark.sparkContext.broadcast(charlm.KneserNey(gram, n, ORDER))
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         data, offsets = text_bytes(batch.column(text))
         out = base_counts(data, offsets)
-        code, ends = charlm.grams(data, offsets, ORDER)
+        code, ends = charlm.codes(data, offsets, ORDER)
         length = np.diff(ends)
         out["n_chars_scored"] = length
         made = {k: pa.array(v.astype(np.int64)) for k, v in out.items()}
@@ -131,6 +136,22 @@ def measure(
     return map_texts(docs, work, STATS, text, carry=carry, field=field)
 
 
+def measure_by_joins(
+    docs: DataFrame, counts: DataFrame, text: str, carry: Sequence[str], field: str | None
+) -> DataFrame:
+    """As ``measure``, under a model of any size."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {k: pa.array(v.astype(np.int64)) for k, v in base_counts(*text_bytes(batch.column(text))).items()}
+
+    based = map_texts(docs, work, COUNTS, text, carry=tuple(dict.fromkeys([*carry, text])), field=field)
+    whole = column(text) if field is None else column(text).getField(field)
+    carried = F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(carry))).alias("carried")
+    scored = quality_classifier.both_scores(based.select(carried, *BASE, whole.cast("string").alias("text")), counts)
+    back = (F.col("carried").getField(f"c{i}").alias(c) for i, c in enumerate(carry))
+    return scored.select(*back, *STATS.fieldNames())
+
+
 def base_failed() -> Column:
     words = F.col("n_words")
     return (words < MIN_WORDS) | (F.col("n_repeat_words") * 100 > words * int(100 * MAX_REPEAT))

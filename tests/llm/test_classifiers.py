@@ -35,7 +35,7 @@ def test_language_score_is_the_plain_mean(spark):
     assert models.names == ["x", "y"]
     got = {r.doc_id: r for r in language_id.score(df, models).collect()}
     for i, text, _ in rows:
-        code, _ = charlm.grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 3)
+        code, _ = charlm.codes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 3)
         costs = [-float(m.score(code).mean()) for m in models.models]
         assert got[i].cross_entropy == pytest.approx(min(costs), abs=1e-5)
         assert got[i].lang_pred == models.names[int(np.argmin(costs))]
@@ -52,6 +52,49 @@ def test_language_edges(edges, nothing):
     assert {r.lang_pred for r in unlearned} == {"und"}
 
 
+def test_languages_that_share_a_script(spark):
+    """Two languages in Cyrillic letters and two in Han characters, and noise of the letters of one."""
+    rng = random.Random(4)
+    words = {
+        "ru": "это был большой дом у реки где жили старые люди и их дети".split(),
+        "uk": "це був великий дім біля річки де жили старі люди та їхні діти".split(),
+        "zh": "这是 河边 的 大房子 里面 住着 老人 和 他们 的 孩子".split(),
+        "ja": "これは 川辺 の 大家 で 老人 と 子供 が 住んで いた".split(),
+    }
+    rows, i = [], 0
+    for lang, w in words.items():
+        for _ in range(60):
+            rows.append((i, ("" if lang in ("zh", "ja") else " ").join(rng.choices(w, k=40)), lang))
+            i += 1
+    noise = list(" ".join(words["ru"] * 3))
+    rng.shuffle(noise)
+    rows.append((999, "".join(noise), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df, (F.col("doc_id") % 3 != 1) & (F.col("doc_id") < 999)).collect()}
+    assert all(got[d].lang_pred == lang for d, _, lang in rows[:-1])
+    assert got[999].rejected and sum(r.rejected for r in got.values() if r.learn) <= 4
+
+
+def test_languages_by_joins_equal_those_by_broadcast(spark, edges, nothing, monkeypatch):
+    """Models beyond the broadcast bound give the same result, edge cases included."""
+    shown = ("doc_id", "lang", "lang_pred", "score", "cross_entropy", "margin", "n_chars_scored")
+    more = [(20, "Это был большой дом", "ru"), (21, "这是大房子", "zh"), (22, None, "xx"), (23, "", "xx"), (24, "Это 大房子", None)]
+    rows = edges.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+
+    def got():
+        models = language_id.fit(rows, F.lit(True))
+        found = language_id.score(rows, models, carry=("doc_id", "lang")).select(*shown).collect()
+        return isinstance(models, language_id.Counts), sorted((tuple(r) for r in found), key=lambda r: repr(r[:3]))
+
+    (one, want), _ = got(), monkeypatch.setattr(charlm, "HELD_GRAMS", 0)
+    two, have = got()
+    assert (one, two) == (False, True) and len(have) == len(want) == 15
+    for x, y in zip(have, want, strict=True):
+        assert x[:3] == y[:3] and x[6] == y[6]
+        assert x[3:6] == pytest.approx(y[3:6], abs=1e-4)
+    assert language_id.identify(nothing, F.lit(True)).count() == 0
+
+
 def test_foreign_text_is_rejected(spark):
     rng = random.Random(1)
     words = "the of and in house river green walks slowly under bright stone water".split()

@@ -5,7 +5,8 @@ import random
 import re
 from collections import Counter
 
-from featuretable.llm import quality_classifier, quality_rules
+import pytest
+from featuretable.llm import charlm, quality_classifier, quality_rules
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +49,43 @@ def test_bands_reject_gibberish_and_keep_prose(spark):
     assert len(kept & {i for i, _, _ in prose}) >= 295
 
 
+def test_scores_by_joins_equal_those_by_broadcast(edges, docs, nothing, monkeypatch):
+    """A model beyond the broadcast bound gives the same result, edge cases included."""
+    kept = ("doc_id", "text", "lang")
+    rows = edges.select(*kept).unionAll(docs.select(*kept).limit(100))
+    packed = rows.select(F.struct("doc_id", "text").alias("row"), "lang")
+
+    def got():
+        plain = quality_rules.measure(rows, carry=("doc_id", "lang")).collect()
+        inner = quality_rules.measure(packed, text="row", field="text", carry=("row", "lang"))
+        inner = inner.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("whole"), "*").drop("row").collect()
+        return [sorted((tuple(r) for r in part), key=lambda r: repr(r[:4])) for part in (plain, inner)]
+
+    want, _ = got(), monkeypatch.setattr(charlm, "HELD_GRAMS", 0)
+    for have, due in zip(got(), want, strict=True):
+        assert len(have) == len(due) == 110
+        for x, y in zip(have, due, strict=True):
+            assert x[:-2] == y[:-2]
+            assert x[-2:] == pytest.approx(y[-2:], abs=1e-4)
+    assert quality_rules.quality_rules(nothing).count() == 0
+
+
+def test_bands_reject_noise_of_any_script(spark):
+    """Letters of Cyrillic and Han prose in random order, in a language of its own each."""
+    rng = random.Random(5)
+    words = {
+        "ru": "это был большой дом у реки где жили старые люди и их дети".split(),
+        "zh": "这是 河边 的 大房子 里面 住着 老人 和 他们 的 孩子".split(),
+    }
+    rows = [(1000 * k + i, " ".join(rng.choices(w, k=90)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(300)]
+    for k, (lang, w) in enumerate(words.items()):
+        used = sorted(set("".join(w)))
+        rows += [(1000 * k + 900 + i, " ".join("".join(rng.choices(used, k=4)) for _ in range(90)), lang) for i in range(3)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("kept").collect()}
+    assert not [i for i in kept if i % 1000 >= 900]
+    assert len(kept) >= 590
+
+
 def test_bands_reject_labelled_junk_and_keep_good_text(spark):
     folder = "/root/testdata/sf0.1"
     marks = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")

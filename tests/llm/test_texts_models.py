@@ -33,7 +33,7 @@ def test_slices_keep_rows_and_bound_bytes():
 
 
 def _grams(texts, order=3):
-    return charlm.grams(*text_bytes(pa.array(texts)), order)
+    return charlm.codes(*text_bytes(pa.array(texts)), order)
 
 
 def test_grams_start_anew_with_each_text():
@@ -47,31 +47,37 @@ def test_probabilities_sum_to_one_and_fall_back():
     code, _ = _grams(["the cat sat on the mat and the rat ran", "then there were three"])
     gram, n = np.unique(code, return_counts=True)
     model = charlm.KneserNey(gram, n, 3)
-    for context in [int(code[5]) >> 6, 63 << 6 | 62]:
-        every = np.uint32(context << 6) | np.arange(64, dtype=np.uint32)
+    new = charlm.codes(*text_bytes(pa.array(["梦р"])), 2)[0][-1]
+    for context in [int(charlm.context(code)[5]), int(new)]:
+        every = charlm.after(context, np.arange(charlm.LETTERS))
+        assert len(np.unique(every)) == charlm.LETTERS and set(charlm.context(every).tolist()) == {context}
         assert abs(np.exp(model.score(every).astype(float)).sum() - 1) < 1e-5
 
 
-def _plain(texts, gram_texts, order):
-    """Interpolated modified Kneser-Ney by its definition, with dictionaries."""
+def _plain(texts, asked, order):
+    """Interpolated modified Kneser-Ney by its definition, with dictionaries of tuples of characters."""
+
+    def grams(t):
+        shown = [None] * (order - 1) + list(re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()))
+        return [tuple(shown[i - order + 1 : i + 1]) for i in range(order - 1, len(shown))]
+
     counts = {}
     for t in texts:
-        for g in _grams([t], order)[0].tolist():
+        for g in grams(t):
             counts[g] = counts.get(g, 0) + 1
     levels = {order: counts}
     for m in range(order - 1, 0, -1):
         levels[m] = {}
         for g in levels[m + 1]:
-            low = g & ((1 << 6 * m) - 1)
-            levels[m][low] = levels[m].get(low, 0) + 1
+            levels[m][g[1:]] = levels[m].get(g[1:], 0) + 1
 
     def p(g, m):
         if m == 0:
-            return 1 / 64
+            return 1 / 65536
         level = levels[m]
         cuts = charlm.discounts(np.array(list(level.values())))
-        own = {k: v for k, v in level.items() if k >> 6 == g >> 6}
-        lower = p(g & ((1 << 6 * (m - 1)) - 1), m - 1)
+        own = {k: v for k, v in level.items() if k[:-1] == g[:-1]}
+        lower = p(g[1:], m - 1)
         if not own:
             return lower
         total = sum(own.values())
@@ -79,25 +85,41 @@ def _plain(texts, gram_texts, order):
         c = level.get(g, 0)
         return max(0, c - cuts[min(c, 3)]) / total + free * lower
 
-    return [np.log(p(g, order)) for g in gram_texts]
+    return [np.log(p(g, order)) for g in grams(asked)]
 
 
 def test_model_equals_definition():
-    texts = ["abracadabra abra", "cadabra", "bananas and abracadabra"]
-    asked = _grams(["abra banana xylophone"])[0]
-    gram, n = np.unique(_grams(texts)[0], return_counts=True)
-    assert np.allclose(charlm.KneserNey(gram, n, 3).score(asked), _plain(texts, asked.tolist(), 3), atol=1e-5)
+    """Over ASCII, Cyrillic, Han and characters beyond the basic plane."""
+    for order in (3, 4):
+        texts = ["abracadabra abra", "cadabra", "абракадабра и абра", "春眠不觉晓 处处闻啼鸟 春眠", "é🙂 été 🙂é"]
+        asked = "abra banana été абра кадабра 处处春眠 闻鸟 🙂é"
+        gram, n = np.unique(_grams(texts, order)[0], return_counts=True)
+        got = charlm.KneserNey(gram, n, order).score(_grams([asked], order)[0])
+        assert np.allclose(got, _plain(texts, asked, order), atol=1e-5)
+
+
+def test_every_character_of_the_basic_plane_is_a_symbol_of_its_own():
+    points = [p for p in range(128, 0x10000) if not 0xD800 <= p < 0xE000]
+    found, _ = charlm.letters(*text_bytes(pa.array(["".join(map(chr, points))])))
+    same = {p: p for p in points} | {p: ord(chr(p).lower()) for p in range(0xC0, 0xDF) if p != 0xD7}
+    same |= {p: p + 32 for p in (*range(0x391, 0x3AA), *range(0x410, 0x430))}
+    at = dict(zip(points, found.tolist(), strict=True))
+    assert len(set(at.values())) == len(set(same.values())) and min(at.values()) >= charlm.HIGH
+    assert all(at[p] == at[q] for p, q in same.items()) and max(at.values()) < charlm.BEYOND
+    beyond, _ = charlm.letters(*text_bytes(pa.array(["🙂\U0010ffff"])))
+    assert ((beyond >= charlm.BEYOND) & (beyond < charlm.LETTERS)).all()
 
 
 def test_sharded_model_equals_array_model(spark):
-    texts = ["abracadabra abra", "cadabra", "bananas and abracadabra", "a cat and a dog"]
-    rows = spark.createDataFrame([("x", t, True) for t in texts], "lang string, text string, trusted boolean")
+    texts = ["abracadabra abra", "cadabra", "bananas and abracadabra", "a cat and a dog", "абракадабра 处处 \uffee\uffee\uffee"]
+    rows = spark.createDataFrame([("x", t, quality_classifier.LEARNS) for t in texts], "lang string, text string, part int")
     counts = quality_classifier.trusted_counts(rows)
-    asked = np.unique(_grams(["abra banana xylophone 77"], 4)[0])
-    table = spark.createDataFrame([("x", int(g)) for g in asked] + [("y", 5)], "lang string, gram long")
+    asked = np.unique(_grams(["abra banana xylophone 77 абра 处鸟 \uffee\uffee\uffee\uffee"], 4)[0])
+    table = spark.createDataFrame([("x", int(g)) for g in asked.view(np.int64)] + [("y", 5)], "lang string, gram long")
     found = quality_classifier.grams_scored(table, *quality_classifier.model(counts)).collect()
     got = {r.gram: r.logp for r in found if r.lang == "x"}
     gram, n = np.unique(_grams(texts, 4)[0], return_counts=True)
     want = charlm.KneserNey(gram, n, 4).score(asked)
-    assert np.allclose([got[int(g)] for g in asked], want, atol=1e-4)
+    assert np.allclose([got[int(g)] for g in asked.view(np.int64)], want, atol=1e-4)
+    assert (asked.view(np.int64) < 0).any()  # the upper half of the numbers is in use
     assert [r.logp for r in found if r.lang == "y"] == [None]
