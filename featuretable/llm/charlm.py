@@ -125,16 +125,16 @@ def _padded(found: np.ndarray, ends: np.ndarray, lead: int, kind: type) -> tuple
 
 def codes_of(found: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each symbol of texts given as ``letters``."""
-    padded, place = _padded(found, ends, order - 1, np.uint64)
-    parts = [(padded & np.uint64(SYMBOLS - 1), BITS, 0)]
-    if len(found) and found.max() >= SYMBOLS:
-        parts.append((padded >> np.uint64(BITS), UPPER, LOW))
-    code = np.zeros(len(padded), np.uint64)
-    for part, bits, first in parts:
-        code |= part << np.uint64(first)
-        for back in range(1, order):
-            code[back:] |= part[:-back] << np.uint64(first + bits * back)
-    return code[place]
+    code = grams_of(found & (SYMBOLS - 1), ends, order).astype(np.uint64)
+    upper = np.flatnonzero(found >= SYMBOLS)  # few, or all of a text in another script
+    if not upper.size:
+        return code
+    text_end = np.repeat(ends[1:], np.diff(ends))[upper]
+    part = (found[upper] >> BITS).astype(np.uint64)
+    for back in range(order):
+        within = upper + back < text_end
+        code[upper[within] + back] |= part[within] << np.uint64(LOW + UPPER * back)
+    return code
 
 
 def codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:

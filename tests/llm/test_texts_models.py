@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -98,6 +99,21 @@ def test_model_equals_definition():
         assert np.allclose(got, _plain(texts, asked, order), atol=1e-5)
 
 
+def test_numbers_of_ngrams_equal_brute_force():
+    """The low 6 bits of each symbol, then the high 10 of each, the last symbol lowest; 0 before the text."""
+    rng = random.Random(1)
+    for order in (2, 3, 4) * 30:
+        texts = ["".join(rng.choices("ab é梦🙂р\uffee", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 6))]
+        found, ends = charlm.letters(*text_bytes(pa.array(texts, pa.string())))
+        want = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            shown = [0] * (order - 1) + found[a:b].tolist()
+            for last in range(order - 1, len(shown)):
+                gram = [shown[last - k] for k in range(order)]
+                want.append(sum((x & 63) << 6 * k | (x >> 6) << 24 + 10 * k for k, x in enumerate(gram)))
+        assert charlm.codes_of(found, ends, order).tolist() == want
+
+
 def test_every_character_of_the_basic_plane_is_a_symbol_of_its_own():
     points = [p for p in range(128, 0x10000) if not 0xD800 <= p < 0xE000]
     found, _ = charlm.letters(*text_bytes(pa.array(["".join(map(chr, points))])))
