@@ -1,23 +1,21 @@
 """Source divergence audit: how far the word use of each source lies from the others of its language.
 
-1. Chunks (runs between ASCII white space) are counted per document. Within a run of texts they are added up per
-   language: occurrences by source, documents, and the smallest and largest number of such a document.
-2. Every globally distinct chunk is cut into terms once; its terms are joined back to the counts.
-3. A term of a language is kept if it stands in at least ``LEAST_DOCUMENTS`` of its documents. A chunk in so
-   many documents settles that for its terms; any other chunk stands in at most two, which are the smallest
-   and the largest number, so the distinct documents of the remaining terms are counted exactly without a row
-   for each chunk of each document.
+1. Texts are cut into terms and counted in chunks of ``RUN_BYTES``: occurrences and documents by term, language and
+   source. A document lies in one chunk and has one language and source, so both numbers add up exactly.
+2. One shuffle brings all rows of a term together. They are added up by source, and what the term has in its whole
+   language (occurrences, documents) is read off the same rows. Rows of terms that are not kept end there.
+3. A term of a language is kept if it stands in at least ``LEAST_DOCUMENTS`` of its documents.
 4. With counts c of the kept terms, p = 1 + floor(SCALE (c + 1) / (N + V)) in every group and every language,
    and f(p, q) = floor((p - q)^2 / q). The divergence of two sources sums f over all kept terms. Terms that
    a source lacks all have the same p there, so the sum over them follows from the histogram of p in the other
    source, and rows meet only for terms that both have.
 
-The size of a group bounds nothing that one task holds: all steps are aggregations and joins.
+The size of a group bounds nothing that one task holds: all steps are aggregations, joins, and one window over the
+sources of a term, whose rows Spark spills.
 
 Edge cases: null text, lang and source read as ''; repeated rows are documents of their own; ids are not used.
 A group without terms has its pairs, with value 0 where the language keeps no term. No rows give no rows.
-Extra columns are ignored. Documents should come from files (or another source that deals rows in the same order
-when a task runs again), because a document's number is its place in its partition.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,29 +36,24 @@ LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 RUN_BYTES = 32 << 20
-#: Everything but ASCII characters that are no letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONG_CHUNK = 64
+# Bytes of terms, A-Z as a-z: ASCII letters and all of other characters. What lies between terms is a space.
+TERM_BYTES = np.full(256, 32, np.uint8)
+TERM_BYTES[65:91] = TERM_BYTES[97:123] = np.arange(97, 123)
+TERM_BYTES[128:] = np.arange(128, 256)
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``chunk, lang, sources, ns, df, lo, hi`` of ``lang, source, text`` rows without nulls.
+    """``lang, source, term, n, df`` of ``lang, source, text`` rows without nulls.
 
-    A row stands for a chunk in a language in one run of texts: its occurrences by source, its documents, and the
-    smallest and largest number of these.
+    A row stands for a term of a group in one chunk of texts: its occurrences and its documents there.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 40
         for run in _runs(batches):
-            yield from _count(run, first)
-            first += run.num_rows
+            yield from _count(run)
 
-    kind = "chunk string, lang string, sources array<string>, ns array<long>, df long, lo long, hi long"
     bounded_batches(docs.sparkSession)
+    kind = "lang string, source string, term string, n long, df long"
     return docs.select("lang", "source", "text").mapInArrow(count, kind)
 
 
@@ -84,102 +77,78 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
 
 
-def _count(run: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+def _count(run: pa.Table) -> Iterator[pa.RecordBatch]:
     # What is no longer needed goes at once: a run is tens of megabytes, and each of these arrays as much again.
-    split = pc.ascii_split_whitespace(run.column("text").combine_chunks().cast(pa.large_string()))
+    data, offsets = text_bytes(run.column("text"))
+    spaced = pa.LargeStringArray.from_buffers(run.num_rows, pa.py_buffer(offsets), pa.py_buffer(TERM_BYTES[data]))
+    del data, offsets
+    split = pc.ascii_split_whitespace(spaced)
     row, flat = pc.list_parent_indices(split).to_numpy().astype(np.int32), pc.list_flatten(split)
-    del split
-    worded = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # text that starts or ends with white space
+    del spaced, split
+    worded = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # text that starts or ends between terms
     row, coded = row[worded], flat.filter(pa.array(worded)).dictionary_encode()
     del flat, worded
     if not len(row):
         return
-    words = len(coded.dictionary)
-    lang, source = (run.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
-    lang_of, source_of = (x.indices.to_numpy().astype(np.int64) for x in (lang, source))
-    # Counts by document, then by language and chunk (documents), and by that and source (occurrences).
+    terms = coded.dictionary
+    # Counts by document, then by group and term.
     cell = row.astype(np.int64)
-    cell *= words
+    cell *= len(terms)
     cell += coded.indices.to_numpy()
-    chunks = coded.dictionary
     del row, coded
     cell.sort()
     at = _starts(cell)
     n = np.diff(at, append=len(cell))
-    row, code = np.divmod(cell[at], words)
+    row, code = np.divmod(cell[at], len(terms))
     del cell
-    key = lang_of[row] * words + code
-    order = np.argsort(key, kind="stable")  # documents stay in their order
-    key, row, n = key[order], row[order], n[order]
+    lang, source = (run.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    lang_of, source_of = (x.indices.to_numpy().astype(np.int64) for x in (lang, source))
+    groups, group_of = np.unique(lang_of * len(source.dictionary) + source_of, return_inverse=True)
+    key = group_of[row] * len(terms) + code
+    del row, code
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
     at = _starts(key)
-    ends = np.r_[at[1:], len(key)]
-    where = np.repeat(np.arange(len(at)), ends - at)
-    fine = where * len(source.dictionary) + source_of[row]
-    order = np.argsort(fine, kind="stable")
-    fine, n = fine[order], n[order]
-    inner = _starts(fine)
-    group, own = np.divmod(fine[inner], len(source.dictionary))
-    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(group, minlength=len(at)))].astype(np.int32))
-    code = key[at] % words
-    made = pa.RecordBatch.from_arrays(
-        [
-            chunks.take(pa.array(code)).cast(pa.string()),
-            lang.dictionary.take(pa.array(key[at] // words)),
-            pa.ListArray.from_arrays(offsets, source.dictionary.take(pa.array(own))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.add.reduceat(n, inner))),
-            pa.array(ends - at), pa.array(first + row[at]), pa.array(first + row[ends - 1]),
-        ],
-        ["chunk", "lang", "sources", "ns", "df", "lo", "hi"],
-    )
-    del row, n, fine, key, order
-    for k in range(0, made.num_rows, 20_000):
-        yield made.slice(k, 20_000)
+    group, code = np.divmod(key[at], len(terms))
+    n, df = np.add.reduceat(n, at), np.diff(at, append=len(key))
+    del order, key, at
+    for k in range(0, len(n), 20_000):
+        part = slice(k, k + 20_000)
+        of_lang, of_source = np.divmod(groups[group[part]], len(source.dictionary))
+        yield pa.RecordBatch.from_arrays(
+            [
+                lang.dictionary.take(pa.array(of_lang)), source.dictionary.take(pa.array(of_source)),
+                terms.take(pa.array(code[part])).cast(pa.string()), pa.array(n[part]), pa.array(df[part]),
+            ],
+            ["lang", "source", "term", "n", "df"],
+        )
     pa.default_memory_pool().release_unused()
 
 
-def _lowered(text: Column) -> Column:
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def _key() -> Column:
-    """Stands for the chunk: itself or, if long, a digest (behind a space, which no chunk has)."""
-    digest = F.concat(F.lit(" "), F.sha2("chunk", 256))
-    return F.when(F.length("chunk") > LONG_CHUNK, digest).otherwise(F.col("chunk")).alias("key")
-
-
 def chunk_terms(counts: DataFrame) -> DataFrame:
-    """``key, langs, terms``: every distinct chunk once, with its documents by language and its terms.
+    """``lang, source, term, c, c_lang, df_lang, leads``: the terms of all chunks by group.
 
-    All rows of a chunk meet in one shuffle, reduced to one for each language before they are listed.
+    Beside the occurrences in the group stand the occurrences and documents in the language; one row of each term
+    of a language ``leads``. All rows of such a term meet in one shuffle, which serves all of these sums.
     """
-    dealt = counts.select("chunk", "lang", "df", "lo", "hi").repartition("chunk")
-    per_lang = dealt.groupBy("chunk", "lang").agg(F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    listed = per_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "df", "lo", "hi")).alias("langs"))
-    terms = F.regexp_extract_all(_lowered(F.col("chunk")), F.lit(TERM), 0)
-    return listed.select(_key(), "langs", terms.alias("terms")).filter(F.size("terms") > 0)
+    dealt = counts.repartition("lang", "term")
+    cells = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("c"), F.sum("df").alias("df"))
+    whole = Window.partitionBy("term", "lang")
+    return cells.select(
+        "lang", "source", "term", "c",
+        F.sum("c").over(whole).alias("c_lang"), F.sum("df").over(whole).alias("df_lang"),
+        (F.col("source") == F.min("source").over(whole)).alias("leads"),
+    )
+
+
+def kept_cells(chunks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """The rows of terms in at least ``least`` documents of the language."""
+    return chunks.filter(F.col("df_lang") >= least)
 
 
 def kept_terms(chunks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``lang, term`` of the terms in at least ``least`` (three at most) documents of the language."""
-    # Numbers of documents start at 0; -1 stands for the three or more that a chunk has by itself.
-    many = F.array(F.lit(-1).cast("long"))
-    documents = F.when(F.col("df") >= 3, many).otherwise(F.array_distinct(F.array("lo", "hi")))
-    seen = chunks.select("terms", F.inline("langs")).select(F.array_distinct("terms").alias("terms"), "lang", documents.alias("docs"))
-    seen = seen.select("lang", "docs", F.explode("terms").alias("term")).select("lang", "term", F.explode("docs").alias("doc"))
-    found = F.sum(F.when(F.col("doc") < 0, 3).otherwise(1)).alias("n")
-    return seen.distinct().groupBy("lang", "term").agg(found).filter(F.col("n") >= least).drop("n")
-
-
-def group_counts(counts: DataFrame, chunks: DataFrame, kept: DataFrame) -> DataFrame:
-    """``lang, source, term, c``: occurrences of kept terms, by the terms of the chunks."""
-    found = chunks.select("key", F.explode("langs.lang").alias("lang"), "terms")
-    found = found.select("key", "lang", F.explode("terms").alias("term")).join(kept, ["lang", "term"], "left_semi")
-    # A term that a chunk holds twice counts twice for each occurrence of the chunk.
-    found = materialize(found, "chunk_kept_terms", rebalance=False)
-    wanted = counts.select(_key(), "lang", F.arrays_zip("sources", "ns").alias("by")).join(found, ["key", "lang"])
-    cells = wanted.select("lang", "term", F.inline("by"))
-    return cells.groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum("ns").alias("c"))
+    """``lang, term`` of the terms in at least ``least`` documents of the language."""
+    return kept_cells(chunks, least).filter("leads").select("lang", "term")
 
 
 def _share(count: Column, total: Column) -> Column:
@@ -241,22 +210,20 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     small_sides_hashed(docs.sparkSession)
     read = {"lang": lang, "source": source, "text": text}
     rows = docs.select(*(F.coalesce(column(c).cast("string"), F.lit("")).alias(n) for n, c in read.items()))
-    counts = materialize(chunk_counts(rows), "chunk_counts", rebalance=False)
-    chunks = materialize(chunk_terms(counts), "chunk_terms", rebalance=False)
-    kept = materialize(kept_terms(chunks), "kept_terms")
-    found = materialize(group_counts(counts, chunks, kept), "kept_counts", rebalance=False)
+    found = materialize(kept_cells(chunk_terms(chunk_counts(rows))), "kept_counts", rebalance=False)
     totals = found.groupBy("lang", "source").agg(F.sum("c").alias("total"))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+    sizes = kept_terms(found).groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     zero = F.lit(0).cast("long")
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.withColumns({"total": F.coalesce("total", zero), "v": F.coalesce("v", zero)})
     groups = groups.withColumn("whole", F.col("total") + F.col("v"))
     groups = materialize(groups.withColumn("p0", _share(zero, F.col("whole"))), "groups")
-    shares = found.join(groups.select("lang", "source", "whole", "p0"), ["lang", "source"])
-    shares = materialize(shares.select("lang", "source", "term", _share(F.col("c"), F.col("whole")).alias("p"), "p0"), "shares", rebalance=False)
-    langs = groups.groupBy("lang").agg((F.sum("total") + F.max("v")).alias("whole"))
-    overall = found.groupBy("lang", "term").agg(F.sum("c").alias("c")).join(langs, "lang")
-    overall = materialize(overall.select("lang", "term", _share(F.col("c"), F.col("whole")).alias("q")), "lang_shares", rebalance=False)
-    over = shares.join(overall, ["lang", "term"]).filter("p > q")
-    over = over.select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value"))
+    langs = groups.groupBy("lang").agg((F.sum("total") + F.max("v")).alias("whole_lang"))
+    wholes = groups.select("lang", "source", "whole", "p0").join(langs, "lang")
+    shares = found.join(wholes, ["lang", "source"]).select(
+        "lang", "source", "term", _share(F.col("c"), F.col("whole")).alias("p"), "p0",
+        _share(F.col("c_lang"), F.col("whole_lang")).alias("q"),
+    )
+    shares = materialize(shares, "shares", rebalance=False)
+    over = shares.filter("p > q").select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value"))
     return _ranked(pairs(groups, shares), "pair").unionByName(_ranked(over, "term").filter(F.col("rank") <= TOP_TERMS))

@@ -77,3 +77,19 @@ def test_small_runs_change_nothing(spark, monkeypatch):
 def test_edge_cases(edges, nothing):
     assert as_set(divergence.audit(edges)) == brute_force([(r.lang, r.source, r.text) for r in edges.collect()])
     assert divergence.audit(nothing).count() == 0
+
+
+def test_counts_meet_in_one_shuffle(spark):
+    texts = [("en", "a", "The the, (THE) 12 -- the-cat"), ("en", "a", "cat;"), ("en", "b", "cat Über über")]
+    docs = spark.createDataFrame(texts, "lang string, source string, text string").coalesce(1)
+    counts = divergence.chunk_counts(docs)
+    found = {(r.lang, r.source, r.term, r.n, r.df) for r in counts.collect()}
+    # One row per term of a group, however it was written.
+    wanted = {("en", "a", "the", 4, 1), ("en", "a", "cat", 2, 2), ("en", "b", "cat", 1, 1), ("en", "b", "Über", 1, 1), ("en", "b", "über", 1, 1)}
+    assert found == wanted and counts.count() == len(wanted)
+    kept = divergence.kept_cells(divergence.chunk_terms(counts))
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1  # the one that is asked for
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # and no more to add up
+    assert {(r.source, r.term, r.c, r.c_lang, r.df_lang, r.leads) for r in kept.collect()} == {
+        ("a", "cat", 2, 3, 3, True), ("b", "cat", 1, 3, 3, False),
+    }
