@@ -34,17 +34,19 @@ from featuretable.functions.predicates import column
 from featuretable.llm.texts import SpanHash, slices, text_bytes
 from featuretable.sources.scratch import materialize
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+LEAST_LENGTH, LEAST_COUNT = 6, 5
+# Maximal runs: a match takes all letters, and a shorter run has none. A word is never longer than its run.
+RUN = f"[A-Za-z\\u00C0-\\u00FF]{{{LEAST_LENGTH},}}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLIP = 199
-LEAST_LENGTH, LEAST_COUNT = 6, 5
 FORM_FACTOR = 5
 BACK = "<"  # no letter
 ROOT = int(SpanHash(np.zeros(1, np.uint8)).of(np.zeros(1, np.int64), np.zeros(1, np.int64)).astype(np.int64)[0])
 
 
 def runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``word`` of every letter run: lower-cased, less one code point where the hash of id and run says so."""
+    """``word`` of every letter run of enough code points: lower-cased, less one code point where the hash of id and run
+    says so, and null if that leaves too few."""
     found = docs.select(
         F.coalesce(column(doc_id).cast("string"), F.lit("")).alias("id"),
         F.explode(F.regexp_extract_all(column(text).cast("string"), F.lit(RUN), 0)).alias("run"),
@@ -55,13 +57,16 @@ def runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = found.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
     at = F.col("h") % F.length(run)
     cut = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))
-    return found.select(F.when(F.col("h") % SLIP == 0, cut).otherwise(run).alias("word"))
+    return found.select(F.when(F.col("h") % SLIP != 0, run).when(F.length(run) > LEAST_LENGTH, cut).alias("word"))
 
 
 def words(found: DataFrame) -> DataFrame:
-    """``word, n`` of those with enough code points and occurrences."""
-    long = found.filter(F.length("word") >= LEAST_LENGTH)
-    return long.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    """``word, n`` of those with enough occurrences.
+
+    Null counts nothing, so it goes with the rare words: a filter on the word would move below the hash of every run
+    and make it twice.
+    """
+    return found.groupBy("word").agg(F.count("word").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
 
 def prefixes(vocabulary: DataFrame) -> DataFrame:
@@ -136,20 +141,23 @@ def _identified(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("word", "n").mapInArrow(name, "word_id long, word string, n long")
 
 
-def _moves() -> Column:
-    """How a state may pass a label: code points used of its rest, and its edits then."""
+def _moves() -> list[Column]:
+    """The ways in which a state may pass a label and still end or go on: twice the code points used of its rest, and one
+    more if it has an edit then; null where a way is closed."""
     rest, label, size = F.col("rest"), F.col("label"), F.length("label")
     fresh = (F.col("edits") == 0) & (F.col("keep") <= size)
 
-    def move(condition: Column, used: Column, edits: Column) -> Column:
-        return F.when(condition, F.struct(used.cast("int").alias("used"), edits.cast("int").alias("edits")))
+    def open_end(used: Column) -> Column:
+        # With its edit, a state needs the end of a word where its own ends, or an edge for its next code point.
+        further = F.contains("after", F.substring(rest, used + 1, F.lit(1)))
+        return F.when(F.length(rest) > used, further).otherwise((F.length(rest) == used) & F.col("end_word").isNotNull())
 
     def one_edit(used: Column) -> Column:
-        return fresh & (F.length(rest) >= used) & (F.levenshtein(label, F.substring(rest, F.lit(1), used), 1) == 1)
+        return fresh & open_end(used) & (F.levenshtein(label, F.substring(rest, F.lit(1), used), 1) == 1)
 
-    tried = [move(rest.startswith(label), size, F.col("edits"))]
-    tried += [move(one_edit(size + shift), size + shift, F.lit(1)) for shift in (-1, 0, 1)]
-    return F.filter(F.array(*tried), lambda m: m.isNotNull())
+    plain = rest.startswith(label) & ((F.col("edits") == 0) | open_end(size))
+    edited = [F.when(one_edit(size + shift), (size + shift) * 2 + 1) for shift in (-1, 0, 1)]
+    return [F.when(plain, size * 2 + F.col("edits")), *edited]
 
 
 def level(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -157,16 +165,14 @@ def level(states: DataFrame, edges: DataFrame) -> DataFrame:
     free = (F.col("edits") == 0) & (F.col("keep") == 0)
     bound = states.filter(~free).withColumn("first", F.substring("rest", 1, 1))
     met = bound.join(edges, ["node", "first"]).unionByName(states.filter(free).join(edges, "node"))
-    moved = met.withColumn("move", F.explode(_moves()))
-    rest = F.substring(F.col("rest"), F.col("move.used") + 1, F.length("rest"))
-    moved = moved.select(
-        "word_id", rest.alias("rest"), F.greatest(F.col("keep") - F.col("move.used"), F.lit(0)).alias("keep"),
-        F.col("child").alias("node"), F.col("move.edits").alias("edits"), "after",
+    moved = met.withColumn("move", F.explode(F.array(*_moves()))).filter("move IS NOT NULL")
+    used = F.shiftright("move", 1)
+    return moved.select(
+        "word_id", F.substring(F.col("rest"), used + 1, F.length("rest")).alias("rest"),
+        F.greatest(F.col("keep") - used, F.lit(0)).alias("keep"),
+        F.col("child").alias("node"), F.col("move").bitwiseAND(1).alias("edits"),
         F.col("end_word").alias("near"), F.col("end_n").alias("near_n"),
     )
-    ended = (F.col("rest") == "") & F.col("near").isNotNull()
-    further = (F.col("edits") == 0) | ((F.col("rest") != "") & F.contains("after", F.substring("rest", 1, 1)))
-    return moved.filter(ended | further).drop("after")
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:

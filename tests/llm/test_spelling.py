@@ -112,3 +112,30 @@ def test_query_returns_the_contracts_columns(spark, sf_dir):
         ("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint"),
     ]
     assert found.filter(F.col("form").isNotNull() & (F.col("form_n") < 5 * F.col("n"))).isEmpty()
+
+
+def test_every_run_is_hashed_once(spark, made):
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    plan = spelling.words(spelling.runs(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("crc32(") == 1
+
+
+def test_runs_that_cannot_be_words_are_left_out(spark):
+    texts = ["short abcdef abcdefg", "é1abcde_ABCDEÀ", "-", None]
+    docs = spark.createDataFrame([(i, t) for t in texts for i in range(400)], "doc_id long, text string")
+    found = Counter(r.word for r in spelling.runs(docs).collect())
+    assert {"abcdef", "abcdefg", "abcdeÀ", None} <= set(found)
+    assert all(w is None or len(w) >= 6 for w in found)
+    kept = kept_words([(i, t) for t in texts for i in range(400)])
+    assert {r.word: r.n for r in spelling.words(spelling.runs(docs)).collect()} == kept
+
+
+def test_moves_are_judged_before_they_are_made(spark):
+    """No way through a label is made for an interpreted filter to drop."""
+    states = spark.createDataFrame([(1, "abcdef", 0, 0, 0)], "word_id long, rest string, keep int, node long, edits int")
+    edge = "node long, child long, label string, first string, after string, end_word string, end_n long"
+    edges = spark.createDataFrame([(0, 2, "ab", "a", "c", None, None), (0, 3, "xb", "x", "q", None, None)], edge)
+    moved = spelling.level(states, edges)
+    assert "lambda" not in moved._jdf.queryExecution().optimizedPlan().toString()
+    # As it is; and one code point more or less, where no edge follows with the next one, is left out.
+    assert {(r.rest, r.node, r.edits) for r in moved.collect()} == {("cdef", 2, 0)}
