@@ -15,6 +15,7 @@ own. Long texts give many full pieces. An empty table gives an empty result. Ext
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -34,6 +35,8 @@ END_ID = 1
 GROUP = 4096
 #: Distinct words a worker remembers; beyond, it starts anew.
 REMEMBERED = 500_000
+#: New words given to the tokenizer as one text.
+JOINED = 128
 # Letters, and marks that the tokenizer always parts from a letter before them.
 CAPITAL = np.zeros(256, bool)
 CAPITAL[65:91] = True
@@ -51,6 +54,10 @@ class WordTokens:
     left alone where special tokens may stand, which do not ignore it, and before other than ASCII
     characters, which may combine with the letter.)
 
+    New words of letters alone go to a byte-level tokenizer that marks the ends of words ``JOINED`` at a time, as a
+    call and its result cost more than the merges of one word. Each ends in one such token; where the tokenizer
+    cuts one of them further, there are more, and the words are given one by one.
+
     Word hashes are kept sorted beside the numbers of the words, whose ids lie in one array.
     """
 
@@ -58,24 +65,63 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.final = self._final()
         self._clear()
 
+    def _final(self) -> np.ndarray | None:
+        """By id, whether a token ends a word; None if some byte has no such token."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        mark, known = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        if not mark or any(letter + mark not in known for letter in ByteLevel.alphabet()):
+            return None
+        final = np.zeros(max(known.values()) + 1, bool)
+        final[[i for token, i in known.items() if token.endswith(mark)]] = True
+        return final
+
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.number = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _each(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of all words in a row and the number of each, words given one by one."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        first = len(self.number)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return [np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))], [size]
+
+    def _joined(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """As ``_each``, for words of letters, many of them as one text."""
+        ids, sizes = [], []
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, found, strict=True):
+            own = np.array(encoding.ids, np.uint32)
+            ends = np.flatnonzero(self.final[own])
+            if len(ends) == len(group):
+                ids.append(own)
+                sizes.append(np.diff(ends, prepend=-1))
+            else:
+                own, size = self._each(group)
+                ids += own
+                sizes += size
+        return ids, sizes
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        letters = np.fromiter((self.final is not None and w.isalpha() for w in words), bool, len(words))
+        order = np.argsort(~letters, kind="stable")  # words of letters first
+        held = int(letters.sum())
+        ordered = [words[i] for i in order.tolist()]
+        (ids, sizes), (more_ids, more_sizes) = self._joined(ordered[:held]), self._each(ordered[held:])
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.arange(len(self.number), len(self.number) + len(keys))
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.number = np.insert(self.number, at, np.arange(first, first + len(keys)))
-        ends = self.start[-1] + np.cumsum([len(f) for f in found])
-        self.start = np.concatenate([self.start, ends.astype(np.int64)])
-        new = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - self.start[first]))
-        self.ids = np.concatenate([self.ids, new])
+        self.number = np.insert(self.number, at, number)
+        ends = self.start[-1] + np.cumsum(np.concatenate(sizes + more_sizes))
+        self.start = np.concatenate([self.start, ends])
+        self.ids = np.concatenate([self.ids, *ids, *more_ids])
 
     @staticmethod
     def _words(data: np.ndarray, offsets: np.ndarray):
@@ -119,7 +165,8 @@ _held: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """The worker's tokenizer with what it remembers."""
+    """The worker's tokenizer with what it remembers, in the task's own thread: a task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _held:
         _held[path] = WordTokens(path)
     return _held[path]

@@ -38,6 +38,33 @@ def test_word_tokens_equal_the_tokenizer(tokenizer, docs):
         assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+class Counting:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_of_letters_share_a_text(tokenizer):
+    rng = random.Random(7)
+    odd = ["İx", "ΣΑΣ", "Ǆa", "ﬁn", "ªb", "ŉc", "각", "ᄀ", "が", "ไ", "한글", "Жук", "ß", "ÀÉ", "梦梦", "𝐀b"]
+    plain = ["".join(rng.choices("abcdéÀßñ", k=rng.randint(2, 12))) for _ in range(4000)]
+    for words, most in ((plain, 200), (plain + odd * 3, 4300), (odd, 100), (["a1", "b-c"], 2), (["x"], 1)):
+        tokens = packing.WordTokens(WORDS)
+        tokens.tokenizer = Counting(tokens.tokenizer)
+        for _ in range(2):  # the second time, words are remembered
+            text = " ".join(rng.sample(words, len(words)))
+            ids, ends = tokens.encode(*text_bytes(pa.array([text, None, text], pa.string())))
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids.tolist() == want * 2
+            assert ends.tolist() == [0, len(want), len(want), 2 * len(want)]
+        assert tokens.tokenizer.texts <= most
+
+
 def check_packed(rows, texts, tokenizer):
     """``texts``: list of (doc_id, text), repeated rows included."""
     want = defaultdict(int)
